@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interest",)
+MODULES = ("interest", "ranking")
 
 
 def _load():

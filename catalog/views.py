@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import AUTHORITY_BY_TYPE, EngineConfig, SOURCE_TIERS
 from millrace.operators.feedback import latest_feedback, merge_owned
+from millrace.session import materialize
 
 NOW = "2024-01-31 00:00:00"
 EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -137,7 +138,7 @@ class Views:
 
     @cached_property
     def article_feedback(self) -> DataFrame:
-        return latest_feedback(self.feedback_events)
+        return materialize(latest_feedback(self.feedback_events))
 
     @cached_property
     def user_articles(self) -> DataFrame:
@@ -163,7 +164,7 @@ class Views:
             F.when(F.col("action") == "good", 0.8).otherwise(0.5).alias("interest_weight"),
             "created_at",
         )
-        return merge_owned(seen.unionByName(manual).unionByName(opinion))
+        return materialize(merge_owned(seen.unionByName(manual).unionByName(opinion)))
 
     @cached_property
     def source_registry(self) -> DataFrame:

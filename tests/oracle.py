@@ -55,8 +55,9 @@ def compare(spark, con, name, query, sql, sf_dir) -> str:
     if sorted(df.columns) != sorted(names):
         return f"FAIL {name} columns {sorted(df.columns)} vs {sorted(names)}"
     if left != right:
-        extra = [r for r in left if r not in set(right)][:3]
-        missing = [r for r in right if r not in set(left)][:3]
+        known, seen = set(right), set(left)
+        extra = [r for r in left if r not in known][:3]
+        missing = [r for r in right if r not in seen][:3]
         return f"FAIL {name} {len(left)} vs {len(right)} rows\n  spark {extra}\n  sql   {missing}"
     return f"ok {name} {len(left)} rows {spent:.1f}s (sql {oracle:.1f}s)"
 
