@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interest", "ranking")
+MODULES = ("interest", "ranking", "duplicates")
 
 
 def _load():

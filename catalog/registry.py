@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.views import Views, with_views
-from millrace.session import prepare
+from millrace.session import prepare, ship_package
 
 _SHARED: dict[tuple[str, str], Views] = {}
 
@@ -16,6 +17,7 @@ def shared_views(spark: SparkSession, sf_dir: str) -> Views:
     """One Views per session and folder: derived tables are written once, as in production."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SHARED:
+        ship_package(spark, str(Path(__file__).parent))
         _SHARED[key] = Views(prepare(spark), sf_dir)
     return _SHARED[key]
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings the semantics rely on in a session somebody else built."""
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession, folder: str | None = None) -> None:
+    """Send this package (or another package folder) to the Python workers, once per application.
+
+    Not needed where the package is installed on the workers, harmless there.
+    """
+    source = Path(folder or Path(__file__).parent)
+    key = (spark.sparkContext.applicationId, source.name)
+    if key in _SHIPPED:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), source.name)
+    archive = shutil.make_archive(target, "zip", source.parent, source.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``; fall back only in local mode."""
     context = spark.sparkContext
