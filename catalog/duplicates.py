@@ -18,7 +18,7 @@ VECTOR_THRESHOLD = 0.45  # the test vectors are near-orthogonal
 CFG = replace(
     DEFAULT,
     dedup=replace(DEFAULT.dedup, embedding_similarity=VECTOR_THRESHOLD, lookback_days=60),
-    title_block_rows=64,
+    title_block_rows=512,
     vector_tile_rows=128,
 )
 
@@ -111,7 +111,7 @@ def _edges(v: Views):
     ("title_match", "titles"),
 )
 def _(v: Views):
-    edges = D.title_edges(v.articles, 0.9, 64)
+    edges = D.title_edges(v.articles, 0.9, CFG.title_block_rows)
     return edges.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
 
 

@@ -57,9 +57,15 @@ def body_hash_edges(articles: DataFrame) -> DataFrame:
 # --- titles ----------------------------------------------------------------------------------
 
 
-def _gram_size(threshold: float) -> int:
-    """Longest gram for which every title keeps more grams than the allowed edits can destroy."""
-    return 3 if threshold >= 0.9 else 2 if threshold >= 0.8 else 1
+def _gram_size(longer: Column, threshold: float) -> Column:
+    """Gram length for a pair whose longer title has ``longer`` characters.
+
+    Long grams are rare grams, but every title must keep more grams than the allowed edits can
+    destroy (q * edits + 1 <= length - q + 1); the limits below keep that true.
+    """
+    if threshold >= 0.9:
+        return F.when(longer >= 40, 6).when(longer >= 12, 4).otherwise(3)
+    return F.lit(2 if threshold >= 0.8 else 1)
 
 
 def title_edges(articles: DataFrame, threshold: float = DEFAULT.dedup.title_similarity, block_rows: int = DEFAULT.title_block_rows) -> DataFrame:
@@ -81,7 +87,6 @@ def title_edges(articles: DataFrame, threshold: float = DEFAULT.dedup.title_simi
 
 def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Spanning edges (a, b) between distinct titles (tid, text) within the edit threshold."""
-    q = _gram_size(threshold)
     slack = 1.0 - threshold
     longest_partner = F.floor(F.length("text") / F.lit(threshold) + F.lit(EPSILON))
     sized = titles.select(
@@ -89,24 +94,33 @@ def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) ->
         "text",
         F.length("text").alias("len"),
         F.floor(F.lit(slack) * longest_partner + F.lit(EPSILON)).cast("int").alias("edits"),
-    ).filter((F.col("edits") > 0) & (F.length("text") >= q))
-    positions = F.sequence(F.lit(1), F.col("len") - F.lit(q - 1))
+        # The title may meet partners of two gram classes.
+        F.explode(
+            F.array_distinct(
+                F.array(_gram_size(F.length("text"), threshold), _gram_size(longest_partner, threshold))
+            )
+        ).alias("q"),
+    ).filter((F.col("edits") > 0) & (F.length("text") >= F.col("q")))
+    positions = F.sequence(F.lit(1), F.col("len") - F.col("q") + 1)
     grams = sized.select(
         "tid",
         "text",
         "len",
         "edits",
+        "q",
         F.explode(
-            F.transform(positions, lambda p: F.struct(p.alias("pos"), F.substring(F.col("text"), p, F.lit(q)).alias("gram")))
+            F.transform(
+                positions, lambda p: F.struct(p.alias("pos"), F.substring(F.col("text"), p, F.col("q")).alias("gram"))
+            )
         ).alias("g"),
-    ).select("tid", "text", "len", "edits", "g.pos", "g.gram")
+    ).select("tid", "text", "len", "edits", "q", "g.pos", "g.gram")
     frequency = grams.groupBy("gram").agg(F.count("*").alias("freq"))
     # rank(), not row_number(): every occurrence of the last chosen gram stays in the prefix.
-    rarest = Window.partitionBy("tid").orderBy("freq", "gram")  # at most 300 grams per title
+    rarest = Window.partitionBy("tid", "q").orderBy("freq", "gram")  # at most 300 grams per title
     prefix = (
         grams.join(frequency, "gram")
         .withColumn("_r", F.rank().over(rarest))
-        .filter(F.col("_r") <= F.col("edits") * q + 1)
+        .filter(F.col("_r") <= F.col("edits") * F.col("q") + 1)
         .drop("_r", "freq")
     )
     prefix = materialize(prefix)
@@ -124,17 +138,19 @@ def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) ->
     close = (
         (F.col("x.tid") < F.col("y.tid"))
         & met_here
+        & (F.col("x.q") == _gram_size(F.greatest(F.col("x.len"), F.col("y.len")), threshold))
         & (F.abs(F.col("x.len") - F.col("y.len")) <= allowed)
         & (F.abs(F.col("x.pos") - F.col("y.pos")) <= allowed)
     )
     same_tile = (
         (F.col("x.gram") == F.col("y.gram")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     )
-    candidates = x.join(y, same_tile & close)
     within = F.expr(
         f"levenshtein(x.text, y.text, cast(floor({slack!r}D * greatest(x.len, y.len) + {EPSILON!r}D) as int)) >= 0"
     )
-    matches = candidates.filter(within).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
+    # CASE fixes the order of evaluation: the edit distance runs only where the cheap tests passed.
+    verified = F.when(close, within).otherwise(False)
+    matches = x.join(y, same_tile & verified).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
     return matches.mapInPandas(spanning_forest, EDGES).distinct()
 
 
