@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interest", "ranking", "duplicates")
+MODULES = ("interest", "ranking", "duplicates", "crawl")
 
 
 def _load():

@@ -59,9 +59,13 @@ def detect_language(text: Column) -> Column:
     """
     words = F.split(F.lower(text), r"[^\p{L}]+")
     kana = F.length(text) - F.length(F.regexp_replace(text, r"[぀-ヿ]", ""))
+
+    def hits(stop: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stop.split())))
+
     scores = [
         F.struct(
-            F.size(F.filter(words, lambda w, s=stop: w.isin(*s.split()))).alias("hits"),
+            hits(stop).alias("hits"),
             F.lit(-i).alias("place"),
             F.lit(code).alias("code"),
         )

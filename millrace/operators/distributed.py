@@ -17,7 +17,7 @@ from millrace.session import materialize
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id are the row number in the task
 
 
-def _range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-partition and sort by ``order``, tag each row with task number and offset, persist."""
     tagged = (
         df.repartitionByRange(*order)
@@ -40,7 +40,7 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "row_index") -> Dat
 
     ``order`` must end in a unique column: equal sort keys always share a task.
     """
-    rows = _range_sorted(df, order)
+    rows = range_sorted(df, order)
     offsets = _task_offsets(rows.groupBy("_task").agg(F.count("*").alias("_size")))
     return (
         rows.join(F.broadcast(offsets), "_task")  # one row per task
@@ -51,7 +51,7 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "row_index") -> Dat
 
 def running_total(df: DataFrame, order: Sequence[Column], amount: str) -> DataFrame:
     """Add ``total_before`` (exclusive running sum of ``amount``) in the global order."""
-    rows = _range_sorted(df, order)
+    rows = range_sorted(df, order)
     inside = (
         Window.partitionBy("_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     )
