@@ -532,13 +532,14 @@ def discovered(v: Views):
     f"""WITH ends AS (SELECT feed_url, min(CASE WHEN consecutive_failures >= 3 OR consecutive_empty_fetches >= 10
         OR consecutive_no_new_entries >= 30 THEN run_id END) AS latch, max(run_id) AS last FROM run_counters GROUP BY 1),
     fin AS (SELECT c.*, e.latch IS NOT NULL AS off, consecutive_failures >= 3 OR consecutive_empty_fetches >= 10 AS health
-      FROM run_counters c JOIN ends e ON e.feed_url = c.feed_url AND c.run_id = coalesce(e.latch, e.last))
+      FROM (SELECT *, lag(consecutive_no_new_entries) OVER (PARTITION BY feed_url ORDER BY run_id) AS before FROM run_counters) c
+      JOIN ends e ON e.feed_url = c.feed_url AND c.run_id = coalesce(e.latch, e.last))
     SELECT 'site' || u || '.example' AS domain, CASE WHEN u % 10 = 0 OR f.off THEN 'disabled' ELSE 'found' END AS status,
       NOT (u % 10 = 0 OR f.off) AS enabled,
       CAST(CASE WHEN u % 10 = 0 THEN 0 ELSE f.consecutive_failures END AS INT) AS consecutive_failures,
       CAST(CASE WHEN u % 10 = 0 THEN 0 ELSE f.consecutive_empty_fetches END AS INT) AS consecutive_empty_fetches,
-      CAST(CASE WHEN u % 10 = 0 THEN 0 ELSE f.consecutive_no_new_entries
-        - CASE WHEN health AND {_UP["consecutive_no_new_entries"][0]} THEN 1 ELSE 0 END END AS INT) AS consecutive_no_new_entries
+      CAST(CASE WHEN u % 10 = 0 THEN 0 WHEN f.health THEN coalesce(f.before, 0)
+        ELSE f.consecutive_no_new_entries END AS INT) AS consecutive_no_new_entries
     FROM (SELECT DISTINCT user_id AS u FROM activity) JOIN fin f ON f.feed_url = 'https://feed' || u || '.example/rss'""",
     ("run_counters", "activity"),
 )

@@ -81,9 +81,17 @@ def apply_runs(feeds: DataFrame, runs: DataFrame, settings: FeedLifecycle = DEFA
         F.min(F.when(by_health | stale, F.col("run_id"))).alias("latch"), F.max("run_id").alias("last_run")
     )
     final = counted.join(ends, "domain").filter(F.col("run_id") == F.coalesce("latch", "last_run"))
-    # Health is recorded first: a run that disables a row does not count as "nothing new".
-    counts_up = _steps()["consecutive_no_new_entries"][0]
-    no_new = F.col("consecutive_no_new_entries") - F.when(by_health & counts_up, 1).otherwise(0)
+    # Health is recorded first: the run that disables a row for it says nothing about new entries,
+    # the counter stays where the run before left it.
+    earlier = (
+        counted.join(ends, "domain")
+        .filter(F.col("run_id") < F.col("latch"))
+        .groupBy("domain")
+        .agg(F.max_by("consecutive_no_new_entries", "run_id").alias("_before"))
+    )
+    final = final.join(earlier, "domain", "left")
+    before = F.coalesce("_before", "start_consecutive_no_new_entries")
+    no_new = F.when(by_health, before).otherwise(F.col("consecutive_no_new_entries"))
     after = final.select(
         "domain",
         F.col("latch").isNotNull().alias("_off"),
