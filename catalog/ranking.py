@@ -16,7 +16,7 @@ from millrace.operators import scoring as S
 from millrace.operators.compose import slot_quotas
 from millrace.operators.feedback import read_flags
 from millrace.operators.preferences import source_preferences
-from millrace.operators.similarity import profile_features, similar_by_vector
+from millrace.operators.similarity import neighbor_similarity, profile_features, similar_by_vector
 from millrace.plans.discover import FeedInputs, candidate_pool, discover_feed, related_articles
 from millrace.session import materialize
 
@@ -602,6 +602,21 @@ def _(v: Views):
     return related.select("run_id", "article_id", "total", "rank")
 
 
+@register(
+    "neighbor_similarity",
+    """WITH live AS (SELECT article_id FROM articles WHERE embedding IS NOT NULL AND NOT is_dead)
+    SELECT CAST(0 AS BIGINT) AS user_id, p.a AS article_id, round(max(p.s), 6) AS neighbor_similarity
+    FROM pair_cosine p JOIN live x ON x.article_id = p.a JOIN live y ON y.article_id = p.b
+    WHERE p.a <> p.b GROUP BY 2""",
+    ("pair_cosine", "articles"),
+)
+def _(v: Views):
+    """All living articles as one run without a cap: the tiled path."""
+    run_rows = v.articles.filter(F.col("embedding").isNotNull() & ~F.col("is_dead"))
+    rows = run_rows.select(F.lit(0).cast("long").alias("user_id"), "article_id", "embedding")
+    return rounded(neighbor_similarity(rows, replace(CFG, vector_tile_rows=512)), "neighbor_similarity")
+
+
 @register("interest_clusters")
 def _(v: Views):
     """Cluster ids differ between k-means implementations: checked by invariants in the tests."""
