@@ -69,7 +69,7 @@ def ordered_lag(
 ) -> DataFrame:
     """Previous row's ``columns`` (as ``prev_*``) within ``keys``, without a window over a hot key."""
     sort = [F.col(c) for c in (*keys, *order)]
-    rows = materialize(ordered_index(df, *sort, name="_pos"))
+    rows = ordered_index(df, *sort, name="_pos")  # rests on a checkpoint: cheap to read twice
     earlier = rows.select(
         (F.col("_pos") + 1).alias("_pos"),
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -102,7 +102,7 @@ def exact_percentiles(
     """
     counts = value_counts(df, value, by)
     order = [F.col(c) for c in (*by, "value")]
-    ranked = materialize(running_total(counts, order, "occurrences"))
+    ranked = running_total(counts, order, "occurrences")
     stats = [F.sum("occurrences").alias("n"), F.min("total_before").alias("base")]
     if by:
         located = ranked.join(ranked.groupBy(*by).agg(*stats), list(by))

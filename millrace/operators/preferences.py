@@ -70,7 +70,6 @@ def learn_preferences(
         F.count_if(is_positive()).alias("gains"),
         F.max(F.when(trigger, F.col("seq"))).alias("last_trigger"),
     )
-    totals = materialize(totals)
     triggered = totals.filter(F.col("last_trigger").isNotNull()).select(*group, "last_trigger")
     as_of = log.join(triggered, group).filter(F.col("seq") <= F.col("last_trigger"))
     opinions = latest_feedback(as_of, extra_keys=("key",))
@@ -103,7 +102,7 @@ def _once_penalised(log: DataFrame, silent: DataFrame, settings: DecaySettings)
     change = F.when(F.col("opens"), 1).when(F.col("op") == "delete", -1).otherwise(0)
     steps = log.join(silent, group).select(*group, "seq", "article_id", change.alias("change"))
     order = [F.col(c) for c in (*group, "seq", "article_id")]
-    running = materialize(running_total(steps, order, "change"))
+    running = running_total(steps, order, "change")
     level = F.col("total_before") + F.col("change")
     peaks = running.groupBy(*group).agg(
         F.max(level).alias("peak"), F.min_by("total_before", F.struct("seq", "article_id")).alias("base")

@@ -11,6 +11,7 @@ from millrace.config import DEFAULT, Clustering, EngineConfig, FALLBACK_CLUSTER_
 from millrace.functions.weights import age_days, confidence, effective_interest, lookup, recency_decay
 from millrace.operators.distributed import top_per_key
 from millrace.operators.feedback import interest_population, recency_cut
+from millrace.session import materialize
 
 
 def weighted_interest(
@@ -215,7 +216,8 @@ def build_profiles(
     user_articles: DataFrame, feedback: DataFrame, articles: DataFrame, now: Column, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:
     """Profiles of all users with freshly built clusters."""
-    weighted = weighted_interest(user_articles, feedback, articles, now, cfg)
-    members = assign_clusters(weighted, cfg.clustering)
+    # Both feed several branches below; a profile is bounded, so writing it once is cheap.
+    weighted = materialize(weighted_interest(user_articles, feedback, articles, now, cfg))
+    members = materialize(assign_clusters(weighted, cfg.clustering))
     clusters = interest_clusters(members, cfg.clustering)
     return interest_profile(weighted, bad_vectors(feedback, articles, cfg), clusters)

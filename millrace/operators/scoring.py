@@ -15,7 +15,6 @@ from millrace.functions.weights import (
 )
 from millrace.operators.distributed import ordered_index, top_per_key
 from millrace.operators.feedback import read_flags
-from millrace.session import materialize
 
 PAIR = ["user_id", "article_id"]
 
@@ -41,7 +40,7 @@ def select_candidates(
     first limit + e ranks, so users meet articles by an equi-join on the rank and the number of
     rows is what the output needs, never users times articles.
     """
-    ranked = materialize(ordered_index(pool.select("article_id", "published_at"), *candidate_order(), name="place"))
+    ranked = ordered_index(pool.select("article_id", "published_at"), *candidate_order(), name="place")
     total = ranked.count()
     hidden = excluded.join(users, "user_id", "left_semi").join(ranked.select("article_id"), "article_id", "left_semi")
     per_user = users.join(hidden.groupBy("user_id").agg(F.count("*").alias("hidden")), "user_id", "left").select(
@@ -178,7 +177,7 @@ def rank(scored: DataFrame, name: str = "rank") -> DataFrame:
 
 def rank_unbounded(scored: DataFrame, name: str = "rank") -> DataFrame:
     """Rank inside each run when runs have no cap: global order, then offset of the run."""
-    ordered = materialize(ordered_index(scored, F.col("user_id"), *rank_order(), name="_pos"))
+    ordered = ordered_index(scored, F.col("user_id"), *rank_order(), name="_pos")
     first = ordered.groupBy("user_id").agg(F.min("_pos").alias("_first"))
     return ordered.join(first, "user_id").withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
 

@@ -29,7 +29,8 @@ def rebuild_interest_clusters(
     keep = users.select("user_id").distinct()
     mine = [df.join(keep, "user_id", "left_semi") for df in (user_articles, feedback)]
     weighted = PR.weighted_interest(mine[0], mine[1], articles, now, cfg)
-    clusters = materialize(PR.interest_clusters(PR.assign_clusters(weighted, cfg.clustering), cfg.clustering))
+    members = materialize(PR.assign_clusters(weighted, cfg.clustering))
+    clusters = materialize(PR.interest_clusters(members, cfg.clustering))
     if path is not None:
         replace_users(clusters, keep, path)
     return clusters
