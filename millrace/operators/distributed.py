@@ -35,6 +35,14 @@ def _task_offsets(per_task: DataFrame) -> DataFrame:
     return per_task.select("_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
 
 
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when the counted ``rows`` stay within ``limit``; else a shuffled join."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def ordered_index(df: DataFrame, *order: Column, name: str = "row_index") -> DataFrame:
     """Zero-based position of every row in the global order.
 

@@ -59,28 +59,35 @@ def cluster_count(n: int, settings: Clustering) -> int:
     return min(n // settings.min_articles_per_cluster, settings.max_clusters, n)
 
 
+def _gaps(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances through one matrix product."""
+    norms = (points**2).sum(1)[:, None] + (centers**2).sum(1)[None, :]
+    return np.maximum(norms - 2.0 * points @ centers.T, 0.0)
+
+
 def lloyd(points: np.ndarray, k: int, settings: Clustering) -> tuple[np.ndarray, np.ndarray]:
     """Best of several seeded k-means++ runs on a bounded point set: (labels, centroids)."""
     rng = np.random.default_rng(settings.seed)
+    n = len(points)
     best = None
     for _ in range(settings.restarts if k > 1 else 1):
-        centers = points[[rng.integers(len(points))]]
+        centers = points[[rng.integers(n)]]
         while len(centers) < k:
-            gap = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(-1).min(1)
+            gap = _gaps(points, centers).min(1)
             total = gap.sum()
-            chosen = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
+            chosen = rng.choice(n, p=gap / total) if total > 0 else rng.integers(n)
             centers = np.vstack([centers, points[chosen]])
-        labels = np.full(len(points), -1)
+        labels = np.full(n, -1)
         for _ in range(settings.max_iterations):
-            distance = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(-1)
-            moved = distance.argmin(1)
+            moved = _gaps(points, centers).argmin(1)
             if (moved == labels).all():
                 break
             labels = moved
-            for index in range(k):
-                members = points[labels == index]
-                if len(members):
-                    centers[index] = members.mean(0)
+            sizes = np.bincount(labels, minlength=k)
+            member = np.zeros((k, n))
+            member[labels, np.arange(n)] = 1.0
+            means = member @ points / np.maximum(sizes, 1)[:, None]
+            centers = np.where(sizes[:, None] > 0, means, centers)
         inertia = ((points - centers[labels]) ** 2).sum()
         if best is None or inertia < best[0] - 1e-12:
             best = (inertia, labels.copy(), centers.copy())

@@ -13,10 +13,22 @@ from millrace.functions.weights import (
     freshness,
     source_preference_factor,
 )
-from millrace.operators.distributed import ordered_index, top_per_key
+from millrace.operators.distributed import broadcast_if_small, ordered_index, top_per_key
 from millrace.operators.feedback import read_flags
 
 PAIR = ["user_id", "article_id"]
+ARTICLE_COLUMNS = (
+    "article_id",
+    "source_domain",
+    "topics",
+    "technologies",
+    "source_authority",
+    "is_primary_source",
+    "technical_quality",
+    "published_at",
+    "fetched_at",
+    "duplicate_penalty",
+)
 
 
 def exclusions(feedback: DataFrame, user_articles: DataFrame) -> DataFrame:
@@ -47,10 +59,14 @@ def select_candidates(
         "user_id", F.coalesce("hidden", F.lit(0)).alias("hidden")
     )
     reach = F.least(F.lit(limit) + F.col("hidden"), F.lit(total))
+    # Nobody looks further than the longest reach.  That slice has few distinct ranks, so a shuffle on
+    # the rank would use few tasks: broadcast it when its counted size allows.
+    longest = per_user.agg(F.max(reach)).first()[0] or 0
+    front = broadcast_if_small(ranked.filter(F.col("place") < longest).select("place", "article_id"), longest)
     slots = per_user.filter(reach > 0).select(
         "user_id", F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long") - 1)).alias("place")
     )
-    visible = slots.join(ranked.select("place", "article_id"), "place").join(hidden, PAIR, "left_anti")
+    visible = slots.join(front, "place").join(hidden, PAIR, "left_anti")
     chosen = top_per_key(visible, ["user_id"], [F.col("place")], limit, "candidate_position")
     report = per_user.select(
         "user_id",
@@ -90,20 +106,15 @@ def candidate_features(
     registry: DataFrame,
     preferences: DataFrame,
     similarities: DataFrame,
+    article_rows: int | None = None,
 ) -> DataFrame:
-    """Join every input of the score to the chosen (user, article) pairs."""
-    narrow = articles.select(
-        "article_id",
-        "source_domain",
-        "topics",
-        "technologies",
-        "source_authority",
-        "is_primary_source",
-        "technical_quality",
-        "published_at",
-        "fetched_at",
-        "duplicate_penalty",
-    ).join(entity_names(registry), "source_domain", "left")
+    """Join every input of the score to the chosen (user, article) pairs.
+
+    ``article_rows``: counted size of ``articles``, if the caller knows it to be small.
+    """
+    narrow = articles.select(*ARTICLE_COLUMNS).join(entity_names(registry), "source_domain", "left")
+    if article_rows is not None:
+        narrow = broadcast_if_small(narrow, article_rows)
     liking = preferences.select("user_id", "source_domain", F.col("effective_weight").alias("source_preference"))
     seen = read_flags(user_articles).withColumn("is_read", F.lit(True))
     return (

@@ -63,12 +63,17 @@ def throttle(
     pieces = running_total(gaps.withColumn("_start", starts.cast("int")), order, "_start")
     pieces = pieces.select("key", "event_id", "at_micros", (F.col("total_before") + F.col("_start")).alias("piece"))
 
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window = Window(limit, window_micros)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, window = None, None
         for batch in batches:
-            yield fold(window, key[0], batch)
-
+            verdicts = []
+            for piece, at in zip(zip(batch["key"], batch["piece"]), batch["at_micros"]):
+                if piece != current:
+                    current, window = piece, Window(limit, window_micros)
+                verdicts.append(window.offer(int(at)))
+            out = batch.drop(columns="piece")
+            yield out.assign(accepted=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts])
+
+    # Whole pieces per task in time order: one pass over many pieces instead of one call per piece.
     ordered = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece", "at_micros", "event_id")
-    return ordered.groupBy("key", "piece").applyInPandas(run, OUTPUT)
-
-
+    return ordered.mapInPandas(run, OUTPUT)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.config import DEFAULT, EngineConfig
 from millrace.operators import scoring as S
 from millrace.operators.compose import compose_feed, slot_fill
+from millrace.operators.distributed import broadcast_if_small
 from millrace.operators.filters import ArticleFilter, alive, within_age
 from millrace.operators.profile import article_profile, build_profiles
 from millrace.operators.similarity import profile_features
@@ -56,12 +57,17 @@ def _ranked(
 ) -> tuple[DataFrame, DataFrame]:
     chosen, report = S.select_candidates(runs, pool, excluded, cfg.max_candidates)
     chosen = materialize(chosen)
-    vectors = chosen.join(inputs.articles.select("article_id", "embedding"), "article_id")
+    # All users meet the same front of the pool: cut the article table to it once.  It has few rows,
+    # each needed by very many users, so it is broadcast if its counted size allows.
+    ids = chosen.select("article_id").distinct()
+    front = materialize(inputs.articles.select(*S.ARTICLE_COLUMNS, "embedding").join(ids, "article_id", "left_semi"))
+    size = front.count()
+    vectors = chosen.join(broadcast_if_small(front.select("article_id", "embedding"), size), "article_id")
     similarities = profile_features(
         vectors, profile, cfg, single_block=cfg.max_candidates <= cfg.vector_tile_rows
     )
     features = S.candidate_features(
-        chosen, inputs.articles, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities
+        chosen, front, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities, size
     )
     # Ranked rows feed several windows and joins below: run the Python stage once.
     return materialize(S.rank(S.score(features, now, cfg))), report
