@@ -29,7 +29,6 @@ HEADLINE = (
     "neighbor_similarity",
     "feed_slots",
     "related_articles",
-    "rank_correlation",
     "vector_topk",
     "title_matches",
     "vector_matches",
