@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.session import ensure_checkpoint_dir, prepare
 
@@ -55,3 +57,26 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         total += int(size)
     if start < len(sizes):
         yield batch.slice(start), texts.slice(start)
+
+
+def annotate(docs: DataFrame, make, fields: str, column: str = "text") -> DataFrame:
+    """Add result columns computed from whole texts, slice by slice, inside the scan's own tasks.
+
+    ``make()`` runs once per task and returns ``work(texts) -> list of arrays``, one per field of ``fields`` (a DDL
+    string).  Null texts are passed as empty.  A column of ``docs`` that has the name of a result is replaced.
+    """
+    added = T.StructType.fromDDL(fields)
+    kept = [f for f in docs.schema.fields if f.name not in added.names]
+    names = [f.name for f in kept] + added.names
+    result_types = [to_arrow_type(f.dataType) for f in added.fields]
+    # The text is read even if the result replaces its column.
+    source = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(column).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for rows, texts in text_slices(batch, "_text"):
+                results = [pa.array(r, t) if not isinstance(r, pa.Array) else r for r, t in zip(work(texts), result_types, strict=True)]
+                yield pa.RecordBatch.from_arrays(rows.columns[: len(kept)] + results, names=names)
+
+    return source.mapInArrow(run, T.StructType(kept + added.fields))

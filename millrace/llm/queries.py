@@ -2,30 +2,109 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
+from millrace.llm.decontamination import contamination_digest
+from millrace.llm.html_text import page_digest
+from millrace.llm.language_id import language_digest
 from millrace.llm.ngram_join import jaccard_components
+from millrace.llm.personal_data import personal_data_digest
+from millrace.llm.pieces import piece_digest
+from millrace.llm.quality_classifier import quality_digest
+from millrace.llm.quality_rules import RuleSettings, apply_rules
+from millrace.llm.sharding import place_rows
+from millrace.llm.toxicity import toxicity_digest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+PIECE_MODEL = "piece_bpe_32k.model"
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
 
 def _query(build):
     QUERIES[build.__name__] = build
     return build
 
 
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-# Words are split at the fixed white space; pairs that share a shingle are compared, links followed to all reachable rows.
-SQL["op2_ngram_join"] = r"""
-WITH RECURSIVE base AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x20\x09-\x0D]+') AS w FROM documents),
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_digest(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return place_rows(docs, F.col("doc_id"), SHARDS, fallback=F.col("text")).drop("text")
+
+
+@_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
+@_query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Windows of 13 words, each with the places it covers.
+SQL["op1_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM windows),
+cut AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k)),
+found AS (SELECT c.doc_id, c.i, c.k, x.item_id FROM cut c JOIN windows x ON x.t = c.t AND x.k = c.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+# Pairs that share a shingle are compared, links followed to all reachable rows.
+SQL["op2_ngram_join"] = rf"""
+WITH RECURSIVE base AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM base),
@@ -37,3 +116,52 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN l
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
 FROM shingles s LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = s.doc_id
 """
+
+
+def _rules_sql(settings: RuleSettings = RuleSettings()) -> str:
+    rates = {
+        "symbol_rate": "n_symbols / greatest(word_chars, 1)", "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
+        "capital_rate": "n_capitals / greatest(word_chars, 1)", "line_rate": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    share = settings.risk / len(rates)
+    tested = " UNION ALL ".join(
+        f"SELECT stratum, '{r}' AS rate, {c} AS cutoff, count(*) AS n, count(*) FILTER ({r} > {c}) AS k FROM good GROUP BY stratum"
+        for r in rates for c in settings.cutoffs
+    )
+    over = " OR ".join(f"coalesce(m.{r} > c.{r}, false)" for r in rates)
+    pivot = ", ".join(f"min(cutoff) FILTER (rate = '{r}') AS {r}" for r in rates)
+    return rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS times
+  FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words))),
+repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE times > 1) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, stratum, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Z]'))::BIGINT AS n_capitals,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (doc_id)),
+rated AS (SELECT *, {", ".join(f"{e} AS {r}" for r, e in rates.items())} FROM measured),
+marks AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id % {settings.folds} <> 0 GROUP BY doc_id),
+good AS (
+  SELECT stratum, text, {", ".join(f"any_value({r}) AS {r}" for r in rates)}
+  FROM rated JOIN marks USING (doc_id) GROUP BY stratum, text HAVING max(quality) > 0),
+tests AS ({tested}),
+tails AS (
+  SELECT stratum, rate, cutoff, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p
+  FROM tests),
+cutoffs AS (SELECT stratum, {pivot} FROM tails WHERE p <= {settings.delta} / (SELECT count(*) FROM tests) GROUP BY stratum),
+judged AS (
+  SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {over} AS above
+  FROM rated m LEFT JOIN cutoffs c USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM judged
+"""
+
+
+SQL["op10_quality_rules"] = _rules_sql()
