@@ -22,6 +22,12 @@ from millrace.llm.common import annotate, label_fold
 from millrace.llm.compression import Compressor, piece_sizes, pieces, raw_dictionary
 
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-case words only: capitals, digits and signs say nothing about the language."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -49,7 +55,7 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
     gathered = texts.select("lang", excerpt.alias("text"), F.xxhash64("doc_id").alias("o")).orderBy("lang", "o").collect()
     by_language: dict[str, list[bytes]] = {}
     for row in gathered:
-        by_language.setdefault(row.lang, []).append(row.text.encode("utf-8", "replace"))
+        by_language.setdefault(row.lang, []).append(letters(row.text))
     model = {lang: raw_dictionary(t, settings.dictionary_bytes) for lang, t in sorted(by_language.items())}
     if sum(map(len, model.values())) > settings.max_model_bytes:
         raise ValueError("more languages than the dictionaries' memory bound allows: raise max_model_bytes or lower dictionary_bytes")
@@ -66,7 +72,7 @@ def identify_languages(docs: DataFrame, model: dict[str, bytes], settings: Langu
         def one(text: str):
             if not names or not _LETTER.search(text):
                 return "und", 0.0, True
-            sizes = piece_sizes(compressors, pieces(text.encode("utf-8", "replace"))).sum(axis=1)
+            sizes = piece_sizes(compressors, pieces(letters(text))).sum(axis=1)
             order = sizes.argsort(kind="stable")
             if len(names) == 1:
                 return names[0], 1.0, False

@@ -6,9 +6,11 @@ found by Aho-Corasick in one pass; exception phrases cancel the terms that they
 per hundred words, go through a logistic curve.
 
 The lexicon is a short fixed list plus terms learned from labelled training rows: Spark counts, for every word and
-word opening of 4 to 8 characters, the distinct toxic and clean sample texts that hold it; terms whose share of toxic
-texts cannot be chance (a Chernoff bound below ``chance``) get their log odds as weight.  A stem is kept where many
-different words share it.  Learning uses about ``sample`` labelled rows, chosen by a hash of the id; scoring all rows.
+word opening of 4 to 12 characters, the distinct toxic and clean sample texts that hold it; terms whose share of toxic
+texts cannot be chance (a Chernoff bound below ``chance``) get their log odds as weight.  A stem is kept
+where many different words share it; below one with ``purity`` of its texts toxic no longer terms are kept, otherwise the
+longest term at a place counts.  A learned term that the other part of the
+sample shows mostly in clean texts is dropped again.  Learning uses about ``sample`` labelled rows, chosen by a hash of the id; scoring all rows.
 
 Defined cases: null, empty and wordless texts score as no finding.  Without labels of both kinds the fixed list and
 default curve serve.  Repeated ids with different labels count as toxic.
@@ -35,7 +37,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown
 # Letters of other scripts that look Latin, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіѕјԁһԛԝвкмнтαεοικνρτυχ", "aeopcyxisjdhqwbkmhtaeoikvptux", strict=True))
 DIGITS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "|": "l"}
-_STEMS = range(4, 9)
+_STEMS = range(4, 13)
 
 
 def _folding() -> dict[int, str]:
@@ -64,8 +66,9 @@ class ToxicitySettings:
     folds: int = 5
     sample: int = 20_000
     max_terms: int = 5_000
-    least_support: int = 8
-    chance: float = 1e-9
+    least_support: int = 5
+    chance: float = 1e-6
+    purity: float = 0.8
     exceptions: tuple[str, ...] = EXCEPTIONS
 
 
@@ -94,18 +97,22 @@ class ToxicityModel:
         return self._automaton
 
     def findings(self, text: str) -> tuple[list[tuple[int, float]], int]:
-        """(place, weight) of every word hit outside exceptions, the heaviest term per place; and the word count."""
+        """(place, weight) of every word hit outside exceptions, the longest term per place; and the word count."""
         words = fold(text).split()
         folded = " " + " ".join(words) + " "
-        at: dict[int, float] = {}
+        at: dict[int, tuple[int, float]] = {}
         covered = []
         for end, (length, weight) in self.automaton().iter(folded):
             start = end - length + 1
             if weight is None:
                 covered.append((start, end))
             else:
-                at[start] = max(at.get(start, 0.0), weight)
-        return [(s, w) for s, w in at.items() if not any(a <= s < b for a, b in covered)], len(words)
+                at[start] = max(at.get(start, (0, 0.0)), (length, weight))
+        return [(s, w) for s, (_, w) in at.items() if not any(a <= s < b for a, b in covered)], len(words)
+
+    def found_terms(self, text: str) -> set[str]:
+        folded = " " + " ".join(fold(text).split()) + " "
+        return {folded[end - length + 1 : end + 1] for end, (length, weight) in self.automaton().iter(folded) if weight is not None}
 
     def features(self, text: str) -> tuple[float, float]:
         hits, words = self.findings(text)
@@ -157,7 +164,7 @@ def _chernoff(toxic: int, clean: int, base: float) -> float:
     return -n * spread
 
 
-def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, purity: float) -> dict[str, float]:
     """Weights of the words and stems kept among significant ``rows`` (term, toxic texts, clean texts)."""
     weight = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for t, a, b in rows}
     support = {t: a for t, a, _ in rows}
@@ -168,7 +175,8 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> di
         for k in _STEMS:
             if len(t) - 2 > k:
                 below[t[: k + 1]].append(t)
-    for t in sorted((t for t in weight if not t.endswith(" ")), key=len):
+    pure = {t for t, a, b in rows if a >= purity * (a + b)}
+    for t in sorted((t for t in pure if not t.endswith(" ")), key=lambda t: (len(t), t)):
         if any(t[:k] in stems for k in range(5, len(t))):
             continue  # a shorter stem stands for it
         kinds = below[t]
@@ -176,7 +184,10 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> di
             continue  # one word explains the opening
         stems[t] = weight[t]
     kept = {t: weight[t] for t in whole if not any(t[: k + 1] in stems for k in _STEMS)}
-    return kept | stems
+    mixed = [t for t in weight if not t.endswith(" ") and t not in pure and len(below[t]) >= 5]
+    # Of mixed stems with the same texts only the longest says where the words part.
+    best = {(support[t], t[:5]): t for t in sorted(mixed, key=len)}
+    return {t: weight[t] for t in best.values()} | kept | stems
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
@@ -192,14 +203,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySetting
     terms = {f" {fold(t).strip()} ": 3.0 for t in BASE_TERMS}
     if min(totals) > 0:
         base = totals[0] / sum(totals)
-        kept = [r for r in candidates if r[0] and _chernoff(r[1], r[2], base) < math.log(settings.chance) and r[1] / totals[0] > 10 * r[2] / totals[1]]
-        terms |= choose_terms(kept[: settings.max_terms], *totals)
-    model = ToxicityModel(terms, settings.exceptions)
+        kept = [r for r in candidates if r[0] and _chernoff(r[1], r[2], base) < math.log(settings.chance) and r[1] / totals[0] > 5 * r[2] / totals[1]]
+        terms |= choose_terms(kept[: settings.max_terms], *totals, settings.purity)
+    rest = sample.filter(part == 0)
+    model = _proven(ToxicityModel(terms, settings.exceptions), rest)
 
     def features():
         return lambda texts: list(zip(*(model.features(t) for t in texts.to_pylist()), strict=True))
 
-    measured = annotate(sample.filter(part == 0), features, "total double, dense double").select("total", "dense", "label").collect()
+    measured = annotate(rest, features, "total double, dense double").select("total", "dense", "label").collect()
     if len({r.label > 0 for r in measured}) == 2:
         x = np.array([(1.0, r.total, r.dense) for r in measured])
         y = np.array([float(r.label > 0) for r in measured])
@@ -207,6 +219,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySetting
     return model
 
 
+def _proven(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
+    """Without learned terms that the sample shows mostly in clean texts."""
+
+    def found():
+        return lambda texts: [[sorted(model.found_terms(t)) for t in texts.to_pylist()]]
+
+    seen = annotate(sample, found, "terms array<string>").select(F.explode("terms").alias("term"), "label")
+    counts = {r.term: r for r in seen.groupBy("term").agg(F.sum((F.col("label") > 0).cast("int")).alias("toxic"), F.count("*").alias("n")).collect()}
+    fixed = {f" {fold(t).strip()} " for t in BASE_TERMS}
+    kept = {t: w for t, w in model.terms.items() if t in fixed or t not in counts or 2 * counts[t].toxic > counts[t].n}
+    return ToxicityModel(kept, model.exceptions, model.curve)
+
+
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Logistic regression by Newton steps with a ridge penalty."""
     w = np.zeros(x.shape[1])
