@@ -346,3 +346,18 @@ def jaccard_components(docs: DataFrame, settings: JaccardJoin = JaccardJoin()) -
     return rooted.join(names, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, settings: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """Rows of ``docs``, one per component: smallest doc_id, then text.  Rows without shingles all stay."""
+    members = staged(shingle_documents(docs, settings))
+    links = jaccard_links(docs, members, settings)
+    roots = connected_components(links).withColumnsRenamed({"component": "root"})
+    rooted = members.filter("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("row")
+    kept = rooted.groupBy("root").agg(first).select(F.col("row.doc_id").alias("k_id"), F.col("row.text_key").alias("k_text"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text"), "_worded": worded})
+    same = F.col("_id").eqNullSafe(F.col("k_id")) & F.col("_text_key").eqNullSafe(F.col("k_text"))
+    chosen = keyed.filter("_worded").join(staged(kept), same, "left_semi").dropDuplicates(["_id", "_text_key"])
+    return chosen.unionByName(keyed.filter("not _worded")).drop("_id", "_text_key", "_worded")
