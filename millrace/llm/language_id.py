@@ -5,7 +5,8 @@ becomes the score, and ``rejected`` tells that it is too narrow to rely on.  Dic
 ``per_language`` training texts of each language, chosen by a hash of the id; languages and texts are all scored.
 
 Defined cases: null text and text without a letter is ``und`` with score 0; without training rows every text is
-``und``.  Ties go to the language that comes first by name.  Null ids and null languages are not learned from.
+``und``.  Ties go to the language that comes first by name.  Null ids, null languages and languages
+without a training text that has a word are not learned.
 Dictionaries over ``max_model_bytes`` in sum are an error, not a cut.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import annotate, label_fold
 from millrace.llm.compression import Compressor, piece_sizes, pieces, raw_dictionary
 
+LEAST_CONTENT = 8  # bytes; zstandard takes no shorter dictionary
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -57,6 +59,7 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
     for row in gathered:
         by_language.setdefault(row.lang, []).append(letters(row.text))
     model = {lang: raw_dictionary(t, settings.dictionary_bytes) for lang, t in sorted(by_language.items())}
+    model = {lang: content for lang, content in model.items() if len(content) >= LEAST_CONTENT}
     if sum(map(len, model.values())) > settings.max_model_bytes:
         raise ValueError("more languages than the dictionaries' memory bound allows: raise max_model_bytes or lower dictionary_bytes")
     return model

@@ -68,4 +68,4 @@ def write_shards(placed: DataFrame, path: str, rows_per_file: int = 1_000_000) -
     """One folder per shard; files of about ``rows_per_file`` rows, so a full shard is written by many tasks."""
     sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
     salted = placed.join(F.broadcast(sizes), "shard").withColumn("_salt", F.floor(F.rand(7) * F.col("_files")))
-    salted.repartition("shard", "_salt").drop("_salt", "_files").write.partitionBy("shard").mode("overwrite").parquet(path)
+    salted.repartition("shard", "_salt").drop("_salt", "_files").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").mode("overwrite").parquet(path)
