@@ -15,7 +15,7 @@ from millrace.operators import classify as C
 from millrace.operators import feeds as FE
 from millrace.operators import filters as FL
 from millrace.operators import ingest as I
-from millrace.operators.throttle import throttle
+from millrace.operators.throttle import request_rates
 from millrace.plans.enrich import analyze_changed, embed_changed
 from millrace.plans.ingest import ingest_candidates, ingest_pages
 from millrace.sources import documents as S
@@ -653,11 +653,16 @@ def _(v: Views):
     return latest_runs(stored_runs(v)).drop("generated_at")
 
 
-@register("throttle")
+@register(
+    "throttle",
+    """SELECT CAST(a.user_id AS VARCHAR) AS key, a.event_id, count(*) AS recent, count(*) > 3 AS over_limit
+    FROM activity a JOIN activity b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 1 DAY
+    GROUP BY a.user_id, a.event_id""",
+    ("activity",),
+)
 def _(v: Views):
-    """Sequential by nature: checked against a plain fold in the tests."""
     events = v.activity.select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").alias("at"))
-    return throttle(events, limit=3, window_seconds=86400)
+    return request_rates(events, limit=3, window_seconds=86400)
 
 
 @register(

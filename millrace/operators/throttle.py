@@ -1,79 +1,39 @@
-"""Sliding-window throttle: mark each event accepted or rejected; rejected events do not count.
+"""Request rates: how many requests a key made in the window before each request.
 
-Whether an event is accepted depends on the events accepted before it, so a busy key is a sequential
-fold.  A quiet gap of one window clears all state, therefore keys are split at such gaps and the
-pieces run in parallel; within a piece the fold streams Arrow batches and keeps at most
-``max_requests`` times.
+The time axis is cut into pieces of one window length.  A request is seen by its own piece and the next one, so a
+window partition is one piece of one key, whatever the share of the key in the log.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT
-from millrace.operators.distributed import ordered_lag, running_total
-
-
-OUTPUT = "key string, event_id long, at_micros long, accepted boolean, wait_seconds double"
-
-
-class Window:
-    """Times of the accepted events still inside the window."""
-
-    def __init__(self, limit: int, window_micros: int, times: Any = ()):
-        self.limit, self.window, self.times = limit, window_micros, deque(times)
 
-    def offer(self, at: int) -> tuple[bool, float]:
-        """(accepted, seconds to wait if not)."""
-        while self.times and self.times[0] <= at - self.window:
-            self.times.popleft()
-        if len(self.times) < self.limit:
-            self.times.append(at)
-            return True, 0.0
-        return False, max(self.times[0] + self.window - at, 0) / 1e6
 
-
-def fold(window: Window, key: str, batch: pd.DataFrame) -> pd.DataFrame:
-    verdicts = [window.offer(int(at)) for at in batch["at_micros"]]
-    out = batch[["event_id", "at_micros"]].copy()
-    out.insert(0, "key", key)
-    out["accepted"] = [v[0] for v in verdicts]
-    out["wait_seconds"] = [v[1] for v in verdicts]
-    return out
-
-
-def throttle(
-    events: DataFrame,
-    limit: int = DEFAULT.throttle_max_requests,
-    window_seconds: int = DEFAULT.throttle_window_seconds,
+def request_rates(
+    events: DataFrame, limit: int = DEFAULT.throttle_max_requests, window_seconds: int = DEFAULT.throttle_window_seconds
 ) -> DataFrame:
-    """Verdict per event of (key string, event_id, at timestamp)."""
-    window_micros = int(window_seconds * 1_000_000)
-    rows = events.select("key", "event_id", F.unix_micros("at").alias("at_micros"))
-    gaps = ordered_lag(rows, ["key"], ["at_micros", "event_id"], ["at_micros"])
-    # A gap of a full window starts a new piece.
-    starts = F.col("prev_at_micros").isNull() | (F.col("at_micros") - F.col("prev_at_micros") >= window_micros)
-    order = [F.col("key"), F.col("at_micros"), F.col("event_id")]
-    pieces = running_total(gaps.withColumn("_start", starts.cast("int")), order, "_start")
-    pieces = pieces.select("key", "event_id", "at_micros", (F.col("total_before") + F.col("_start")).alias("piece"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window = None, None
-        for batch in batches:
-            verdicts = []
-            for piece, at in zip(zip(batch["key"], batch["piece"]), batch["at_micros"]):
-                if piece != current:
-                    current, window = piece, Window(limit, window_micros)
-                verdicts.append(window.offer(int(at)))
-            out = batch.drop(columns="piece")
-            yield out.assign(accepted=[v[0] for v in verdicts], wait_seconds=[v[1] for v in verdicts])
-
-    # Whole pieces per task in time order: one pass over many pieces instead of one call per piece.
-    ordered = pieces.repartition("key", "piece").sortWithinPartitions("key", "piece", "at_micros", "event_id")
-    return ordered.mapInPandas(run, OUTPUT)
+    """(key, event_id, recent, over_limit): requests of the key in (at - window, at], itself included.
+
+    ``events``: (key, event_id, at).  Requests of one instant count together.
+    """
+    width = window_seconds * 1_000_000
+    timed = events.select("key", "event_id", F.unix_micros("at").alias("_at"))
+    piece = F.floor(F.col("_at") / width)
+    seen = timed.withColumn("_piece", F.explode(F.array(piece, piece + 1)))
+    frame = Window.partitionBy("key", "_piece").orderBy("_at").rangeBetween(-width + 1, 0)
+    own = F.col("_piece") == piece
+    return (
+        seen.withColumn("recent", F.count("*").over(frame))
+        .filter(own)
+        .select("key", "event_id", "recent", (F.col("recent") > limit).alias("over_limit"))
+    )
+
+
+def request_counts(events: DataFrame, window_seconds: int = DEFAULT.throttle_window_seconds, lateness: str = "10 minutes") -> DataFrame:
+    """Streaming form: requests per key and tumbling window, with a watermark."""
+    width = f"{window_seconds} seconds"
+    counts = events.withWatermark("at", lateness).groupBy("key", F.window("at", width)).agg(F.count("*").alias("requests"))
+    return counts.select("key", F.col("window.start").alias("window_start"), "requests")

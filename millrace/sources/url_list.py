@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,44 +17,38 @@ from millrace.operators.distributed import first_per_key
 
 # Fixed values of the line format.
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-SCHEME_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
-STOP_CHARACTERS = frozenset("\"'<>")
-BRACKETS = {")": "(", "]": "[", "}": "{"}
 TRAILING_PUNCTUATION = ".,;:!?。、！？；："
+CLOSED_BY = {"(": ")", "[": "]", "{": "}"}
+_SCHEME_BACKWARDS = re.compile(r"[A-Za-z0-9+.-]*")
+_BODY = re.compile(r"""[^\s"'<>]*""")
+_BRACKET = re.compile(r"[()\[\]{}]")
 
 
 def first_url(line: str | None) -> str | None:
-    """First ``scheme://`` URL of a line.  One pass per mark, no backtracking."""
-    mark = line.find("://") if line else -1
-    while mark >= 0:
-        run = mark
-        while run > 0 and line[run - 1] in SCHEME_CHARACTERS:
-            run -= 1
-        start = next((i for i in range(run, mark) if line[i].isalpha()), None)
-        if start is not None:
-            body = _url_body(line, mark + 3).rstrip(TRAILING_PUNCTUATION)
-            # Nothing but punctuation after the mark is no URL.
-            if body:
-                return line[start : mark + 3] + body
-        mark = line.find("://", mark + 3)
+    """First ``scheme://`` URL of a line, from the pieces between the marks; every piece is read once each way."""
+    if not line or "://" not in line:
+        return None
+    pieces = line.split("://")
+    after = len(pieces[0]) + 3
+    for before, piece in pairwise(pieces):
+        scheme = _SCHEME_BACKWARDS.match(before[::-1]).group()[::-1].lstrip("0123456789+.-")
+        # A later mark may belong to the same URL: the body runs on in the line, not in the piece.
+        body = _balanced(_BODY.match(line, after).group()).rstrip(TRAILING_PUNCTUATION) if scheme else ""
+        if body:
+            return f"{scheme}://{body}"
+        after += len(piece) + 3
     return None
 
 
-def _url_body(line: str, begin: int) -> str:
-    """Up to white space, a quote, or a closing bracket that nothing opened."""
-    open_count = dict.fromkeys(BRACKETS.values(), 0)
-    end = begin
-    for end in range(begin, len(line) + 1):
-        char = line[end : end + 1]
-        if not char or char.isspace() or char in STOP_CHARACTERS:
-            break
-        if char in open_count:
-            open_count[char] += 1
-        elif char in BRACKETS:
-            if not open_count[BRACKETS[char]]:
-                break
-            open_count[BRACKETS[char]] -= 1
-    return line[begin:end]
+def _balanced(body: str) -> str:
+    """The part before the first closing bracket that has no opening one of its kind."""
+    surplus = Counter()
+    for bracket in _BRACKET.finditer(body):
+        sign = bracket.group()
+        surplus[CLOSED_BY.get(sign, sign)] += 1 if sign in CLOSED_BY else -1
+        if surplus[sign] < 0:
+            return body[: bracket.start()]
+    return body
 
 
 @F.pandas_udf(T.StringType())

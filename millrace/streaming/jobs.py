@@ -1,20 +1,15 @@
-"""Structured Streaming: windowed interest counters, throttle with state, preference learning."""
+"""Structured Streaming: windowed interest counters and preference learning."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.config import DEFAULT, EngineConfig
 from millrace.operators import feedback as FB
 from millrace.operators import preferences as P
-from millrace.operators.throttle import OUTPUT, Window, fold
 from millrace.sources.sinks import BUCKETS, replace_users
 from millrace.session import materialize
 
@@ -37,35 +32,6 @@ def weekly_topic_counts(events: DataFrame, articles: DataFrame, lateness: str =
     return counts.select(F.col("window.start").alias("week"), "topic", "positive_count", "negative_count")
 
 
-def throttle_stream(
-    events: DataFrame,
-    limit: int = DEFAULT.throttle_max_requests,
-    window_seconds: int = DEFAULT.throttle_window_seconds,
-) -> DataFrame:
-    """Streaming form of the throttle: state is the list of at most ``limit`` accepted times per key.
-
-    Events of one micro-batch are ordered by time; a micro-batch is the unit of order.
-    """
-    window_micros = int(window_seconds * 1_000_000)
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = Window(limit, window_micros, state.get[0] if state.exists else ())
-        # The group arrives in several Arrow batches; the verdict needs time order over all of them.
-        rows = pd.concat(list(batches)).sort_values(["at_micros", "event_id"])
-        out = fold(window, key[0], rows)
-        state.update((list(window.times),))
-        yield out
-
-    rows = events.select("key", "event_id", F.unix_micros("at").alias("at_micros"))
-    return rows.groupBy("key").applyInPandasWithState(
-        run,
-        OUTPUT,
-        T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]),
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def preference_writer(
     spark: SparkSession,
     articles: DataFrame,

@@ -1,4 +1,4 @@
-"""Feed life cycle and throttle against sequential folds; streaming equals batch."""
+"""Feed life cycle and request rates against sequential folds; streaming equals batch."""
 
 import random
 from datetime import datetime, timedelta
@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import feeds as FE
-from millrace.operators.throttle import Window, throttle
+from millrace.operators.throttle import request_counts, request_rates
 from millrace.plans.ingest import discover_sources
 from millrace.plans.interest import apply_feedback
-from millrace.streaming.jobs import preference_writer, throttle_stream, weekly_topic_counts
+from millrace.streaming.jobs import preference_writer, weekly_topic_counts
 from tests.test_feedback import make_log
 
 NOW = datetime(2024, 1, 31)
@@ -92,7 +92,7 @@ def test_discovery_round(spark):
     assert got["cool.example"]["last_attempted_at"] == NOW - timedelta(days=5)
 
 
-def throttle_events(spark):
+def request_log(spark):
     rng = random.Random(4)
     rows, at = [], {}
     for i in range(900):
@@ -102,15 +102,11 @@ def throttle_events(spark):
     return rows, spark.createDataFrame(rows, "key string, event_id long, at timestamp")
 
 
-def test_throttle_equals_fold(spark):
-    rows, df = throttle_events(spark)
-    windows, want = {}, {}
-    for key, i, at in rows:
-        micros = int((at - datetime(1970, 1, 1)).total_seconds() * 1e6)
-        want[i] = windows.setdefault(key, Window(5, 60_000_000)).offer(micros)
-    got = {r["event_id"]: (r["accepted"], r["wait_seconds"]) for r in throttle(df, 5, 60).collect()}
-    assert got == want
-    assert any(not ok and wait > 0 for ok, wait in want.values())
+def test_request_rates_equal_a_scan(spark):
+    rows, df = request_log(spark)
+    want = {i: sum(k == key and timedelta(0) <= at - t < timedelta(seconds=60) for k, _, t in rows) for key, i, at in rows}
+    got = {r["event_id"]: (r["recent"], r["over_limit"]) for r in request_rates(df, 5, 60).collect()}
+    assert got == {i: (n, n > 5) for i, n in want.items()} and any(o for _, o in got.values())
 
 
 @pytest.fixture
@@ -123,16 +119,18 @@ def streams(spark, tmp_path):
     return as_stream
 
 
-def test_throttle_stream(spark, streams, tmp_path):
-    rows, df = throttle_events(spark)
+def test_request_counts_stream(spark, streams, tmp_path):
+    rows, df = request_log(spark)
     parts = [df.filter(F.col("event_id") < 450), df.filter(F.col("event_id") >= 450)]
-    stream = throttle_stream(streams(parts, df.schema), 5, 60)
-    query = stream.writeStream.format("memory").queryName("throttled").outputMode("append").option(
+    stream = request_counts(streams(parts, df.schema), 60, "1 day")
+    query = stream.writeStream.format("memory").queryName("requests").outputMode("complete").option(
         "checkpointLocation", str(tmp_path / "cp")
     ).start()
     query.processAllAvailable()
     query.stop()
-    assert spark.table("throttled").count() == len(rows)
+    want = {(r.key, r.window_start): r.requests for r in request_counts(df, 60).collect()}
+    assert {(r.key, r.window_start): r.requests for r in spark.table("requests").collect()} == want
+    assert sum(want.values()) == len(rows)
 
 
 def test_weekly_counts_and_preferences_stream(spark, streams, tmp_path):

@@ -9,13 +9,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_tags, detect_language, language_tag, published_at, translated_title
-from millrace.functions.urls import canonical_form, normal_form, unsafe_reason
+from millrace.functions.urls import normal_form, resolve_canonical, unsafe_reason
 from millrace.operators import classify as C
 from millrace.operators.ingest import newest, search_queries
 from millrace.plans.dedup import deduplicate
 from millrace.plans.enrich import analyze_changed, embed_changed
 from millrace.sources import documents as S
-from millrace.sources.pages import extract_articles, feed_links, strip_site_suffix
+from millrace.sources.pages import extract_articles, feed_links, without_site_name
 from millrace.sources.sinks import replace_users, upsert
 from millrace.sources.url_list import first_url, read_url_lines, screen_registrations
 
@@ -48,9 +48,10 @@ def test_normal_form_ignores_order_and_tracking(pairs):
     assert normal_form(base) == base
 
 
-def test_canonical_and_safety():
-    assert canonical_form("https://a.example/x", "/y?utm_a=1") == "https://a.example/y"
-    assert canonical_form("https://a.example/x", "https://evil.example/y") == "https://a.example/x"
+def test_canonical_and_safety(spark):
+    links = [("https://a.example/x", h) for h in ("/y?utm_a=1", "https://evil.example/y", None, "", "http://[bad")]
+    found = spark.createDataFrame(links, "u string, h string").select(resolve_canonical("u", "h")).collect()
+    assert [r[0] for r in found] == ["https://a.example/y"] + ["https://a.example/x"] * 4
     assert [unsafe_reason(u) for u in ("ftp://a/b", "http://10.0.0.1/", "http://169.254.169.254/x", "http://[::1]/", "http://8.8.8.8/", "http://a.example")] == [
         "scheme", "address", "address", "address", None, None,
     ]
@@ -65,6 +66,8 @@ def test_first_url():
         "http://... then https://e.example!": "https://e.example",
         "plain": None,
         "1+http://e.example": "http://e.example",
+        "(http://e.example/a://b)": "http://e.example/a://b",
+        "a://] b://c": "b://c",
     }
     assert {line: first_url(line) for line in cases} == cases
 
@@ -142,7 +145,7 @@ def test_pages(spark):
     assert good["published_at"] == datetime(2024, 1, 1, 18, 4, 5) and good["error_reason"] is None
     assert "evil" not in good["body"] and "menu" not in good["body"] and "unclosed" in good["body"]
     assert rows["https://e.example/short"]["error_reason"] == "no_body"
-    assert strip_site_suffix("A - B - Site", ["site"]) == "A - B" and strip_site_suffix("Site - A", ["site"]) == "Site - A"
+    assert without_site_name("A - B - Site", ["site"]) == "A - B" and without_site_name("Site - A", ["site"]) == "Site - A"
     links = "".join(f'<link rel="alternate" type="application/rss+xml" href="/{i}">' for i in range(8))
     home = spark.createDataFrame([("e.example", "https://e.example/", links)], "domain string, url string, html string")
     assert [r["feed_url"] for r in feed_links(home).orderBy("position").collect()] == [f"https://e.example/{i}" for i in range(5)]
