@@ -10,7 +10,7 @@ import catalog.duplicates  # noqa: F401  (its SQL views are used below)
 from catalog.registry import register
 from catalog.views import NOW, Views, add_sql_view, now, stamp
 from millrace.config import AUTHORITY_BY_TYPE, DEFAULT, SOURCE_TIERS
-from millrace.functions.text import resolve_language
+from millrace.functions.text import STOP_WORDS, resolve_language
 from millrace.operators import classify as C
 from millrace.operators import feeds as FE
 from millrace.operators import filters as FL
@@ -425,22 +425,57 @@ def _(v: Views):
     return screen_registrations(read_url_lines(lists), known).select("list_id", "line_number", "url", "status")
 
 
+_VOTES = ", ".join(
+    f"{{'hits': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words.split())}))), 'place': {-i}, 'code': '{code}'}}"
+    for i, (code, words) in enumerate(STOP_WORDS.items())
+)
+add_sql_view(
+    "spoken",
+    ("articles",),
+    rf"""SELECT article_id, coalesce(CASE WHEN length(trim(body)) >= 40 THEN CASE WHEN kana * 20 >= length(body) THEN 'ja'
+        WHEN best.hits > 0 THEN best.code END END, regexp_extract(lower(language), '^([a-z]{{2,3}})', 1)) AS language
+      FROM (SELECT *, list_sort([{_VOTES}])[-1] AS best FROM (
+        SELECT article_id, body, language, string_split_regex(lower(body), '[^\p{{L}}]+') AS w,
+          length(body) - length(regexp_replace(body, '[぀-ヿ]', '', 'g')) AS kana FROM articles))""",
+)
+
+
+@register("language_vote", "SELECT article_id, language FROM spoken", ("spoken",))
+def _(v: Views):
+    return v.articles.select("article_id", resolve_language(F.col("language"), F.col("body")).alias("language"))
+
+
 @register(
-    "language_vote",
-    """SELECT count(*) AS documents FROM documents""",
+    "language_agreement",
+    """SELECT a.language AS declared, s.language AS detected, count(*) AS articles
+    FROM articles a JOIN spoken s USING (article_id) GROUP BY 1, 2""",
+    ("articles", "spoken"),
 )
 def _(v: Views):
-    rows = v.articles.select(resolve_language(F.col("language"), F.col("body")).alias("code"))
-    return rows.filter(F.col("code").isNotNull()).agg(F.count("*").alias("documents"))
+    rows = v.articles.select(F.col("language").alias("declared"), resolve_language(F.col("language"), F.col("body")).alias("detected"))
+    return rows.groupBy("declared", "detected").agg(F.count("*").alias("articles"))
 
 
-@register("embed_changed")
+@register(
+    "embed_changed",
+    "SELECT article_id, 1024 AS width, body_hash AS embedded_body_hash FROM articles WHERE embedding IS NULL",
+    ("articles",),
+)
 def _(v: Views):
     rows = v.articles.withColumn("embedded_body_hash", F.col("body_hash"))
     return embed_changed(rows).select("article_id", F.size("embedding").alias("width"), "embedded_body_hash")
 
 
-@register("analyze_changed")
+@register(
+    "analyze_changed",
+    r"""SELECT a.article_id, s.language, 'completed' AS analysis_status,
+      CASE WHEN regexp_matches('title: ' || title || chr(10) || chr(10) || body, '```|def |import |\(\);') THEN 'implementation'
+        ELSE 'news' END AS content_type,
+      least(8, len(list_distinct(list_filter(list_transform(regexp_split_to_array(body, '\s+'), lambda w: trim(w, '.,;:!?()')),
+        lambda w: length(w) > 3 AND lower(w[1]) <> w[1]))))::INT AS topics
+    FROM articles a JOIN spoken s USING (article_id) WHERE summary IS NULL OR a.article_id % 3 <> 0""",
+    ("articles", "spoken"),
+)
 def _(v: Views):
     a = F.col("article_id")
     rows = v.articles.withColumn("analyzed_body_hash", F.when(a % 3 == 0, F.col("body_hash")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.registry import register
 from catalog.views import NOW, Views, add_sql_view, now
 from millrace.config import DEFAULT
-from millrace.functions.text import body_hash, normalize_title
+from millrace.functions.text import body_hash, normalize_title, title_form
 from millrace.functions.urls import normalize_url
 from millrace.operators import dedup as D
 from millrace.plans.dedup import deduplicate
@@ -17,7 +17,7 @@ from millrace.plans.dedup import deduplicate
 VECTOR_THRESHOLD = 0.45  # the test vectors are near-orthogonal
 CFG = replace(
     DEFAULT,
-    dedup=replace(DEFAULT.dedup, embedding_similarity=VECTOR_THRESHOLD, lookback_days=60),
+    dedup=replace(DEFAULT.dedup, embedding_similarity=VECTOR_THRESHOLD, lookback_days=60, max_judge_calls=50),
     title_block_rows=512,
     vector_tile_rows=128,
 )
@@ -36,7 +36,7 @@ add_sql_view(
 add_sql_view(
     "titles",
     ("articles",),
-    r"""SELECT article_id, regexp_replace(replace(lower(nfc_normalize(substr(title, 1, 300))), 'ß', 'ss'),
+    r"""SELECT article_id, regexp_replace(replace(lower(nfc_normalize(title)), 'ß', 'ss'),
       '[^\p{L}\p{N}]', '', 'g') AS text FROM articles""",
 )
 
@@ -51,6 +51,16 @@ def _(v: Views):
     return v.articles.select("article_id", normalize_title("title").alias("text"))
 
 
+@register(
+    "normalize_title_capped",
+    r"""SELECT article_id, regexp_replace(replace(lower(nfc_normalize(substr(title, 1, 300))), 'ß', 'ss'),
+      '[^\p{L}\p{N}]', '', 'g') AS text FROM articles""",
+    ("articles",),
+)
+def _(v: Views):
+    return v.articles.select("article_id", title_form(300)("title").alias("text"))
+
+
 @register(
     "body_hash",
     r"""SELECT article_id, sha256(trim(regexp_replace(body, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'))) AS hash FROM articles""",

@@ -11,7 +11,7 @@ from millrace.operators import dashboards as D
 from millrace.operators import feedback as FB
 from millrace.operators import filters as FL
 from millrace.operators import preferences as P
-from millrace.operators.distributed import top_per_key
+from millrace.operators.distributed import ordered_index
 
 WEEKS = 12
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -462,8 +462,7 @@ def _(v: Views):
         PARTITION BY u.user_id ORDER BY u.created_at DESC, u.article_id DESC) AS position
     FROM user_articles u JOIN articles a USING (article_id)
     WHERE u.origin IN ('manual', 'good') AND a.language = 'en' AND a.domain IS NOT NULL
-      AND u.created_at >= TIMESTAMP '2024-01-03' AND NOT a.is_primary_source
-    QUALIFY position <= 100""",
+      AND u.created_at >= TIMESTAMP '2024-01-03' AND NOT a.is_primary_source""",
     ("user_articles", "articles"),
 )
 def _(v: Views):
@@ -475,7 +474,10 @@ def _(v: Views):
     )
     rows = FL.interest_list(v.user_articles, v.articles.filter(F.col("domain").isNotNull()), spec)
     order = [F.col("created_at").desc(), F.col("article_id").desc()]
-    return top_per_key(rows, ["user_id"], order, 100).select("user_id", "article_id", "origin", "position")
+    # Positions from the global order: a user with a third of all rows is spread over tasks.
+    placed = ordered_index(rows, F.col("user_id"), *order, name="place")
+    first = placed.groupBy("user_id").agg(F.min("place").alias("first"))
+    return placed.join(first, "user_id").select("user_id", "article_id", "origin", (F.col("place") - F.col("first") + 1).alias("position"))
 
 
 @register(

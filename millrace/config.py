@@ -199,7 +199,8 @@ class Dedup:
     lookback_days: int = 7
     # None switches the per-run safety cap off (the single-machine default was 500).
     max_articles_per_run: int | None = None
-    max_judge_calls: int = 50
+    # None: every candidate is judged; a number is a stated budget for one run.
+    max_judge_calls: int | None = None
 
     def penalties(self) -> dict[str, float]:
         return {
@@ -263,10 +264,11 @@ class EngineConfig:
     summary_limit: int = 20
 
     freshness_days: int = 7
-    max_crawl_candidates: int = 200
+    # None: no cap.
+    max_crawl_candidates: int | None = None
     max_queries: int = 10
     interest_source_articles: int = 20
-    hacker_news_top_items: int = 50
+    hacker_news_top_items: int | None = None
     max_url_length: int = 2048
 
     log_retention_days: int = 90

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COMPARED_TITLE = 300  # fixed value: titles are compared on their first 300 characters
 MAX_LABEL = 80
 MAX_TAGS = 8
 MAX_SUMMARY = 400
@@ -17,17 +16,23 @@ CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 INVALID_LANGUAGES = ("x", "und", "zxx", "mul", "qaa")
 
 
-@F.pandas_udf(T.StringType())
-def normalize_title(titles: pd.Series) -> pd.Series:
-    """NFKC, case folded, letters and digits only (Spark has neither NFKC nor case folding)."""
+def title_form(limit: int | None = None):
+    """NFKC, case folded, letters and digits only (Spark has neither NFKC nor case folding); ``limit`` characters if given."""
 
-    def clean(title):
-        if title is None:
-            return None
-        folded = unicodedata.normalize("NFKC", title[:MAX_COMPARED_TITLE]).casefold()
-        return "".join(filter(str.isalnum, folded))
+    @F.pandas_udf(T.StringType())
+    def apply(titles: pd.Series) -> pd.Series:
+        def clean(title):
+            if title is None:
+                return None
+            folded = unicodedata.normalize("NFKC", title[:limit]).casefold()
+            return "".join(filter(str.isalnum, folded))
 
-    return titles.map(clean)
+        return titles.map(clean)
+
+    return apply
+
+
+normalize_title = title_form()
 
 
 def body_hash(body: Column) -> Column:

@@ -102,25 +102,16 @@ def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) ->
         ).alias("q"),
     ).filter((F.col("edits") > 0) & (F.length("text") >= F.col("q")))
     positions = F.sequence(F.lit(1), F.col("len") - F.col("q") + 1)
-    grams = sized.select(
-        "tid",
-        "text",
-        "len",
-        "edits",
-        "q",
-        F.explode(
-            F.transform(
-                positions, lambda p: F.struct(p.alias("pos"), F.substring(F.col("text"), p, F.col("q")).alias("gram"))
-            )
-        ).alias("g"),
-    ).select("tid", "text", "len", "edits", "q", "g.pos", "g.gram")
+    cut = F.transform(positions, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.substring(F.col("text"), p, F.col("q"))).alias("gram")))
+    # Grams travel as hashes and without the text; equal hashes of different grams only add candidates.
+    grams = sized.select("tid", "len", "edits", "q", F.explode(cut).alias("g")).select("tid", "len", "edits", "q", "g.pos", "g.gram")
     frequency = grams.groupBy("gram").agg(F.count("*").alias("freq"))
     # rank(), not row_number(): every occurrence of the last chosen gram stays in the prefix.
-    rarest = Window.partitionBy("tid", "q").orderBy("freq", "gram")  # at most 300 grams per title
+    rarest = Window.partitionBy("tid", "q").orderBy("freq", "gram")  # the grams of one title
     prefix = (
         grams.join(frequency, "gram")
         .withColumn("_r", F.rank().over(rarest))
-        .filter(F.col("_r") <= F.col("edits") * F.col("q") + 1)
+        .filter((F.col("_r") <= F.col("edits") * F.col("q") + 1) & (F.col("freq") > 1))
         .drop("_r", "freq")
     )
     prefix = materialize(prefix)
@@ -145,12 +136,17 @@ def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) ->
     same_tile = (
         (F.col("x.gram") == F.col("y.gram")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     )
+    candidates = x.join(y, same_tile & close).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
     within = F.expr(
-        f"levenshtein(x.text, y.text, cast(floor({slack!r}D * greatest(x.len, y.len) + {EPSILON!r}D) as int)) >= 0"
+        f"levenshtein(text_a, text_b, cast(floor({slack!r}D * greatest(length(text_a), length(text_b)) + {EPSILON!r}D) as int)) >= 0"
+    )
+    texts = titles.select("tid", "text")
+    matches = (
+        candidates.join(texts.withColumnsRenamed({"tid": "a", "text": "text_a"}), "a")
+        .join(texts.withColumnsRenamed({"tid": "b", "text": "text_b"}), "b")
+        .filter(within)
+        .select("a", "b")
     )
-    # CASE fixes the order of evaluation: the edit distance runs only where the cheap tests passed.
-    verified = F.when(close, within).otherwise(False)
-    matches = x.join(y, same_tile & verified).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
     return matches.mapInPandas(spanning_forest, EDGES).distinct()
 
 
@@ -205,77 +201,107 @@ def embedding_edges(
     return equal.union(found.withColumn("stage", F.lit("embedding")))
 
 
+PIVOTS = 16
+
+
 def _cell_edges(vectors: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+    placed, hub, radius = _placed_vectors(vectors, threshold, tile_rows)
+    compared = vector_tiles(placed, radius).groupBy("cell_x", "core_x", "block_x", "cell_y", "core_y", "block_y")
+    return hub.union(compared.applyInPandas(_tile_edges(threshold), EDGES)).distinct()
+
+
+def _tile_edges(threshold: float):
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        matrix = unit_rows(np.array(frame["embedding"].tolist(), dtype=np.float64))
+        ids, left = frame["vid"].to_numpy(), frame["left"].to_numpy()
+        if frame["inside"].iloc[0]:
+            return _forest_of_matrix(matrix @ matrix.T >= threshold - EPSILON, ids)
+        near = np.zeros((len(ids), len(ids)), dtype=bool)
+        near[np.ix_(left, ~left)] = matrix[left] @ matrix[~left].T >= threshold - EPSILON
+        return _forest_of_matrix(near | near.T, ids)
+
+    return compare
+
+
+def _placed_vectors(vectors: DataFrame, threshold: float, tile_rows: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, float]:
+    """Vectors with cell, block and distances to the pivots; edges around the centres; the link radius.
+
+    At most 256 data vectors are centres, the first of them also pivots.  A vector within half the radius of its
+    centre (``core``) is linked to it, and so are any two of them: they need no comparison among themselves.
+    """
     total = vectors.count()
     centres = min(256, math.ceil(total / tile_rows))
     sample = vectors.orderBy(F.xxhash64("vid"), "vid").limit(centres).select("vid", "embedding").collect()
     centre_ids = np.array([r["vid"] for r in sample], dtype=np.int64)
     centre = unit_rows(np.array([r["embedding"] for r in sample], dtype=np.float64))  # at most 256 vectors
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * (threshold - EPSILON)))
-    gaps = np.sqrt(np.maximum(2.0 - 2.0 * centre @ centre.T, 0.0))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             matrix = unit_rows(np.array(batch["embedding"].tolist(), dtype=np.float64))
-            squared = np.maximum(2.0 - 2.0 * matrix @ centre.T, 0.0)
-            home = squared.argmin(axis=1)
-            nearest = squared[np.arange(len(matrix)), home]
-            border = (squared - nearest[:, None]) <= 2.0 * gaps[home] * radius + EPSILON
-            border[np.arange(len(matrix)), home] = True
-            row, cell = np.nonzero(border)
-            at_home = cell == home[row]
-            core = at_home & (np.sqrt(nearest[row]) <= radius / 2 - EPSILON)
+            gaps = np.sqrt(np.maximum(2.0 - 2.0 * matrix @ centre.T, 0.0))
+            home = gaps.argmin(axis=1)
             yield pd.DataFrame(
                 {
-                    "vid": batch["vid"].to_numpy()[row],
-                    "embedding": batch["embedding"].to_numpy()[row],
-                    "cell": cell.astype("int32"),
-                    "home": at_home,
-                    "core": core,
-                    "centre_id": centre_ids[cell],
+                    "vid": batch["vid"],
+                    "embedding": batch["embedding"],
+                    "cell": home.astype("int32"),
+                    "core": gaps[np.arange(len(home)), home] <= radius / 2 - EPSILON,
+                    "centre_id": centre_ids[home],
+                    "gaps": list(gaps[:, :pivots]),
                 }
             )
 
-    placed = materialize(
-        vectors.select("vid", "embedding").mapInPandas(
-            assign, "vid long, embedding array<float>, cell int, home boolean, core boolean, centre_id long"
-        )
-    )
-    hub = placed.filter(F.col("core") & (F.col("vid") != F.col("centre_id"))).select(
-        F.col("vid").alias("a"), F.col("centre_id").alias("b")
-    )
-    sizes = placed.groupBy("cell").agg(
-        F.ceil(F.count_if(~F.col("core")) / F.lit(tile_rows)).cast("int").alias("free_blocks"),
-        F.ceil(F.count_if("core") / F.lit(tile_rows)).cast("int").alias("core_blocks"),
-    )
-    sized = placed.join(sizes, "cell").withColumn("mark", F.xxhash64("vid"))
-    free = sized.filter(~F.col("core")).withColumn("block", F.pmod("mark", "free_blocks").cast("int"))
-    core = sized.filter("core").withColumn("block", F.pmod("mark", "core_blocks").cast("int"))
-    columns = ["cell", "kind", "i", "j", "vid", "embedding", "home", "side"]
-
-    def part(df: DataFrame, kind: str, others: str, i: Column, j: Column, side: Column) -> DataFrame:
-        spread = df.filter(F.col(others) > 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
-        return spread.withColumns({"kind": F.lit(kind), "i": i, "j": j, "side": side}).select(*columns)
-
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tiles = (
-        part(free, "free", "free_blocks", low, high, (F.col("block") == low).cast("int"))
-        .union(part(free, "mixed", "core_blocks", F.col("block"), F.col("other"), F.lit(1)))
-        .union(part(core, "mixed", "free_blocks", F.col("other"), F.col("block"), F.lit(0)))
-    )
+    schema = "vid long, embedding array<float>, cell int, core boolean, centre_id long, gaps array<double>"
+    near = vectors.select("vid", "embedding").mapInPandas(assign, schema)
+    near = materialize(near)
+    hub = near.filter(F.col("core") & (F.col("vid") != F.col("centre_id"))).select(F.col("vid").alias("a"), F.col("centre_id").alias("b"))
+    sizes = near.groupBy("cell", "core").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    return near.join(sizes, ["cell", "core"]).withColumn("block", block).drop("blocks", "centre_id"), hub, radius
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        matrix = unit_rows(np.array(frame["embedding"].tolist(), dtype=np.float64))
-        near = matrix @ matrix.T >= threshold - EPSILON
-        home = frame["home"].to_numpy()
-        near &= home[:, None] | home[None, :]
-        side = frame["side"].to_numpy()
-        if side.any() and not side.all():
-            near &= side[:, None] != side[None, :]
-        return _forest_of_matrix(near, frame["vid"].to_numpy())
 
-    compared = tiles.groupBy("cell", "kind", "i", "j").applyInPandas(compare, EDGES)
-    return hub.union(compared).distinct()
+def vector_tiles(placed: DataFrame, radius: float) -> DataFrame:
+    """Rows of the pairs of blocks that can hold a link, each pair once.
+
+    By the triangle inequality two vectors at most ``radius`` apart differ by at most that in the distance to any
+    pivot.  Block bounds rule out pairs of blocks, and a vector goes only to blocks whose bounds it can reach: ids and
+    distances decide before a vector moves.
+    """
+    reach = radius + EPSILON
+    pivots = len(placed.select("gaps").first()["gaps"])  # the same for all rows
+    bounds = [f(F.col("gaps")[k]).alias(f"{n}{k}") for k in range(pivots) for n, f in (("low", F.min), ("high", F.max))]
+    blocks = materialize(placed.groupBy("cell", "core", "block").agg(*bounds))
+    cells = [r.asDict() for r in blocks.groupBy("cell").agg(
+        *(F.min(f"low{k}").alias(f"low{k}") for k in range(pivots)), *(F.max(f"high{k}").alias(f"high{k}") for k in range(pivots))
+    ).collect()]  # at most 256 rows
+
+    def apart(x: dict, y: dict) -> bool:
+        return any(x[f"low{k}"] > y[f"high{k}"] + reach or y[f"low{k}"] > x[f"high{k}"] + reach for k in range(pivots))
+
+    touching = [(x["cell"], y["cell"]) for x in cells for y in cells if x["cell"] <= y["cell"] and not apart(x, y)]
+    adjacent = blocks.sparkSession.createDataFrame(touching, "cell_x int, cell_y int")
+    x, y = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "xy")
+    key_x, key_y = F.struct("core_x", "block_x"), F.struct("core_y", "block_y")
+    overlap = F.lit(True)
+    for k in range(pivots):
+        overlap &= (F.col(f"low{k}_x") <= F.col(f"high{k}_y") + reach) & (F.col(f"low{k}_y") <= F.col(f"high{k}_x") + reach)
+    once = (F.col("cell_x") < F.col("cell_y")) | (key_x <= key_y)
+    settled = (F.col("cell_x") == F.col("cell_y")) & F.col("core_x") & F.col("core_y")
+    pairs = x.join(F.broadcast(adjacent), "cell_x").join(y, "cell_y").filter(once & overlap & ~settled)
+    keys = ["cell_x", "core_x", "block_x", "cell_y", "core_y", "block_y"]
+    inside = (F.col("cell_x") == F.col("cell_y")) & (key_x == key_y)
+
+    def side(own: str, other: str, left: bool) -> DataFrame:
+        reachable = F.lit(True)
+        for k in range(pivots):
+            reachable &= (F.col("gaps")[k] >= F.col(f"low{k}_{other}") - reach) & (F.col("gaps")[k] <= F.col(f"high{k}_{other}") + reach)
+        rows = pairs if left else pairs.filter(~inside)
+        same = [F.col(c) == F.col(f"{c}_{own}") for c in ("cell", "core", "block")]
+        joined = placed.join(rows, same).filter(reachable)
+        return joined.select(*keys, inside.alias("inside"), F.lit(left).alias("left"), "vid", "embedding")
+
+    return side("x", "y", True).union(side("y", "x", False))
 
 
 def _forest_of_matrix(near: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
@@ -379,7 +405,7 @@ def judge_candidates(candidates: DataFrame, judge: Judge, settings: Dedup = DEFA
     The budget goes to clusters in id order.  A failing judge means no value of its own.
     """
     fresh = candidates.filter(needs_judgement("judged_body_hash"))
-    budget = fresh.orderBy("component", "position").limit(settings.max_judge_calls)
+    budget = fresh if settings.max_judge_calls is None else fresh.orderBy("component", "position").limit(settings.max_judge_calls)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -49,8 +49,10 @@ def new_entries_per_feed(feed_status: DataFrame, candidates: DataFrame) -> DataF
     return good.join(counts, "feed_url", "left").select("feed_url", F.coalesce("new_entry_count", F.lit(0)).alias("new_entry_count"))
 
 
-def newest(candidates: DataFrame, limit: int) -> DataFrame:
-    """Newest candidates first, unknown dates last; arrival order decides ties."""
+def newest(candidates: DataFrame, limit: int | None) -> DataFrame:
+    """Newest candidates first, unknown dates last; arrival order decides ties.  No ``limit``: all, in any order."""
+    if limit is None:
+        return candidates
     if limit <= 0:
         return candidates.limit(0)
     return candidates.orderBy(F.desc_nulls_last("published_at"), *arrival()).limit(limit)

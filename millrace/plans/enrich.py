@@ -5,9 +5,9 @@ Models are plugged in as providers: plain callables evaluated in Arrow batches o
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import clean_summary, clean_tags, clean_text, resolve_language, translated_title
 from millrace.operators.filters import needs_analysis, needs_embedding
 
-# What a provider sees of an article, and the batch and vector size.
-EMBEDDED_CHARACTERS = 40_000
-ANALYSED_TITLE, ANALYSED_BODY = 300, 12_000
+# The batch and vector size.
 EMBEDDING_BATCH = 16
 DIMENSIONS = 1024
 
@@ -28,29 +26,49 @@ Analyzer = Callable[[str], dict]
 
 
 def hashed_ngrams(texts: list[str]) -> np.ndarray:
-    """Built-in embedder: unit vectors of hashed word unigrams and bigrams."""
+    """Built-in embedder: unit vectors of hashed word unigrams and bigrams.
+
+    Grams are interned once per batch, so each distinct gram is hashed once and counts are array sums.
+    """
+    words = [text.lower().split() for text in texts]
+    grams = [[*w, *map(" ".join, zip(w, w[1:]))] for w in words]
+    number = {gram: i for i, gram in enumerate(dict.fromkeys(chain.from_iterable(grams)))}
+    codes = pd.util.hash_array(np.array([*number, ""], dtype=object), categorize=False)
+    slot, sign = (codes % DIMENSIONS).astype(np.int64), np.where(codes >> np.uint64(63), 1.0, -1.0)
     out = np.zeros((len(texts), DIMENSIONS))
-    for row, text in enumerate(texts):
-        words = text.lower().split()
-        for gram in (*words, *map(" ".join, zip(words, words[1:]))):
-            code = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-            out[row, code % DIMENSIONS] += 1.0 if code >> 63 else -1.0
+    for row, own in enumerate(grams):
+        at = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
+        out[row] = np.bincount(slot[at], weights=sign[at], minlength=DIMENSIONS)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norms == 0, 1.0, norms)
 
 
-def embed_changed(articles: DataFrame, embedder: Embedder = hashed_ngrams) -> DataFrame:
-    """(article_id, embedding, embedded_body_hash) of articles without a current vector."""
+def pooled(embedder: Embedder, texts: list[str], piece: int | None) -> np.ndarray:
+    """Vectors of whole texts.  A model with a limited window gets pieces; their vectors are added by length."""
+    if piece is None:
+        return embedder(texts)
+    parts = [[t[i : i + piece] for i in range(0, len(t), piece)] or [""] for t in texts]
+    vectors, sums, at = embedder(list(chain.from_iterable(parts))), np.zeros((len(texts), DIMENSIONS)), 0
+    for row, own in enumerate(parts):
+        sums[row] = np.array([len(p) for p in own], dtype=np.float64) @ vectors[at : at + len(own)]
+        at += len(own)
+    norms = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(norms == 0, 1.0, norms)
+
+
+def embed_changed(articles: DataFrame, embedder: Embedder = hashed_ngrams, piece: int | None = None) -> DataFrame:
+    """(article_id, embedding, embedded_body_hash) of articles without a current vector.
+
+    Whole texts are embedded; ``piece`` is the window of the embedder in characters, if it has one.
+    """
     todo = articles.filter(needs_embedding("embedding", "embedded_body_hash")).select(
-        "article_id",
-        "body_hash",
-        F.substring(F.concat_ws("\n\n", "title", "body"), 1, EMBEDDED_CHARACTERS).alias("text"),
+        "article_id", "body_hash", F.concat_ws("\n\n", "title", "body").alias("text")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            parts = [embedder(texts[i : i + EMBEDDING_BATCH]) for i in range(0, len(texts), EMBEDDING_BATCH)]
+            parts = [pooled(embedder, texts[i : i + EMBEDDING_BATCH], piece) for i in range(0, len(texts), EMBEDDING_BATCH)]
             vectors = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS))
             yield pd.DataFrame(
                 {
@@ -64,7 +82,7 @@ def embed_changed(articles: DataFrame, embedder: Embedder = hashed_ngrams) -> Da
 
 
 ANALYSIS = (
-    "article_id long, translated_title string, summary string, domain string, category string, "
+    "article_id long, title string, body_hash string, language string, translated_title string, summary string, domain string, category string, "
     "topics array<string>, technologies array<string>, content_type string, difficulty string, "
     "technical_quality double, error string, attempts int, millis double"
 )
@@ -89,17 +107,27 @@ def rule_based(text: str) -> dict:
     }
 
 
-def analyze_changed(articles: DataFrame, analyzer: Analyzer = rule_based, attempts: int = 3) -> DataFrame:
-    """Cleaned analysis per article whose body changed; failures are rows with ``error``."""
-    text = F.concat(
-        F.lit("title: "), F.substring("title", 1, ANALYSED_TITLE), F.lit("\n\n"), F.substring("body", 1, ANALYSED_BODY)
+def analyze_changed(
+    articles: DataFrame, analyzer: Analyzer = rule_based, attempts: int = 3, max_title: int | None = None, max_body: int | None = None
+) -> DataFrame:
+    """Cleaned analysis per article whose body changed; failures are rows with ``error``.
+
+    The analyzer sees whole texts unless its window is stated by ``max_title`` and ``max_body``.
+    """
+    title = F.col("title") if max_title is None else F.substring("title", 1, max_title)
+    body = F.col("body") if max_body is None else F.substring("body", 1, max_body)
+    # What is needed after the analysis travels with the row, the body does not come back.
+    language = resolve_language(F.col("language"), F.col("body"))
+    todo = articles.filter(needs_analysis("summary", "analyzed_body_hash")).select(
+        "article_id", "title", "body_hash", language.alias("language"),
+        F.concat(F.lit("title: "), title, F.lit("\n\n"), body).alias("text"),
     )
-    todo = articles.filter(needs_analysis("summary", "analyzed_body_hash")).select("article_id", text.alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for article_id, content in zip(batch["article_id"], batch["text"]):
+            carried = zip(batch["article_id"], batch["title"], batch["body_hash"], batch["language"], batch["text"])
+            for article_id, title, body_hash, language, content in carried:
                 start, result, error, tries = time.perf_counter(), {}, None, 0
                 while tries < attempts:
                     tries += 1
@@ -109,17 +137,16 @@ def analyze_changed(articles: DataFrame, analyzer: Analyzer = rule_based, attemp
                     except Exception as failure:  # noqa: BLE001 - recorded, the job goes on
                         error = type(failure).__name__
                 spent = (time.perf_counter() - start) * 1000
-                rows.append({**result, "article_id": article_id, "error": error, "attempts": tries, "millis": spent})
+                kept = {"article_id": article_id, "title": title, "body_hash": body_hash, "language": language}
+                rows.append({**result, **kept, "error": error, "attempts": tries, "millis": spent})
             frame = pd.DataFrame(rows, columns=_FIELDS).astype(object)
             yield frame.where(frame.notna(), None)
 
     raw = todo.mapInPandas(run, ANALYSIS)
-    source = articles.select("article_id", "title", F.col("language").alias("declared"), "body", "body_hash")
-    language = resolve_language(F.col("declared"), F.col("body"))
-    return raw.join(source, "article_id").select(
+    return raw.select(
         "article_id",
-        language.alias("language"),
-        translated_title(F.col("translated_title"), F.col("title"), language).alias("translated_title"),
+        "language",
+        translated_title(F.col("translated_title"), F.col("title"), F.col("language")).alias("translated_title"),
         clean_summary(F.col("summary")).alias("summary"),
         clean_text(F.col("domain")).alias("domain"),
         clean_text(F.col("category")).alias("category"),

@@ -116,10 +116,10 @@ def _candidate(rows: DataFrame, collector: str, url: Column, title: Column, publ
     return out.filter((F.length("url") > 0) & (F.length(F.trim("title")) > 0))
 
 
-def hacker_news_candidates(top: DataFrame, items: DataFrame, limit: int = DEFAULT.hacker_news_top_items) -> DataFrame:
-    """First ``limit`` story ids of the landed list (content), joined to items (item_id, content)."""
+def hacker_news_candidates(top: DataFrame, items: DataFrame, limit: int | None = DEFAULT.hacker_news_top_items) -> DataFrame:
+    """Story ids of the landed list (content), the first ``limit`` if given, joined to items (item_id, content)."""
     ids = F.filter(F.transform(F.from_json("content", "array<string>"), lambda s: s.try_cast("long")), lambda i: i.isNotNull())
-    wanted = top.select(F.posexplode(F.slice(ids, 1, limit)).alias("position", "item_id"))
+    wanted = top.select(F.posexplode(ids if limit is None else F.slice(ids, 1, limit)).alias("position", "item_id"))
     rows = wanted.join(items, "item_id").withColumn("j", F.try_parse_json("content"))
     j = F.col("j")
     date = F.timestamp_seconds(_json_number(j, "$.time"))
