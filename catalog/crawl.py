@@ -482,6 +482,22 @@ def _(v: Views):
     return analyze_changed(rows).select("article_id", "language", "content_type", "analysis_status", F.size("topics").alias("topics"))
 
 
+@register(
+    "source_status",
+    """WITH n AS (SELECT count(DISTINCT article_id // 10) AS feeds, count_if(title <> '') AS entries, count(*) AS docs,
+        count_if(article_id % 13 = 0 AND article_id % 11 <> 0) AS bad,
+        count_if(article_id % 11 <> 0 AND article_id % 13 <> 0 AND title <> '') AS found FROM landed)
+    SELECT 'feeds' AS source, feeds AS documents, 0 AS unreadable, entries AS candidates, true AS succeeded FROM n
+    UNION ALL SELECT 'search', docs, bad, found, true FROM n UNION ALL SELECT 'releases', docs, docs, 0, false FROM n""",
+    ("landed",),
+)
+def _(v: Views):
+    broken = search_responses(v).select(F.col("query").alias("repository"), F.lit("Bad gateway").alias("content"))
+    documents = {"feeds": feeds(v), "search": search_responses(v), "releases": broken}
+    given = {"feeds": S.feed_candidates(feeds(v)), "search": S.search_candidates(documents["search"]), "releases": S.release_candidates(broken)}
+    return S.source_status(documents, given)
+
+
 # --- search terms and queries ----------------------------------------------------------------
 
 

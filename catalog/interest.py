@@ -506,3 +506,24 @@ def _(v: Views):
 )
 def _(v: Views):
     return D.page_counts(v.user_articles, ["user_id"], 20)
+
+
+@register(
+    "topic_list",
+    """SELECT user_id, topic, position FROM (SELECT user_id, topic, row_number() OVER (
+        PARTITION BY user_id ORDER BY effective_weight DESC, topic) AS position FROM topic_pref) WHERE position BETWEEN 6 AND 10""",
+    ("topic_pref",),
+)
+def _(v: Views):
+    # Weights are rounded like the SQL view's, so that equal ones tie alike.
+    return P.topic_list(_rounded(P.topic_preferences(v.feedback_events, v.articles)), 2, 5).select("user_id", "topic", "position")
+
+
+@register(
+    "body_selection",
+    """SELECT article_id, length(body) AS body_length FROM articles WHERE length(body) >= 1000
+    ORDER BY body_length, article_id LIMIT 25""",
+    ("articles",),
+)
+def _(v: Views):
+    return FL.bodies_for_measurement(v.articles, 1000, 25).select("article_id", "body_length")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ from millrace.config import DEFAULT, REASON_CLOSING, REASON_PHRASES
 from millrace.operators import diagnostics as G
 from millrace.operators import profile as PR
 from millrace.operators import scoring as S
-from millrace.operators.compose import slot_quotas
 from millrace.operators.feedback import read_flags
 from millrace.operators.preferences import source_preferences
 from millrace.operators.similarity import neighbor_similarity, profile_features, similar_by_vector
 from millrace.plans.discover import FeedInputs, candidate_pool, discover_feed, related_articles
-from millrace.session import materialize
+from millrace.operators.filters import ArticleFilter
+from millrace.plans.interest import ranking_diagnostics
+from millrace.session import ensure_checkpoint_dir, materialize
+from millrace.sources.sinks import latest_runs, read_page, write_run
 
 # One cluster per user makes the centroid the mean vector, which SQL can state.
 CFG = replace(
@@ -355,7 +358,8 @@ def _(v: Views):
     return S.with_reasons(run(v).ranked).select("user_id", "article_id", F.col("reasons.summary").alias("summary"))
 
 
-_QUOTA = slot_quotas(FEED_SIZE, CFG.composition)
+# Shares of 40 by the default ratios 55, 25, 15 and 5 per cent.
+_QUOTA = {"strong_interest": 22, "primary_source": 10, "exploration": 6, "diversity": 2}
 _QUOTA_CASE = " ".join(f"WHEN '{s}' THEN {q}" for s, q in _QUOTA.items())
 add_sql_view(
     "slotted",
@@ -413,6 +417,35 @@ def _(v: Views):
     return run(v).feed.filter(F.col("feed_rank").between(21, 40)).select("user_id", "article_id", "feed_rank")
 
 
+@register(
+    "stored_run",
+    """SELECT user_id, 'discover' AS mode, sha256('{}') AS fingerprint, article_id, rank FROM (SELECT user_id, article_id,
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) AS INT) AS rank FROM composed) WHERE rank <= 10""",
+    ("composed",),
+)
+def _(v: Views):
+    """Two runs are written and the newer one is read back, page 1 of 10."""
+    ensure_checkpoint_dir(v.spark)
+    path = f"{v.spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+    for run_id, hours in (("a", 2), ("b", 1)):
+        write_run(run(v).feed, path, run_id, now() - F.expr(f"INTERVAL {hours} HOURS"), fingerprint=ArticleFilter().fingerprint())
+    newest = latest_runs(v.spark.read.parquet(f"{path}/runs"))
+    page = read_page(v.spark.read.parquet(f"{path}/recommendations"), "b", 1, 10)
+    return newest.join(page, ["user_id", "run_id"]).select("user_id", "mode", "fingerprint", "article_id", "rank")
+
+
+@register(
+    "fill_record",
+    f"""SELECT q.slot, q.quota * n AS quota, selected, backfilled, round(coalesce(selected / nullif(q.quota * n, 0), 0), 6) AS fill_rate
+    FROM (VALUES {", ".join(f"('{s}', {q})" for s, q in _QUOTA.items())}) q(slot, quota)
+    CROSS JOIN (SELECT count(DISTINCT user_id) AS n FROM user_articles)
+    LEFT JOIN (SELECT slot, count(*) AS selected, count_if(backfilled) AS backfilled FROM composed GROUP BY 1) USING (slot)""",
+    ("composed", "user_articles"),
+)
+def _(v: Views):
+    return rounded(ranking_diagnostics(run(v), CFG)["slot_fill"], "fill_rate")
+
+
 @register(
     "slot_fill",
     f"""SELECT u.user_id, q.slot, q.quota, count(c.article_id) AS selected, count_if(coalesce(c.backfilled, false))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +89,11 @@ class ArticleFilter:
     source_domain: str | None = None
     max_age_days: int | None = None
 
+    def fingerprint(self) -> str:
+        """Hash of the conditions: runs with the same one answer the same question."""
+        stated = {f.name: str(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) not in (None, ())}
+        return hashlib.sha256(json.dumps(stated, sort_keys=True).encode()).hexdigest()
+
     def condition(self) -> Column:
         test = F.lit(True)
         if self.query:
@@ -164,3 +171,14 @@ def drop_expired_runs(
     """Runs inside the retention period and, cascading, their rows."""
     kept = drop_expired(runs, "generated_at", now, days)
     return kept, recommendations.join(kept.select("run_id"), "run_id", "left_semi")
+
+
+def bodies_for_measurement(articles: DataFrame, least: int, count: int, longer: bool = False) -> DataFrame:
+    """The ``count`` shortest bodies of at least ``least`` characters (``longer``: of more), with their length.
+
+    Lengths are compared first; only the chosen bodies are read.
+    """
+    sizes = articles.filter(F.col("body").isNotNull()).select("article_id", F.length("body").cast("long").alias("body_length"))
+    enough = F.col("body_length") > least if longer else F.col("body_length") >= least
+    chosen = sizes.filter(enough).orderBy("body_length", "article_id").limit(count)
+    return articles.select("article_id", "canonical_url", "body").join(F.broadcast(chosen), "article_id")  # ``count`` rows

@@ -131,3 +131,10 @@ def suppressed_topics(preferences: DataFrame, limit: int = DEFAULT.summary_limit
     """Topics with a negative weight, strongest suppression first, ``limit`` per user."""
     order = [F.col("negative_weight").desc(), F.col("topic").asc()]
     return top_per_key(preferences.filter(F.col("negative_weight") > 0), ["user_id"], order, limit)
+
+
+def topic_list(preferences: DataFrame, page: int, size: int) -> DataFrame:
+    """One page of every user's topics by effective weight, equal weights by name.  A user has one row per topic."""
+    first = (page - 1) * size + 1
+    ranked = top_per_key(preferences, ["user_id"], [F.desc("effective_weight"), F.col("topic").asc()], first + size - 1)
+    return ranked.filter(F.col("position") >= first)

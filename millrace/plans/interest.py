@@ -77,14 +77,28 @@ def interest_timeline(
     return D.timeline_buckets(timeline, D.weekly_additions(user_articles, now, weeks))
 
 
-def ranking_diagnostics(run: FeedRun, cfg: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Distribution, sweep, correlation, divergence and slot fill of a feed run."""
-    return {
+def ranking_diagnostics(
+    run: FeedRun,
+    cfg: EngineConfig = DEFAULT,
+    articles: DataFrame | None = None,
+    clusters: tuple[DataFrame, DataFrame] | None = None,
+    body_limit: int = 12_000,
+) -> dict[str, DataFrame]:
+    """Distribution, sweep, correlation, divergence and slot fill of a feed run; with ``articles`` also body lengths,
+    with ``clusters`` (members, clusters) also cluster sizes."""
+    quota, selected = F.sum("quota"), F.sum("selected")
+    record = {
         "novelty_distribution": G.novelty_distribution(run.ranked, cfg.composition),
         "threshold_sweep": G.threshold_sweep(run.ranked, cfg.composition),
         "rank_correlation": G.spearman(run.ranked, "novelty", "interest_similarity"),
         "slot_divergence": G.slot_divergence(run.ranked, cfg.composition),
         "slot_fill": run.slots.groupBy("slot").agg(
-            F.sum("quota").alias("quota"), F.sum("selected").alias("selected"), F.sum("backfilled").alias("backfilled")
+            quota.alias("quota"), selected.alias("selected"), F.sum("backfilled").alias("backfilled"),
+            F.coalesce(F.try_divide(selected, quota), F.lit(0.0)).alias("fill_rate"),
         ),
     }
+    if articles is not None:
+        record["body_lengths"] = G.body_length_stats(articles, body_limit)
+    if clusters is not None:
+        record["cluster_sizes"] = PR.cluster_sizes(*clusters)
+    return record

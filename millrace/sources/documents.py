@@ -160,3 +160,21 @@ def union_candidates(sources: list[DataFrame]) -> DataFrame:
     columns = [*CANDIDATE_ARTICLE.fieldNames(), "position"]
     tagged = [df.select(*columns).withColumn("source_order", F.lit(i)) for i, df in enumerate(sources)]
     return reduce(lambda a, b: a.unionByName(b), tagged)
+
+
+def source_status(landed: dict[str, DataFrame], candidates: dict[str, DataFrame]) -> DataFrame:
+    """(source, documents, unreadable, candidates, succeeded) of every source, in the order of ``landed``.
+
+    ``landed``: documents with raw ``content``; ``candidates``: what each source gave.  A source fails if it has landed
+    documents and none can be read (no markup, no JSON); the others keep their rows.
+    """
+    shown = F.trim("content")
+    readable = F.coalesce(shown.startswith("<") | F.try_parse_json("content").isNotNull(), F.lit(False))
+    parts = []
+    for place, (name, documents) in enumerate(landed.items()):
+        read = documents.agg(F.count("*").alias("documents"), F.count_if(~readable).alias("unreadable"))
+        given = candidates[name].agg(F.count("*").alias("candidates"))
+        one = [F.lit(place).alias("place"), F.lit(name).alias("source")]
+        parts.append(read.select(*one, "documents", "unreadable").join(given.select(one[0], "candidates"), "place"))
+    status = reduce(lambda a, b: a.unionByName(b), parts)
+    return status.drop("place").withColumn("succeeded", (F.col("documents") == 0) | (F.col("unreadable") < F.col("documents")))

@@ -163,3 +163,34 @@ def test_neighbor_tiles_equal_whole_run(spark):
         for i in range(n):
             assert got[user, i] == pytest.approx(s[i].max())
     assert (3, 0) not in got and (2, 99) not in got
+
+
+def test_pivots_rule_out_pairs_and_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, (centres[i % 40] + 0.05 * rng.normal(size=24)).astype(float).tolist()) for i in range(1200)]
+    vectors = spark.createDataFrame(rows, "vid long, embedding array<float>")
+    unit = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T >= 0.98 - 1e-9, 1))}
+
+    def compared(pivots):
+        placed, hub, radius = D._placed_vectors(vectors, 0.98, 30, pivots)
+        tiles = D.vector_tiles(placed, radius)
+        keys = ["cell_x", "core_x", "block_x", "cell_y", "core_y", "block_y"]
+        sizes = tiles.groupBy(*keys, "inside").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r")).collect()
+        return sum(s.l * (s.l - 1) // 2 if s.inside else s.l * s.r for s in sizes)
+
+    few, many = compared(1), compared(16)
+    assert many < few <= 1200 * 1199 // 2 and many < 0.3 * few
+    parent = list(range(1200))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in D._cell_edges(vectors, 0.98, 30).collect():
+        assert (min(r), max(r)) in want
+        parent[root(r.a)] = root(r.b)
+    assert all(root(a) == root(b) for a, b in want)

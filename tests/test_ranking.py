@@ -224,3 +224,23 @@ def test_group_limit_before_the_shuffle(spark):
     df = small_inputs(spark).user_articles
     plan = recency_cut(df, 200)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_runs_are_replaced_and_read_by_page(spark, tmp_path):
+    from millrace.operators.filters import ArticleFilter
+    from millrace.operators.scoring import REASON_FIELDS
+    from millrace.sources.sinks import latest_runs, read_page, write_run
+
+    names = ["user_id", "article_id", "feed_rank", *REASON_FIELDS]
+    rows = [tuple([u, 10 * u + k, k] + [float(k)] * len(REASON_FIELDS)) for u in (1, 2) for k in (1, 2, 3)]
+    schema = ", ".join(f"{n} {'long' if n in ('user_id', 'article_id') else 'int' if n == 'feed_rank' else 'double'}" for n in names)
+    feed, path = spark.createDataFrame(rows, schema), str(tmp_path / "store")
+    early, late = (F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp") for d in (1, 2))
+    for run_id, at, fingerprint in (("a", early, "x"), ("b", late, "x"), ("c", late, "y"), ("b", late, "x")):
+        write_run(feed, path, run_id, at, fingerprint=fingerprint)
+    newest = {(r.user_id, r.fingerprint): r.run_id for r in latest_runs(spark.read.parquet(f"{path}/runs")).collect()}
+    assert newest == {(1, "x"): "b", (2, "x"): "b", (1, "y"): "c", (2, "y"): "c"}
+    stored = spark.read.parquet(f"{path}/recommendations")
+    assert stored.count() == 18 and stored.filter("reasons.summary is null").count() == 0
+    assert sorted((r.user_id, r["rank"]) for r in read_page(stored, "b", 2, 2).collect()) == [(1, 3), (2, 3)]
+    assert ArticleFilter().fingerprint() == ArticleFilter(topics=()).fingerprint() != ArticleFilter(query="x").fingerprint()
