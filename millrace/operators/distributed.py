@@ -57,19 +57,22 @@ def ordered_index(df: DataFrame, *order: Column, name: str = "row_index") -> Dat
     )
 
 
+def running_totals(sorted_rows: DataFrame, amounts: Sequence[str]) -> DataFrame:
+    """Add ``before_<amount>`` (exclusive running sum) to rows of :func:`range_sorted`; task and row stay."""
+    inside = Window.partitionBy("_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    sums = sorted_rows.groupBy("_task").agg(*[F.sum(a).alias(f"_s_{a}") for a in amounts])
+    offsets = sums.select("_task", *[F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_o_{a}") for a in amounts])
+    joined = sorted_rows.join(F.broadcast(offsets), "_task")
+    return joined.withColumns(
+        {f"before_{a}": F.col(f"_o_{a}") + F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts}
+    ).drop(*[f"_o_{a}" for a in amounts])
+
+
 def running_total(df: DataFrame, order: Sequence[Column], amount: str) -> DataFrame:
     """Add ``total_before`` (exclusive running sum of ``amount``) in the global order."""
-    rows = range_sorted(df, order)
-    inside = (
-        Window.partitionBy("_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = _task_offsets(rows.groupBy("_task").agg(F.sum(amount).alias("_size")))
-    return (
-        rows.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "_task")  # one row per task
-        .withColumn("total_before", F.col("_base") + F.col("_inside"))
-        .drop("_task", "_row", "_base", "_inside")
-    )
+    rows = running_totals(range_sorted(df, order), [amount])
+    return rows.withColumnRenamed(f"before_{amount}", "total_before").drop("_task", "_row")
 
 
 def ordered_lag(

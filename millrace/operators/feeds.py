@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT, FeedLifecycle
-from millrace.operators.distributed import range_sorted, running_total
+from millrace.operators.distributed import range_sorted, running_totals
 from millrace.session import materialize
 
 def _steps() -> dict[str, tuple[Column, Column]]:
@@ -29,12 +29,10 @@ def _steps() -> dict[str, tuple[Column, Column]]:
 def consecutive_counters(runs: DataFrame, key: str = "feed_url", initial: bool = False) -> DataFrame:
     """Counter values after every run.  ``initial``: columns ``start_<counter>`` hold earlier values."""
     order = [F.col(key), F.col("run_id")]
-    rows = runs
-    for name, (up, _reset) in _steps().items():
-        stepped = rows.withColumn("_up", up.cast("int"))
-        rows = running_total(stepped, order, "_up").withColumn(f"_{name}", F.col("total_before") + F.col("_up"))
-        rows = rows.drop("_up", "total_before")
-    rows = range_sorted(rows, order)
+    ups = {f"_up_{name}": up.cast("int") for name, (up, _reset) in _steps().items()}
+    # One global sort carries all counters.
+    rows = running_totals(range_sorted(runs.withColumns(ups), order), list(ups))
+    rows = rows.withColumns({f"_{name}": F.col(f"before__up_{name}") + F.col(f"_up_{name}") for name in _steps()})
     # The total at the last reset is a running maximum: totals never fall.
     inside = Window.partitionBy("_task").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task

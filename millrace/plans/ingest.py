@@ -13,7 +13,6 @@ from millrace.operators import feeds as FE
 from millrace.operators import ingest as I
 from millrace.operators.classify import classify_sources
 from millrace.operators.dashboards import domain_counts
-from millrace.operators.distributed import first_per_key
 from millrace.operators.filters import filter_recent
 from millrace.session import materialize
 from millrace.sources.documents import union_candidates
@@ -54,15 +53,14 @@ def ingest_pages(pages: DataFrame, articles: DataFrame, registry: DataFrame, fet
 
     Known URLs are skipped before parsing; among new pages the first of a canonical URL wins.
     """
-    stored = articles.select(F.col("canonical_url").alias("canonical_url")).distinct()
-    named = pages.withColumn("_normal", normalize_url("url"))
-    new = named.join(stored.withColumnRenamed("canonical_url", "_normal"), "_normal", "left_anti")
-    firsts = first_per_key(new.select("page_id", "url", "_normal"), ["_normal"], F.col("page_id")).select("page_id")
-    unique = new.join(firsts, "page_id", "left_semi")
-    order = unique.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    extracted = materialize(extract_articles(unique).join(order, "url"))
-    good = extracted.filter(F.col("error_reason").isNull()).join(stored, "canonical_url", "left_anti")
-    best = first_per_key(good, ["canonical_url"], F.col("page_id"))
+    # Which pages are read and which articles win is settled on ids and URLs; html and body move once each.
+    stored = materialize(articles.select("canonical_url").distinct())
+    named = pages.select("page_id", normalize_url("url").alias("canonical_url"))
+    firsts = named.join(stored, "canonical_url", "left_anti").groupBy("canonical_url").agg(F.min("page_id").alias("page_id"))
+    extracted = materialize(extract_articles(pages.join(firsts.select("page_id"), "page_id", "left_semi")))
+    good = extracted.filter(F.col("error_reason").isNull()).select("page_id", "canonical_url").join(stored, "canonical_url", "left_anti")
+    winners = good.groupBy("canonical_url").agg(F.min("page_id").alias("page_id")).select("page_id")
+    best = extracted.join(winners, "page_id", "left_semi")
     kinds = classify_sources(best.select(F.col("canonical_url").alias("url")), registry)
     joined = best.withColumnRenamed("url", "original_url").join(
         kinds.select(F.col("url").alias("canonical_url"), "host", "entity_name", "source_type", "source_authority", "is_primary_source"),
