@@ -174,7 +174,7 @@ class Composition:
 
 @dataclass(frozen=True)
 class Clustering:
-    min_clusters: int = 2
+    min_clusters: int = 2  # guidance for choosing the others; no rule reads it
     max_clusters: int = 8
     min_articles_per_cluster: int = 3
     label_topic_count: int = 3

@@ -63,8 +63,7 @@ def seed_registry(config: DataFrame, existing: DataFrame) -> DataFrame:
 
     Verified rows are never touched.  Duplicate keys in the (small, hand-written) config are an error.
     """
-    keys = [F.coalesce(F.col(k), F.lit("")).alias(f"_{k}") for k in RULE_KEY]
-    doubled = config.groupBy(*keys).count().filter("count > 1")
+    doubled = config.groupBy(*RULE_KEY).count().filter("count > 1")
     if not doubled.isEmpty():
         raise ValueError(f"duplicate source rules: {doubled.first().asDict()}")
     values = ("entity_name", "source_type", "authority_score")
@@ -72,7 +71,7 @@ def seed_registry(config: DataFrame, existing: DataFrame) -> DataFrame:
     old = existing.withColumn("_old", F.lit(True))
     same_key = F.lit(True)
     for k in RULE_KEY:
-        same_key = same_key & (F.coalesce(F.col(k), F.lit("")) == F.coalesce(F.col(f"n_{k}"), F.lit("")))
+        same_key = same_key & F.col(k).eqNullSafe(F.col(f"n_{k}"))  # an absent part is not an empty one
     joined = old.join(new, same_key, "full")
     known, given = F.col("_old").isNotNull(), F.col("n_domain").isNotNull()
     differs = F.lit(False)

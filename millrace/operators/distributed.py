@@ -35,12 +35,23 @@ def _task_offsets(per_task: DataFrame) -> DataFrame:
     return per_task.select("_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
 
 
-BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the counted ``rows`` stay within ``limit``; else a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def _value_bytes(value) -> int:
+    if isinstance(value, (list, tuple)):
+        return 16 + sum(map(_value_bytes, value))
+    return 16 + (len(value) if isinstance(value, (str, bytes, bytearray)) else 8)
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only while the counted ``rows`` times a measured row width stay within ``limit`` bytes.
+
+    The width is the widest of a few rows, so a table of long vectors is judged by its vectors; beyond the limit the
+    join is shuffled.
+    """
+    width = max((_value_bytes(tuple(r)) for r in df.take(20)), default=0)
+    return F.broadcast(df) if rows * width <= limit else df
 
 
 def ordered_index(df: DataFrame, *order: Column, name: str = "row_index") -> DataFrame:
