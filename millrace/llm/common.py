@@ -15,12 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from millrace.session import ensure_checkpoint_dir, prepare
 
 # Bytes of text that one numpy pass takes; a single longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+# Rows of text that Spark hands to a Python worker at once: bounds the memory of both sides.
+BATCH_ROWS = "2000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staged(df: DataFrame) -> DataFrame:

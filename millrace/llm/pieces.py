@@ -35,7 +35,7 @@ class ChunkCoder:
             raise ValueError("pieces cross white-space markers: chunks cannot be segmented on their own")
         self.table_size = table_size
         self.ids: dict[str, str] = {}
-        self.surface: dict[str, str] = {}
+        self.surface: dict[str, str] = {}  # of chunks that decode to something else than themselves
         self.mark_id = self.library.piece_to_id(MARK)
 
     def chunks(self, text: str) -> list[str]:
@@ -52,14 +52,17 @@ class ChunkCoder:
         for chunk, ids in zip(new, coded, strict=True):
             ids = ids or [self.mark_id]  # a lone marker
             self.ids[chunk] = ",".join(map(str, ids))
-            self.surface[chunk] = " " + self.library.decode(ids)
+            if (surface := " " + self.library.decode(ids)) != chunk:
+                self.surface[chunk] = surface
 
     def code(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids joined by commas, decoded text) of every text."""
         split = [self.chunks(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        ids, surface = self.ids.__getitem__, self.surface.__getitem__
-        return [(",".join(map(ids, c)), "".join(map(surface, c))[1:]) for c in split]
+        ids, odd = self.ids.__getitem__, self.surface
+        if not odd:
+            return [(",".join(map(ids, c)), "".join(c)[1:]) for c in split]
+        return [(",".join(map(ids, c)), "".join([odd.get(x, x) for x in c])[1:]) for c in split]
 
 
 def _coder(model: str, result):

@@ -6,7 +6,7 @@ found by Aho-Corasick in one pass; exception phrases cancel the terms that they
 per hundred words, go through a logistic curve.
 
 The lexicon is a short fixed list plus terms learned from labelled training rows: Spark counts, for every word and
-word opening of 4 to 12 characters, the distinct toxic and clean sample texts that hold it; terms whose share of toxic
+word opening of 4 to 10 characters, the distinct toxic and clean sample texts that hold it; terms whose share of toxic
 texts cannot be chance (a Chernoff bound below ``chance``) get their log odds as weight.  A stem is kept
 where many different words share it; below one with ``purity`` of its texts toxic no longer terms are kept, otherwise the
 longest term at a place counts.  A learned term that the other part of the
@@ -37,7 +37,8 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown
 # Letters of other scripts that look Latin, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіѕјԁһԛԝвкмнтαεοικνρτυχ", "aeopcyxisjdhqwbkmhtaeoikvptux", strict=True))
 DIGITS = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "|": "l"}
-_STEMS = range(4, 13)
+_STEMS = range(4, 11)
+_COUNTED_BYTES = 1 << 19  # text whose terms are added up at once
 
 
 def _folding() -> dict[int, str]:
@@ -140,7 +141,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct texts per term and label, added up per slice; key '' counts the texts themselves."""
     for batch in batches:
-        for rows, texts in text_slices(batch, "text"):
+        for rows, texts in text_slices(batch, "text", _COUNTED_BYTES):
             counts = {0: Counter(), 1: Counter()}
             for text, label in zip(texts.to_pylist(), rows.column("label").to_pylist(), strict=True):
                 words = set(fold(text).split())
