@@ -19,9 +19,11 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import annotate, staged
 from millrace.llm.words import ALNUM, Packed
@@ -158,6 +160,13 @@ def _scan(windows, owners):
     return work
 
 
+@F.pandas_udf(T.LongType())
+def _set_bits(bitmaps: pd.Series) -> pd.Series:
+    """Words hit in any pass: one bitmap per pass, all of a text's length."""
+    joined = (np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in parts]) for parts in bitmaps)
+    return pd.Series([int(np.unpackbits(b).sum()) for b in joined], dtype="int64")
+
+
 FIELDS = "n_words long, n_hit long, item_ids array<string>, contaminated boolean"
 
 
@@ -204,9 +213,8 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
         current = staged(
             marked.withColumn("_bits", F.concat("_bits", F.array("_new"))).withColumn("_ids", F.array_union("_ids", "_found")).drop("_new", "_found")
         )
-    ones = F.udf(lambda bits: int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits])).sum()), "long")
     return (
-        current.withColumn("n_hit", ones("_bits"))
+        current.withColumn("n_hit", _set_bits("_bits"))
         .withColumn("item_ids", F.array_sort("_ids"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
         .drop("_bits", "_ids")
