@@ -16,12 +16,13 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotate, label_fold
+from millrace.llm.common import annotate, label_fold, staged
 from millrace.llm.compression import Compressor, piece_sizes, pieces, raw_dictionary
 
+MAX_LANGUAGES = 10_000  # rows of two values that every task gets
 LEAST_CONTENT = 8  # bytes; zstandard takes no shorter dictionary
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -49,10 +50,12 @@ def train_languages(docs: DataFrame, settings: LanguageSettings = LanguageSettin
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
         & (label_fold(F.col("doc_id"), settings.folds) != settings.held_out)
     )
-    # A row limit per language is applied before the shuffle; only ids are ranked.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= settings.per_language)
-    texts = rows.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    # A share of each language's rows by hash: no task ranks a language's rows.
+    share = F.least(F.lit(1.0), F.lit(float(settings.per_language)) / F.count("*"))
+    cuts = staged(rows.groupBy("lang").agg((share * (1 << 30)).cast("long").alias("cut")))
+    if cuts.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: is the column one of languages?")
+    texts = rows.join(F.broadcast(cuts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("cut"))
     excerpt = F.substring("text", 1, 1 << 14)  # only an excerpt of a training text enters a dictionary
     gathered = texts.select("lang", excerpt.alias("text"), F.xxhash64("doc_id").alias("o")).orderBy("lang", "o").collect()
     by_language: dict[str, list[bytes]] = {}
