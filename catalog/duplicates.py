@@ -21,6 +21,7 @@ CFG = replace(
     title_block_rows=512,
     vector_tile_rows=128,
 )
+UNCAPPED = replace(CFG, dedup=replace(CFG.dedup, max_judge_calls=None))
 
 add_sql_view(
     "normal_urls",
@@ -174,6 +175,13 @@ def _run(v: Views):
     return v._dedup
 
 
+def _uncapped_run(v: Views):
+    """Every fresh candidate is judged; the queries of :func:`_run` show the budget of 50 calls."""
+    if not hasattr(v, "_dedup_uncapped"):
+        v._dedup_uncapped = deduplicate(signatures(v), now(), judge, UNCAPPED)
+    return v._dedup_uncapped
+
+
 add_sql_view(
     "dead_free_links",
     ("articles", "normal_urls", "titles", "title_match", "vector_match"),
@@ -191,10 +199,10 @@ add_sql_view(
     UNION ALL SELECT a, b, 4 FROM vector_match
       WHERE a IN (SELECT article_id FROM live) AND b IN (SELECT article_id FROM live)""",
 )
-add_sql_view(
-    "decisions",
-    ("articles", "dead_free_links"),
-    f"""WITH RECURSIVE both_ways AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM dead_free_links WHERE a <> b
+
+
+def _decisions(within_budget: str) -> str:
+    return f"""WITH RECURSIVE both_ways AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM dead_free_links WHERE a <> b
         UNION ALL SELECT b, a FROM dead_free_links WHERE a <> b)),
       walk AS (SELECT article_id AS id, article_id AS root FROM articles WHERE NOT is_dead
         UNION SELECT e.b, w.root FROM walk w JOIN both_ways e ON e.a = w.id),
@@ -217,15 +225,18 @@ add_sql_view(
       chosen AS (SELECT *, article_id % 3 = 0 AS cached FROM cand WHERE k <= 2),
       turn AS (SELECT *, row_number() OVER (PARTITION BY cached ORDER BY component, k) AS n FROM chosen),
       verdict AS (SELECT article_id, CASE WHEN cached THEN article_id % 2 = 0
-          ELSE n <= 50 AND contains(lower(body), 'license') END AS is_unique,
-        CASE WHEN cached THEN 'cached' WHEN n <= 50 THEN 'judged' ELSE 'over_budget' END AS how FROM turn)
+          ELSE {within_budget} AND contains(lower(body), 'license') END AS is_unique,
+        CASE WHEN cached THEN 'cached' WHEN {within_budget} THEN 'judged' ELSE 'over_budget' END AS how FROM turn)
     SELECT m.article_id, m.component, b.representative_id, coalesce(v.is_unique, false) AS is_unique, v.how, m.size,
       CASE WHEN m.place > 1 AND NOT coalesce(v.is_unique, false) THEN b.representative_id END AS duplicate_of,
       CASE WHEN m.place > 1 AND NOT coalesce(v.is_unique, false) THEN
         CASE s.stage WHEN 3 THEN 0.8e0 WHEN 4 THEN 0.6e0 ELSE 1e0 END ELSE 0e0 END AS duplicate_penalty,
       CASE WHEN m.place > 1 AND NOT coalesce(v.is_unique, false) THEN {_STAGE} END AS stage
-    FROM m JOIN best b USING (component) LEFT JOIN verdict v USING (article_id) LEFT JOIN stage s USING (article_id)""",
-)
+    FROM m JOIN best b USING (component) LEFT JOIN verdict v USING (article_id) LEFT JOIN stage s USING (article_id)"""
+
+
+add_sql_view("decisions", ("articles", "dead_free_links"), _decisions("n <= 50"))
+add_sql_view("decisions_uncapped", ("articles", "dead_free_links"), _decisions("true"))
 
 
 @register(
@@ -264,6 +275,36 @@ def _(v: Views):
     return _run(v).counters
 
 
+@register(
+    "unique_candidates_uncapped",
+    "SELECT article_id, is_unique, how FROM decisions_uncapped WHERE how IS NOT NULL",
+    ("decisions_uncapped",),
+)
+def _(v: Views):
+    return _uncapped_run(v).decisions.filter(F.col("how").isNotNull()).select("article_id", "is_unique", "how")
+
+
+@register(
+    "dedup_decisions_uncapped",
+    "SELECT article_id, component, duplicate_of, duplicate_penalty, stage FROM decisions_uncapped",
+    ("decisions_uncapped",),
+)
+def _(v: Views):
+    return _uncapped_run(v).decisions.select("article_id", "component", "duplicate_of", "duplicate_penalty", "stage")
+
+
+@register(
+    "dedup_counters_uncapped",
+    """SELECT count(*) AS processed, count_if(article_id = representative_id) AS clusters,
+      count_if(duplicate_of IS NOT NULL) AS duplicates, count_if(how = 'judged') AS judged,
+      count_if(how = 'cached') AS cache_hits, coalesce(bool_or(how = 'over_budget'), false) AS limit_reached
+    FROM decisions_uncapped""",
+    ("decisions_uncapped",),
+)
+def _(v: Views):
+    return _uncapped_run(v).counters
+
+
 @register("event_ids")
 def _(v: Views):
     """Greedy claims in cluster order: checked against a sequential replay in the tests."""
