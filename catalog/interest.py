@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import register
-from catalog.views import NOW, Views, add_sql_view, now, stamp
+from catalog.views import CATALOG_CONFIG, NOW, Views, add_sql_view, now, stamp
 from millrace.config import DEFAULT
 from millrace.operators import dashboards as D
 from millrace.operators import feedback as FB
@@ -216,7 +216,7 @@ def _(v: Views):
 )
 def _(v: Views):
     population = FB.interest_population(v.user_articles, v.article_feedback)
-    return FB.recency_cut(population, DEFAULT.max_profile_articles).drop("created_at")
+    return FB.recency_cut(population, CATALOG_CONFIG.max_profile_articles).drop("created_at")
 
 
 @register(
@@ -230,7 +230,7 @@ def _(v: Views):
 )
 def _(v: Views):
     population = FB.interest_population(v.user_articles, v.article_feedback)
-    return FB.origin_counts(population, DEFAULT.max_profile_articles)
+    return FB.origin_counts(population, CATALOG_CONFIG.max_profile_articles)
 
 
 @register(

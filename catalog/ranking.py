@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import replace
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import catalog.interest  # noqa: F401  (its SQL views are used below)
 from catalog.registry import register
-from catalog.views import CATALOG_CONFIG, NOW, Views, add_sql_view, now
+from catalog.views import CATALOG_CONFIG, NOW, SQL_VIEWS, Views, add_sql_view, now
 from millrace.config import DEFAULT, REASON_CLOSING, REASON_PHRASES
 from millrace.operators import diagnostics as G
 from millrace.operators import profile as PR
@@ -29,6 +30,7 @@ CFG = replace(
     clustering=replace(DEFAULT.clustering, max_clusters=1),
     composition=replace(DEFAULT.composition, strong_interest_min_similarity=0.2, exploration_min_novelty=0.7),
 )
+UNCAPPED = replace(CFG, max_candidates=None, max_profile_articles=None, max_bad_articles=None)
 FEED_SIZE = 40
 PLACES = 6
 
@@ -43,11 +45,42 @@ def users(v: Views):
     return v.user_articles.select("user_id").distinct()
 
 
-def run(v: Views):
-    """The discover job, once per Views object."""
-    if not hasattr(v, "_run"):
-        v._run = discover_feed(users(v), inputs(v), now(), CFG, size=FEED_SIZE)
-    return v._run
+def run(v: Views, cfg=CFG):
+    """The discover job, once per Views object and settings."""
+    name = "_run" if cfg is CFG else "_run_uncapped"
+    if not hasattr(v, name):
+        setattr(v, name, discover_feed(users(v), inputs(v), now(), cfg, size=FEED_SIZE))
+    return getattr(v, name)
+
+
+# Views that depend on a cut, and the cuts; the uncapped queries read the same SQL without them.
+_CUT_VIEWS = ("recent_population", "weighted", "candidates", "vectors", "interest_sim", "bad_sim", "centroids", "novelties",
+              "scored", "slotted", "composed")
+_CUTS = re.compile(r"\s*WHERE (?:position <= 200|position <= 500|k <= 100|k <= 500)(?!\d)")
+
+
+def _uncapped_sql(sql: str) -> str:
+    return re.sub(rf"\b({'|'.join(_CUT_VIEWS)})\b", r"\1_uncapped", _CUTS.sub("", sql))
+
+
+def _uncapped_view(name: str) -> str:
+    if name not in _CUT_VIEWS:
+        return name
+    if f"{name}_uncapped" not in SQL_VIEWS:
+        needs, sql = SQL_VIEWS[name]
+        add_sql_view(f"{name}_uncapped", tuple(_uncapped_view(n) for n in needs), _uncapped_sql(sql))
+    return f"{name}_uncapped"
+
+
+def register_both(name: str, sql: str, views: tuple[str, ...]):
+    """Register ``build(views, cfg)`` with the cuts its SQL states and, as ``name_uncapped``, without any."""
+
+    def wrap(build):
+        register(name, sql, views)(lambda v: build(v, CFG))
+        register(f"{name}_uncapped", _uncapped_sql(sql), tuple(_uncapped_view(n) for n in views))(lambda v: build(v, UNCAPPED))
+        return build
+
+    return wrap
 
 
 def rounded(df, *names: str):
@@ -198,25 +231,25 @@ add_sql_view(
 )
 
 
-@register(
+@register_both(
     "effective_interest",
     "SELECT user_id, article_id, origin, round(weight, 6) AS weight FROM weighted",
     ("weighted",),
 )
-def _(v: Views):
-    rows = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CFG)
+def _(v: Views, cfg):
+    rows = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), cfg)
     return rounded(rows, "weight").select("user_id", "article_id", "origin", "weight")
 
 
-@register(
+@register_both(
     "not_bad_not_owned",
     "SELECT user_id, article_id, CAST(position AS INT) AS candidate_position FROM candidates",
     ("candidates",),
 )
-def _(v: Views):
-    pool = candidate_pool(v.articles, now(), CFG)
+def _(v: Views, cfg):
+    pool = candidate_pool(v.articles, now(), cfg)
     excluded = S.exclusions(v.article_feedback, v.user_articles)
-    return S.select_candidates(users(v), pool, excluded, CFG.max_candidates)[0]
+    return S.select_candidates(users(v), pool, excluded, cfg.max_candidates)[0]
 
 
 @register(
@@ -262,54 +295,55 @@ def _(v: Views):
     return rows.select("article_id", match.alias("source_article_match"))
 
 
-@register(
+@register_both(
     "interest_similarity",
     """SELECT c.user_id, c.article_id, round(coalesce(i.interest_similarity, 0e0), 6) AS interest_similarity
     FROM vectors c LEFT JOIN interest_sim i ON i.user_id = c.user_id AND i.article_id = c.article_id""",
     ("vectors", "interest_sim"),
 )
-def _(v: Views):
-    return rounded(_features(v), "interest_similarity").select("user_id", "article_id", "interest_similarity")
+def _(v: Views, cfg):
+    return rounded(_features(v, cfg), "interest_similarity").select("user_id", "article_id", "interest_similarity")
 
 
-def _features(v: Views):
-    if not hasattr(v, "_tiled"):
-        v._tiled = materialize(_tiled_features(v))
-    return v._tiled
+def _features(v: Views, cfg=CFG):
+    name = "_tiled" if cfg is CFG else "_tiled_uncapped"
+    if not hasattr(v, name):
+        setattr(v, name, materialize(_tiled_features(v, cfg)))
+    return getattr(v, name)
 
 
-def _tiled_features(v: Views):
-    pool = candidate_pool(v.articles, now(), CFG)
+def _tiled_features(v: Views, cfg):
+    pool = candidate_pool(v.articles, now(), cfg)
     excluded = S.exclusions(v.article_feedback, v.user_articles)
-    chosen, _report = S.select_candidates(users(v), pool, excluded, CFG.max_candidates)
-    profile = PR.build_profiles(v.user_articles, v.article_feedback, v.articles, now(), CFG)
+    chosen, _report = S.select_candidates(users(v), pool, excluded, cfg.max_candidates)
+    profile = PR.build_profiles(v.user_articles, v.article_feedback, v.articles, now(), cfg)
     vectors = chosen.join(v.articles.select("article_id", "embedding"), "article_id")
     # Small tiles on purpose: the several-blocks path must give the same result.
-    return profile_features(vectors, profile, replace(CFG, vector_tile_rows=128))
+    return profile_features(vectors, profile, replace(cfg, vector_tile_rows=128))
 
 
-@register(
+@register_both(
     "bad_penalty",
     """SELECT c.user_id, c.article_id, round(CASE WHEN b.bad_similarity >= 0.2e0
         THEN 0.5e0 * least(1e0, (b.bad_similarity - 0.2e0) / 0.8e0) ELSE 0e0 END, 6) AS bad_similarity_penalty
     FROM vectors c LEFT JOIN bad_sim b ON b.user_id = c.user_id AND b.article_id = c.article_id""",
     ("vectors", "bad_sim"),
 )
-def _(v: Views):
-    penalty = S.bad_similarity_penalty(F.col("bad_similarity"), CFG)
-    rows = _features(v).withColumn("bad_similarity_penalty", penalty)
+def _(v: Views, cfg):
+    penalty = S.bad_similarity_penalty(F.col("bad_similarity"), cfg)
+    rows = _features(v, cfg).withColumn("bad_similarity_penalty", penalty)
     return rounded(rows, "bad_similarity_penalty").select("user_id", "article_id", "bad_similarity_penalty")
 
 
-@register(
+@register_both(
     "novelty",
     """SELECT user_id, article_id, round(centroid_similarity, 6) AS centroid_similarity,
       round(neighbor_similarity, 6) AS neighbor_similarity FROM novelties""",
     ("novelties",),
 )
-def _(v: Views):
+def _(v: Views, cfg):
     names = ("centroid_similarity", "neighbor_similarity")
-    return rounded(_features(v), *names).select("user_id", "article_id", *names)
+    return rounded(_features(v, cfg), *names).select("user_id", "article_id", *names)
 
 
 SCORE_COLUMNS = (
@@ -325,21 +359,21 @@ SCORE_COLUMNS = (
 )
 
 
-@register(
+@register_both(
     "candidate_scores",
     "SELECT user_id, article_id, "
     + ", ".join(c if c == "total" else f"round({c}, 6) AS {c}" for c in SCORE_COLUMNS)
     + " FROM scored",
     ("scored",),
 )
-def _(v: Views):
+def _(v: Views, cfg):
     # The total already carries nine places; rounding twice would disagree on halves.
-    return rounded(run(v).ranked, *SCORE_COLUMNS[:-1]).select("user_id", "article_id", *SCORE_COLUMNS)
+    return rounded(run(v, cfg).ranked, *SCORE_COLUMNS[:-1]).select("user_id", "article_id", *SCORE_COLUMNS)
 
 
-@register("candidate_ranks", "SELECT user_id, article_id, CAST(rank AS BIGINT) AS rank FROM scored", ("scored",))
-def _(v: Views):
-    return S.rank_unbounded(run(v).ranked.drop("rank")).select("user_id", "article_id", "rank")
+@register_both("candidate_ranks", "SELECT user_id, article_id, CAST(rank AS BIGINT) AS rank FROM scored", ("scored",))
+def _(v: Views, cfg):
+    return S.rank_unbounded(run(v, cfg).ranked.drop("rank")).select("user_id", "article_id", "rank")
 
 
 _PHRASES = [REASON_PHRASES[n] for n in S.COMPONENTS]
@@ -395,14 +429,14 @@ add_sql_view(
 )
 
 
-@register(
+@register_both(
     "feed_slots",
     """SELECT user_id, article_id, slot, backfilled, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) AS INT)
       AS feed_rank FROM composed""",
     ("composed",),
 )
-def _(v: Views):
-    return run(v).feed.select("user_id", "article_id", "slot", "backfilled", "feed_rank")
+def _(v: Views, cfg):
+    return run(v, cfg).feed.select("user_id", "article_id", "slot", "backfilled", "feed_rank")
 
 
 @register(
@@ -587,7 +621,7 @@ add_sql_view(
 )
 
 
-@register(
+@register_both(
     "related_articles",
     f"""WITH ranked AS (SELECT r.user_id, r.source_id, p.article_id, p.place FROM article_runs r CROSS JOIN pool p
       WHERE p.article_id <> r.source_id AND NOT EXISTS (SELECT 1 FROM excluded x
@@ -622,7 +656,7 @@ add_sql_view(
     WHERE rank <= 20""",
     ("article_runs", "pool", "excluded", "articles", "pair_cosine", "matches", "source_pref", "user_articles"),
 )
-def _(v: Views):
+def _(v: Views, cfg):
     owned = v.user_articles.filter(F.col("origin").isin("manual", "good"))
     embedded = v.articles.filter(F.col("embedding").isNotNull()).select("article_id")
     runs = (
@@ -631,7 +665,7 @@ def _(v: Views):
         .agg(F.max("article_id").alias("article_id"))
         .withColumn("run_id", F.col("user_id"))
     )
-    related = related_articles(runs, inputs(v), now(), CFG)
+    related = related_articles(runs, inputs(v), now(), cfg)
     return related.select("run_id", "article_id", "total", "rank")
 
 

@@ -18,7 +18,9 @@ NOW = "2024-01-31 00:00:00"
 EPOCH_2024 = 1704067200  # 2024-01-01 00:00:00 UTC
 
 # The vectors of the test tables are near-orthogonal, so similarity thresholds are lowered here.
-CATALOG_CONFIG = EngineConfig(max_age_days=60, bad_min_similarity=0.2)
+CATALOG_CONFIG = EngineConfig(
+    max_age_days=60, bad_min_similarity=0.2, max_candidates=500, max_profile_articles=200, max_bad_articles=100
+)
 
 SOURCE_TYPES = tuple(SOURCE_TIERS)
 SCORES = (1.0, 0.95, 0.9, 0.75, 0.6, 0.45, 0.35, 0.2)

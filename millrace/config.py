@@ -242,8 +242,9 @@ class EngineConfig:
     gate_min_factor: float = 0.2
     max_age_days: float = 7
     top_k: int = 3
-    max_profile_articles: int = 200
-    max_bad_articles: int = 100
+    # None: the whole history of a user.
+    max_profile_articles: int | None = None
+    max_bad_articles: int | None = None
     partial_match_score: float = 0.5
     novelty_default: float = 0.5
     source_pref_scale: float = 0.15
@@ -257,7 +258,8 @@ class EngineConfig:
     confidence_analyzed: float = 0.3
     confidence_floor: float = 0.3
 
-    max_candidates: int = 500
+    # None: every eligible article of the pool is scored and ranked for every user.
+    max_candidates: int | None = None
     feed_size: int = 100
     related_size: int = 20
     timeline_weeks: int = 12

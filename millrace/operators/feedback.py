@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT, EngineConfig, ORIGINS, POSITIVE_ACTIONS, READ_ORIGINS
 from millrace.functions.weights import lookup
-from millrace.operators.distributed import top_per_key
+from millrace.operators.distributed import rank_per_key, top_per_key
 
 PAIR = ["user_id", "article_id"]
 
@@ -101,13 +101,15 @@ def interest_population(user_articles: DataFrame, feedback: DataFrame) -> DataFr
     )
 
 
-def recency_cut(population: DataFrame, limit: int) -> DataFrame:
-    """Newest ``limit`` articles per user; equal times keep the smaller id."""
+def recency_cut(population: DataFrame, limit: int | None) -> DataFrame:
+    """Newest ``limit`` articles per user (None: all, with their position); equal times keep the smaller id."""
     order = [F.col("created_at").desc(), F.col("article_id").asc()]
+    if limit is None:
+        return rank_per_key(population, ["user_id"], order).withColumn("position", F.col("position").cast("int"))
     return top_per_key(population, ["user_id"], order, limit)
 
 
-def origin_counts(population: DataFrame, limit: int) -> DataFrame:
+def origin_counts(population: DataFrame, limit: int | None) -> DataFrame:
     """Articles per origin after the recency cut, zero for absent origins."""
     cut = recency_cut(population, limit)
     return cut.groupBy("user_id").agg(

@@ -100,7 +100,7 @@ CLUSTER_MEMBERS = (
 
 
 def assign_clusters(weighted: DataFrame, settings: Clustering = DEFAULT.clustering) -> DataFrame:
-    """Cluster label and centroid per interest article.  A user's group is bounded by the profile cut."""
+    """Cluster label and centroid per interest article.  A user's group is the whole history unless a profile cut is set."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position", kind="stable")
@@ -185,7 +185,7 @@ def interest_profile(
 ) -> DataFrame:
     """Profile rows per user: kind interest / bad / centroid with vector and weight.
 
-    At most 200 + 100 + 8 rows per user by the profile cuts, so a user's rows fit one task.
+    A task holds all rows of a user: the whole history, or what the profile cuts leave of it.
     """
 
     def rows(df: DataFrame, kind: str, position: Column, vector: Column, weight: Column) -> DataFrame:
@@ -223,7 +223,7 @@ def build_profiles(
     user_articles: DataFrame, feedback: DataFrame, articles: DataFrame, now: Column, cfg: EngineConfig = DEFAULT
 ) -> DataFrame:
     """Profiles of all users with freshly built clusters."""
-    # Both feed several branches below; a profile is bounded, so writing it once is cheap.
+    # Both feed several branches below: write them once.
     weighted = materialize(weighted_interest(user_articles, feedback, articles, now, cfg))
     members = materialize(assign_clusters(weighted, cfg.clustering))
     clusters = interest_clusters(members, cfg.clustering)

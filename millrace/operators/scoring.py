@@ -13,7 +13,7 @@ from millrace.functions.weights import (
     freshness,
     source_preference_factor,
 )
-from millrace.operators.distributed import broadcast_if_small, ordered_index, top_per_key
+from millrace.operators.distributed import broadcast_if_small, ordered_index, rank_per_key, top_per_key
 from millrace.operators.feedback import read_flags
 
 PAIR = ["user_id", "article_id"]
@@ -44,13 +44,13 @@ def candidate_order() -> list[Column]:
 
 
 def select_candidates(
-    users: DataFrame, pool: DataFrame, excluded: DataFrame, limit: int
+    users: DataFrame, pool: DataFrame, excluded: DataFrame, limit: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """First ``limit`` pool articles of each user in candidate order, and the truncation report.
 
     The pool is ranked once.  A user with e excluded pool articles finds all candidates among the
     first limit + e ranks, so users meet articles by an equi-join on the rank and the number of
-    rows is what the output needs, never users times articles.
+    rows is what the output needs, never users times articles.  ``None`` keeps the whole pool of every user.
     """
     ranked = ordered_index(pool.select("article_id", "published_at"), *candidate_order(), name="place")
     total = ranked.count()
@@ -58,7 +58,8 @@ def select_candidates(
     per_user = users.join(hidden.groupBy("user_id").agg(F.count("*").alias("hidden")), "user_id", "left").select(
         "user_id", F.coalesce("hidden", F.lit(0)).alias("hidden")
     )
-    reach = F.least(F.lit(limit) + F.col("hidden"), F.lit(total))
+    bound = total if limit is None else limit
+    reach = F.least(F.lit(bound) + F.col("hidden"), F.lit(total))
     # Nobody looks further than the longest reach.  That slice has few distinct ranks, so a shuffle on
     # the rank would use few tasks: broadcast it when its counted size allows.
     longest = per_user.agg(F.max(reach)).first()[0] or 0
@@ -67,11 +68,15 @@ def select_candidates(
         "user_id", F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long") - 1)).alias("place")
     )
     visible = slots.join(front, "place").join(hidden, PAIR, "left_anti")
-    chosen = top_per_key(visible, ["user_id"], [F.col("place")], limit, "candidate_position")
+    if limit is None:
+        place = F.col("candidate_position").cast("int")
+        chosen = rank_per_key(visible, ["user_id"], [F.col("place")], "candidate_position").withColumn("candidate_position", place)
+    else:
+        chosen = top_per_key(visible, ["user_id"], [F.col("place")], limit, "candidate_position")
     report = per_user.select(
         "user_id",
         (F.lit(total) - F.col("hidden")).alias("eligible"),
-        F.greatest(F.lit(total) - F.col("hidden") - F.lit(limit), F.lit(0)).cast("long").alias("truncated"),
+        F.greatest(F.lit(total) - F.col("hidden") - F.lit(bound), F.lit(0)).cast("long").alias("truncated"),
     )
     return chosen.select(*PAIR, "candidate_position"), report
 
@@ -182,15 +187,13 @@ def rank_order() -> list[Column]:
 
 
 def rank(scored: DataFrame, name: str = "rank") -> DataFrame:
-    """Rank inside each run.  Runs are bounded by the candidate cap (``max_candidates``)."""
+    """Rank inside each run.  Only for runs bounded by a candidate cap (``max_candidates``)."""
     return scored.withColumn(name, F.row_number().over(Window.partitionBy("user_id").orderBy(*rank_order())))
 
 
 def rank_unbounded(scored: DataFrame, name: str = "rank") -> DataFrame:
     """Rank inside each run when runs have no cap: global order, then offset of the run."""
-    ordered = ordered_index(scored, F.col("user_id"), *rank_order(), name="_pos")
-    first = ordered.groupBy("user_id").agg(F.min("_pos").alias("_first"))
-    return ordered.join(first, "user_id").withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")
+    return rank_per_key(scored, ["user_id"], rank_order(), name)
 
 
 def reason_summary() -> Column:

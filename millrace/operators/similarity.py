@@ -1,8 +1,8 @@
 """Similarity of candidates to a profile and to each other, and vector search.
 
-Candidates of a run are cut into blocks of bounded size; the profile rows of the run (bounded by
-the profile cuts) go to each of its blocks.  One task multiplies one block, so memory per task is
-fixed and a run with very many candidates is spread over many tasks.
+Candidates of a run are cut into blocks of bounded size; the profile rows of the run (its
+whole history unless profile cuts are set) go to each of its blocks.  One task multiplies one block, so memory per
+task grows with one history only, and a run with very many candidates is spread over many tasks.
 """
 
 from __future__ import annotations

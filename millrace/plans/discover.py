@@ -64,13 +64,16 @@ def _ranked(
     size = front.count()
     vectors = chosen.join(broadcast_if_small(front.select("article_id", "embedding"), size), "article_id")
     similarities = profile_features(
-        vectors, profile, cfg, single_block=cfg.max_candidates <= cfg.vector_tile_rows
+        vectors, profile, cfg, single_block=cfg.max_candidates is not None and cfg.max_candidates <= cfg.vector_tile_rows
     )
     features = S.candidate_features(
         chosen, front, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities, size
     )
     # Ranked rows feed several windows and joins below: run the Python stage once.
-    return materialize(S.rank(S.score(features, now, cfg))), report
+    scored = S.score(features, now, cfg)
+    if cfg.max_candidates is None:
+        return materialize(S.rank_unbounded(materialize(scored))), report
+    return materialize(S.rank(scored)), report
 
 
 def discover_feed(

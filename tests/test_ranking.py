@@ -244,3 +244,39 @@ def test_runs_are_replaced_and_read_by_page(spark, tmp_path):
     assert stored.count() == 18 and stored.filter("reasons.summary is null").count() == 0
     assert sorted((r.user_id, r["rank"]) for r in read_page(stored, "b", 2, 2).collect()) == [(1, 3), (2, 3)]
     assert ArticleFilter().fingerprint() == ArticleFilter(topics=()).fingerprint() != ArticleFilter(query="x").fingerprint()
+
+
+def test_default_scores_every_candidate_and_the_whole_history(spark):
+    from millrace.operators.feedback import recency_cut
+    from millrace.operators.profile import bad_vectors
+
+    times = F.lit(NOW) - F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))
+    pool = spark.range(600).select(F.col("id").alias("article_id"), times.alias("published_at"))
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    hidden = spark.createDataFrame([(1, 3)], "user_id long, article_id long")
+    chosen, report = S.select_candidates(users, pool, hidden, DEFAULT.max_candidates)
+    got = {(r.user_id, r.article_id): r.candidate_position for r in chosen.collect()}
+    assert len(got) == 1199 and got[2, 599] == 600 and got[1, 599] == 599 and got[1, 2] == 3 and got[1, 4] == 4
+    assert [r.truncated for r in report.collect()] == [0, 0]
+    history = pool.select(F.lit(1).cast("long").alias("user_id"), "article_id", F.col("published_at").alias("created_at"))
+    kept = recency_cut(history, DEFAULT.max_profile_articles).collect()
+    assert len(kept) == 600 and all(r.position == r.article_id + 1 for r in kept)
+    vectors = pool.select("article_id", F.array(F.lit(1.0)).alias("embedding"))
+    assert bad_vectors(history.withColumn("action", F.lit("bad")), vectors, DEFAULT).count() == 600
+
+
+def test_uncapped_job_equals_a_cap_nobody_meets(spark):
+    inputs = small_inputs(spark)
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    names = ["user_id", "article_id", "rank", "total", "interest_similarity", "bad_similarity", "novelty"]
+
+    def rows(cfg):
+        run = discover_feed(users, inputs, F.lit(NOW), cfg, size=10)
+        ranked = {(r[0], r[1]): r[2:] for r in run.ranked.select(*names).collect()}
+        return ranked, sorted(tuple(r) for r in run.feed.select("user_id", "article_id", "slot", "feed_rank").collect())
+
+    whole, feed = rows(replace(DEFAULT, vector_tile_rows=16))
+    capped, other = rows(replace(DEFAULT, max_candidates=1000, max_profile_articles=200, max_bad_articles=100))
+    assert whole.keys() == capped.keys() and feed == other
+    for key, values in whole.items():
+        assert values == pytest.approx(capped[key], abs=1e-8), key
