@@ -2,8 +2,9 @@
 
 Pass 1 reads each page into a light tree, scores its containers by the text of their paragraphs and notes the path of
 the best one, generalised to tags and classes without digits.  Spark adds up one vote per page and host; the path with
-most votes wins its host.  Pass 2 reads each page again and takes the text of the winning container, or of the page's
-own best one where the page has no such path.  Votes are combined before the shuffle, so a host with a third of all
+most votes wins its host.  Pass 2 reads each page again and takes the text of all containers of the winning path, or of the
+page's own best one where the page has no such path, each widened to the article or main around it or else to the nearest
+wrapper it shares with other text, so that short parts of an article stay.  Votes are combined before the shuffle, so a host with a third of all
 pages is one row per task; pages meet the winners in a join by host (a broadcast while the winners' file is small).
 
 Blocks are separated by a newline, white space inside a block is one space, references are decoded.  Menus, headers,
@@ -247,16 +248,36 @@ def page_choice(source: str) -> tuple[str, float]:
 
 
 def page_text(source: str, path: str | None) -> str:
-    """Text of the containers at ``path`` that hold a good part of its score, else of the best container."""
+    """Text around the containers at ``path``, else around those at the path of the best container."""
     root = read_page(source)
     best = best_container(root)
-    if path:
-        found = [n for n in _walk(root) if n.path == path and not n.noise and n.score > 0]
-        if found:
-            least = 0.25 * max(n.score for n in found)
-            return "\n".join(t for n in found if n.score >= least and (t := container_text(n)))
-    body = next((n for n in _walk(root) if n.tag == "body"), root)
-    return container_text(best or body)
+    for wanted in (path, best.path if best else ""):
+        found = [n for n in _walk(root) if n.path == wanted and not n.noise] if wanted else []
+        if any(n.score > 0 for n in found):
+            whole = {id(w): w for w in map(_widened, found)}
+            return "\n".join(t for n in whole.values() if not _within(n.parent, whole) and (t := container_text(n)))
+    return container_text(next((n for n in _walk(root) if n.tag == "body"), root))
+
+
+def _within(node: Node | None, picked: dict[int, Node]) -> bool:
+    while node is not None and id(node) not in picked:
+        node = node.parent
+    return node is not None
+
+
+def _widened(node: Node) -> Node:
+    """The nearest article or main around the container, else the nearest wrapper below the body that adds something."""
+    at = node
+    while at is not None:
+        if at.tag in ("article", "main"):
+            return at
+        at = at.parent
+    while (above := node.parent) is not None and above.tag in CONTAINERS and above.tag != "body":
+        rest = (p for p in above.parts if p is not node)
+        if any(p.strip() if isinstance(p, str) else p is not None and not p.noise and container_text(p) for p in rest):
+            return above
+        node = above
+    return node
 
 
 def host_of(column):

@@ -48,3 +48,25 @@ def test_hosts_agree_on_a_path(spark):
     digest = {r.page_id: r for r in page_digest(pages).collect()}
     assert len(digest) == len(rows) and digest[10].n_chars == 17 and digest[11].text == ""
     assert page_digest(pages.limit(0)).count() == 0
+
+
+def test_unequal_parts_of_an_article_stay():
+    import random
+
+    rng = random.Random(5)
+    for outer in ("article", "main", "div class='post'"):
+        for _ in range(60):
+            parts, wanted = ["<h1>T</h1>"], ["T"]
+            for k in range(rng.randint(1, 6)):
+                text = f"w{k} " * rng.choice([1, 8, 100, 600])
+                deep, name = rng.randint(1, 4), rng.choice(["intro", "body", "part", "end"])
+                parts.append(f"<div class='{name}'>" + "<div>" * (deep - 1) + f"<p>{text}</p>" + "</div>" * deep)
+                wanted.append(text.strip())
+            html = f"<html><body><nav>no</nav><{outer}>{''.join(parts)}</{outer.split()[0]}><footer>no</footer></body></html>"
+            assert page_text(html, None) == page_text(html, ">nothing") == "\n".join(wanted), html
+
+
+def test_unequal_sections_of_one_path_stay():
+    html = f"<body><div class='section'><p>{'long ' * 400}</p></div><div class='section'><p>{'short ' * 20}</p></div></body>"
+    for path in (None, "", ">body>div.section"):
+        assert page_text(html, path) == "long " * 399 + "long\n" + "short " * 19 + "short"
