@@ -8,7 +8,8 @@ wrapper it shares with other text, so that short parts of an article stay.  Vote
 pages is one row per task; pages meet the winners in a join by host (a broadcast while the winners' file is small).
 
 Blocks are separated by a newline, white space inside a block is one space, references are decoded.  Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag or by words of class and id.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag or by words of class and id.  Ids of headings and paragraphs do not count, nor do
+ids of sections and the share of links inside an article, main or chosen container: there they are slugs and sources.
 
 Defined cases: null or empty html gives an empty text; a page without container text falls back to its body; null urls
 share the empty host; unclosed tags and comments end with the page.
@@ -35,7 +36,7 @@ BLOCKS = CONTAINERS | PARAGRAPHS | frozenset(
     ["ul", "ol", "dl", "table", "tr", "th", "thead", "tbody", "tfoot", "caption", "figure", "figcaption", "hr", "br", "address",
      "details", "summary", "header", "footer", "nav", "aside", "form", "fieldset", "html", "head", "hgroup", "center", "dialog", "menu", "search"]
 )
-DROPPED = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "label", "menu", "dialog", "head", "search", "figure"])
+DROPPED = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "label", "menu", "dialog", "head", "search"])
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes", "video", "audio"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"])
 NOISE = frozenset(
@@ -58,6 +59,8 @@ class Node:
     path: str
     parent: Node | None
     noise: bool
+    aside: bool = False  # in a section with a noise id: left out unless it is inside the chosen container
+    inside: bool = False  # in the chosen container, where ids of sections are slugs and lists of links are content
     parts: list = field(default_factory=list)  # texts and child nodes in page order
     own: float = 0.0
     links: float = 0.0
@@ -79,7 +82,13 @@ def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"):
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    names = attributes.get("class", "")
+    if tag not in PARAGRAPHS and tag != "section":  # their ids are often slugs of a heading
+        names += f" {attributes.get('id', '')}"
+    return _noise_words(names)
+
+
+def _noise_words(names: str) -> bool:
     return any(part.lower() in NOISE for part in _NAME_PART.findall(names))
 
 
@@ -136,6 +145,8 @@ def _open(node: Node, tag: str, attributes: dict[str, str]) -> Node:
         if tag == "tr" and node.tag == "tr":
             node = node.parent
     child = Node(tag, f"{node.path}>{_step(tag, attributes)}", node, node.noise or _is_noise(tag, attributes))
+    child.inside = node.inside or (tag in ("article", "main") and not child.noise)
+    child.aside = node.aside or (tag == "section" and not child.inside and _noise_words(attributes.get("id", "")))
     node.parts.append(child)
     return child
 
@@ -161,7 +172,7 @@ def _rate(node: Node) -> None:
     while todo:
         current = todo.pop()
         todo += [p for p in current.parts if isinstance(p, Node)]
-        if current.noise or not current.own or 2 * current.links > current.own:
+        if current.noise or current.aside or not current.own or 2 * current.links > current.own:
             continue
         above = current if current.tag in CONTAINERS else current.parent
         share = current.own
@@ -189,7 +200,7 @@ def best_container(root: Node) -> Node | None:
     _rate(root)
     best = None
     for node in _walk(root):
-        if node.tag in CONTAINERS and not node.noise:
+        if node.tag in CONTAINERS and not node.noise and not node.aside:
             node.score *= _BONUS.get(node.tag, 1.0)
             if node.score > 0 and (best is None or node.score > best.score):
                 best = node
@@ -223,7 +234,7 @@ def container_text(container: Node) -> str:
                 if part.noise:  # of a header inside the article only headings belong to it
                     todo += [p for p in reversed([n for n in _walk(part) if n.tag in HEADINGS]) if _unnoise(p)]
                     continue
-                if part.tag in ("ul", "ol", "div") and _only_links(part):
+                if not part.inside and (part.aside or part.tag in ("ul", "ol", "div") and _only_links(part)):
                     continue
             todo.append(None)
             todo += reversed(part.parts)
@@ -252,8 +263,10 @@ def page_text(source: str, path: str | None) -> str:
     root = read_page(source)
     best = best_container(root)
     for wanted in (path, best.path if best else ""):
-        found = [n for n in _walk(root) if n.path == wanted and not n.noise] if wanted else []
+        found = [n for n in _walk(root) if n.path == wanted and not n.noise and not n.aside] if wanted else []
         if any(n.score > 0 for n in found):
+            for node in (part for n in found for part in _walk(n)):
+                node.inside = True
             whole = {id(w): w for w in map(_widened, found)}
             return "\n".join(t for n in whole.values() if not _within(n.parent, whole) and (t := container_text(n)))
     return container_text(next((n for n in _walk(root) if n.tag == "body"), root))
@@ -274,7 +287,7 @@ def _widened(node: Node) -> Node:
         at = at.parent
     while (above := node.parent) is not None and above.tag in CONTAINERS and above.tag != "body":
         rest = (p for p in above.parts if p is not node)
-        if any(p.strip() if isinstance(p, str) else p is not None and not p.noise and container_text(p) for p in rest):
+        if any(p.strip() if isinstance(p, str) else p is not None and not p.noise and not p.aside and container_text(p) for p in rest):
             return above
         node = above
     return node

@@ -70,3 +70,17 @@ def test_unequal_sections_of_one_path_stay():
     html = f"<body><div class='section'><p>{'long ' * 400}</p></div><div class='section'><p>{'short ' * 20}</p></div></body>"
     for path in (None, "", ">body>div.section"):
         assert page_text(html, path) == "long " * 399 + "long\n" + "short " * 19 + "short"
+
+
+def test_slugs_figures_and_lists_of_sources_stay():
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>Source {k}</a></li>" for k in range(4)) + "</ul>"
+    content = (
+        f"<h2 id='search-algorithms'>Search</h2><p id='notice-1'>{BODY}</p>"
+        f"<section id='legal-basis'><h2 id='related-work'>Legal</h2><p>{BODY}</p></section>"
+        f"<figure><pre>x = 1</pre><figcaption>Listing</figcaption></figure>{links}"
+    )
+    wanted = ["Search", BODY.strip(), "Legal", BODY.strip(), "x = 1", "Listing", *[f"Source {k}" for k in range(4)]]
+    for outer in ("article", "main", "div class='post'"):
+        menus = f"<nav>{links}</nav><div class='menu'>{links}</div><section class='related'><p>{BODY}</p></section>"
+        html = f"<html><body>{menus}<{outer}>{content}<ul class='nav'><li>no</li></ul></{outer.split()[0]}><section id='related'><p>{BODY}</p></section></body></html>"
+        assert page_text(html, None) == "\n".join(wanted)
