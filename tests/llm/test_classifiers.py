@@ -77,3 +77,14 @@ def test_folding_and_exceptions():
 def test_stems_stand_for_many_words():
     rows = [(f" abcd{x} ", 10, 0) for x in "efghij"] + [(" abcd", 40, 0), (" wxyzz ", 30, 0), (" wxyz", 30, 0)]
     assert set(choose_terms(rows, 100, 900, 0.8)) == {" abcd", " wxyzz "}
+
+
+def test_openings_of_twelve_letters_are_counted():
+    import pyarrow as pa
+
+    from millrace.llm.toxicity import _term_counts
+
+    texts = ["abcdefghjkmno" + c for c in "pqrst"]
+    batch = pa.record_batch([pa.array(texts), pa.array([1] * 5)], names=["text", "label"])
+    counts = {r["term"]: r["toxic"] for part in _term_counts([batch]) for r in part.to_pylist()}
+    assert counts[" " + fold("abcdefghjkmno").strip()[:12]] == 5
