@@ -115,6 +115,21 @@ def _(v: Views):
     ("landed",),
 )
 def _(v: Views):
+    return _stories(v, 50)
+
+
+@register(
+    "story_items_uncapped",
+    f"""SELECT canonical_url AS url, title, CASE WHEN article_id % 5 <> 0 THEN
+        strftime(make_timestamp(epoch_us(published_at)), {TS}) END AS published_at
+    FROM landed WHERE article_id % 100 < 80 AND trim(title) <> '' AND article_id % 7 <> 0""",
+    ("landed",),
+)
+def _(v: Views):
+    return _stories(v, None)
+
+
+def _stories(v: Views, limit: int | None):
     a = F.col("article_id")
     time = F.unix_seconds("published_at")
     body = F.to_json(F.struct(F.when(a % 7 != 0, F.col("canonical_url")).alias("url"), "title", F.when(a % 5 != 0, time).alias("time")))
@@ -122,7 +137,7 @@ def _(v: Views):
     items = landed(v).select(a.alias("item_id"), F.when(a % 5 == 0, bad_time).otherwise(body).alias("content"))
     starts = v.articles.select((F.floor(a / 100) * 100).alias("s")).distinct()
     top = starts.select(F.to_json(F.sequence(F.col("s"), F.col("s") + 79)).alias("content"))
-    rows = S.hacker_news_candidates(top, items, 50)
+    rows = S.hacker_news_candidates(top, items, limit)
     return rows.select("url", "title", stamp(F.col("published_at")).alias("published_at"))
 
 
@@ -195,18 +210,20 @@ add_sql_view(
       AND normalized_url NOT IN (SELECT normal_url FROM normal_urls WHERE page_id % 7 = 0 AND page_id % 3 <> 2)""",
 )
 CRAWL = replace(DEFAULT, freshness_days=20, max_crawl_candidates=50)
+UNCAPPED = replace(CRAWL, max_crawl_candidates=None)
 
 
-def crawl(v: Views):
-    if not hasattr(v, "_crawl"):
+def crawl(v: Views, cfg=CRAWL):
+    name = "_crawl" if cfg is CRAWL else "_crawl_uncapped"
+    if not hasattr(v, name):
         pages = v.table("pages").select("page_id", "url")
         p = F.col("page_id")
         stored = pages.filter(p % 5 == 0).select(I.normalize_url("url").alias("canonical_url"))
         status = F.when(p % 3 == 0, "pending").when(p % 3 == 1, "fetching").otherwise("completed")
         jobs = pages.filter(p % 7 == 0).select("url", status.alias("status"))
         sources = [S.feed_candidates(feeds(v)), S.search_candidates(search_responses(v))]
-        v._crawl = ingest_candidates(sources, stored, jobs, S.feed_status(feeds(v)), now(), CRAWL)
-    return v._crawl
+        setattr(v, name, ingest_candidates(sources, stored, jobs, S.feed_status(feeds(v)), now(), cfg))
+    return getattr(v, name)
 
 
 @register(
@@ -219,6 +236,15 @@ def _(v: Views):
     return crawl(v).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
 
 
+@register(
+    "crawl_enqueued_uncapped",
+    f"SELECT url, normalized_url, strftime(published_at, {TS}) AS published_at FROM unseen",
+    ("unseen",),
+)
+def _(v: Views):
+    return crawl(v, UNCAPPED).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
+
+
 @register(
     "new_entries",
     """SELECT f.feed_url, count(u.url) AS new_entry_count

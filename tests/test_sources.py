@@ -244,3 +244,10 @@ def test_failing_judge_means_duplicate(spark):
     run = deduplicate(df, F.lit(now), lambda title, body: title.endswith("1"))
     assert {r["article_id"] for r in run.decisions.filter("duplicate_of is null").collect()} == {0, 1}
     assert len({r["event_id"] for r in run.decisions.collect()}) == 1
+
+
+def test_crawl_and_stories_past_the_caps(spark):
+    from catalog import all_queries
+
+    rows = {n: all_queries()[n](spark, "/root/testdata/sf0.01").count() for n in ("crawl_enqueued", "story_items", "crawl_enqueued_uncapped", "story_items_uncapped")}
+    assert rows["crawl_enqueued_uncapped"] > rows["crawl_enqueued"] == 50 and rows["story_items_uncapped"] > rows["story_items"]
