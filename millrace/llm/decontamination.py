@@ -202,17 +202,18 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
     texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null").distinct()
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     count = max(1, -(-total // block_bytes))
-    blocks = [texts] if count == 1 else [texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) for k in range(count)]
-    parts = [item_windows([tuple(r) for r in block.collect()], window) for block in blocks]
     if count == 1:
-        return annotate(docs, _one_pass(*parts[0]), FIELDS)
+        return annotate(docs, _one_pass(*item_windows([tuple(r) for r in texts.collect()], window)), FIELDS)
     # Several blocks: each pass adds its bitmap; the intermediate table is written, so one block is in memory at a time.
     current = docs.withColumns({"_bits": F.array().cast("array<binary>"), "_ids": F.array().cast("array<string>")})
-    for windows, owners in parts:
-        marked = annotate(current, _bit_pass(windows, owners), "n_words long, _new binary, _found array<string>")
+    for k in range(count):
+        block = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        one = _bit_pass(*item_windows([tuple(r) for r in block.collect()], window))
+        marked = annotate(current, one, "n_words long, _new binary, _found array<string>")
         current = staged(
             marked.withColumn("_bits", F.concat("_bits", F.array("_new"))).withColumn("_ids", F.array_union("_ids", "_found")).drop("_new", "_found")
         )
+        del one, marked  # the block's windows, before the next one is collected
     return (
         current.withColumn("n_hit", _set_bits("_bits"))
         .withColumn("item_ids", F.array_sort("_ids"))

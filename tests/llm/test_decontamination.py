@@ -67,3 +67,14 @@ def test_search_finds_overlapping_and_adjacent_windows():
     data = b"\x00 a b a b a c " + b"c " * 30
     want = sorted((i, n) for n, w in enumerate(windows) for i in range(len(data)) if data.startswith(w, i))
     assert sorted(occurrences(build_searches(windows), windows, data)) == want
+
+
+def test_one_block_of_items_at_a_time(spark, monkeypatch):
+    from millrace.llm import decontamination as D
+
+    steps, build, stage = [], D.item_windows, D.staged
+    monkeypatch.setattr(D, "item_windows", lambda *a: steps.append("build") or build(*a))
+    monkeypatch.setattr(D, "staged", lambda df: steps.append("pass") or stage(df))
+    docs, items = frame(spark, [(1, "a b c")], "doc_id long, text string"), frame(spark, [(i, f"w{i} x") for i in range(6)], "item_id long, text string")
+    contamination(docs, items, block_bytes=150)
+    assert len(steps) > 2 and steps == ["build", "pass"] * (len(steps) // 2)
