@@ -15,8 +15,11 @@ from millrace.llm.personal_data import personal_data_digest
 from millrace.llm.pieces import piece_digest
 from millrace.llm.quality_classifier import quality_digest
 from millrace.llm.quality_rules import RuleSettings, apply_rules
+from millrace.llm.resampling import resample_digest
 from millrace.llm.sharding import place_rows
+from millrace.llm.spelling import spelling_variants
 from millrace.llm.toxicity import toxicity_digest
+from millrace.llm.warc import archive_digest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,6 +84,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digest(table(spark, sf_dir, "pages"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # Windows of 13 words, each with the places it covers.
@@ -165,3 +183,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 SQL["op10_quality_rules"] = _rules_sql()
+
+
+# CRC-32 of a text, byte by byte over a table that a rule fills.
+_CRC_TABLE = (
+    "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), "
+    "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t)"
+)
+
+
+def _crc(text: str) -> str:
+    code = f"hex(encode({text}))"
+    digit = "(strpos('0123456789ABCDEF', substr({0}, {1}, 1)) - 1)"
+    byte = f"16 * {digit.format(code, '2 * i + 1')} + {digit.format(code, '2 * i + 2')}"
+    return (
+        f"xor(list_reduce(list_transform(range(len({code}) // 2), lambda i: {byte}), "
+        "lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
+SQL["op11_resampling"] = rf"""
+WITH {_CRC_TABLE},
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+goal AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+flat AS (SELECT doc_id, unnest(w) AS f FROM docs),
+known AS (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT f FROM flat UNION SELECT f FROM goal), crc),
+source AS (SELECT bucket, count(*) AS s FROM flat JOIN known USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM goal JOIN known USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS all_s, (SELECT coalesce(sum(t), 0) FROM target) AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM source LEFT JOIN target USING (bucket), sums),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM flat JOIN known USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+noise AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, list_reduce(list_transform(range(1, 9), lambda i:
+    (strpos('0123456789abcdef', substr(sha256('2024:' || doc_id), i, 1)) - 1)::BIGINT), lambda a, b: a * 16 + b) AS h FROM docs),
+scored AS (
+  SELECT doc_id, n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM noise LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * 10 // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+SQL["op12_spelling"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("doc_id || ':' || run")} AS h FROM runs, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.rest
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.rest),
+near AS (
+  SELECT p.a AS word, p.b AS other, w.n AS other_n, count(*) OVER (PARTITION BY p.a) AS n_near,
+    row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, p.b COLLATE "C") AS r
+  FROM pairs p JOIN words w ON w.word = p.b),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM near WHERE r = 1) x ON x.word = w.word),
+paths(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.last WHERE f.form IS NOT NULL),
+roots AS (SELECT p.word, p.last AS root FROM paths p JOIN forms f ON f.word = p.last WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN roots r USING (word)
+""".replace(' COLLATE "C"', "")
+
+# Base 32 of a SHA-1: five bits a digit.
+SQL["op13_warc"] = r"""
+WITH bytes AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+hashed AS (SELECT page_id, payload_bytes, sha1(html) AS x FROM bytes),
+digests AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((strpos('0123456789abcdef', substr(x, (5 * i) // 4 + 1, 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(x, (5 * i) // 4 + 2, 1)) - 1, 0))
+        // power(2, 3 - (5 * i) % 4)::BIGINT) % 32 + 1, 1)), '') AS payload_digest
+  FROM hashed),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS low FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> low THEN low END AS refers_to FROM firsts
+"""
