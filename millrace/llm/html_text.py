@@ -8,8 +8,11 @@ wrapper it shares with other text, so that short parts of an article stay.  Vote
 pages is one row per task; pages meet the winners in a join by host (a broadcast while the winners' file is small).
 
 Blocks are separated by a newline, white space inside a block is one space, references are decoded.  Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag or by words of class and id.  Ids of headings and paragraphs do not count, nor do
-ids of sections and the share of links inside an article, main or chosen container: there they are slugs and sources.
+footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag or by the first or last word of a
+class or id.  Names that only qualify (no-sidebar, category-legal) do not count; an element with such a name is a plain
+wrapper if an article or main in it has more than half of its text, and so is a form around the page's text.  Ids of
+headings and paragraphs do not count, nor do ids of sections and the share of links inside an article, main or chosen
+container: there they are slugs and sources, but for the ids of comment sections.  Of headers inside the article headings stay.
 
 Defined cases: null or empty html gives an empty text; a page without container text falls back to its body; null urls
 share the empty host; unclosed tags and comments end with the page.
@@ -48,7 +51,13 @@ NOISE = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"""<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>]++)*+)>)""")
+# Names that say where readers write.
+COMMENTS = frozenset(["comment", "comments", "respond", "disqus"])
+COMMENT_IDS = frozenset(["comments", "respond", "disqus_thread", "comment-list", "comments-list", "comments-area", "reader-comments"])
+QUALIFIERS = frozenset(["no", "has", "with", "without", "category", "tag", "format", "type", "status", "is", "js"])
+
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+_TAG_STEP = re.compile(r"""=\s*(["'])|>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,7 +67,10 @@ class Node:
     tag: str
     path: str
     parent: Node | None
-    noise: bool
+    mark: int = 0  # 1: noise by a name or form tag, 2: noise for certain
+    noise: bool = False
+    slug: str = ""  # the id of a section
+    header: bool = False
     aside: bool = False  # in a section with a noise id: left out unless it is inside the chosen container
     inside: bool = False  # in the chosen container, where ids of sections are slugs and lists of links are content
     parts: list = field(default_factory=list)  # texts and child nodes in page order
@@ -71,25 +83,34 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _is_noise(tag: str, attributes: dict[str, str]) -> bool:
+def _mark(tag: str, attributes: dict[str, str]) -> int:
     if tag in DROPPED:
-        return True
+        return 1 if tag == "form" else 2
     if not attributes or tag in ("html", "body", "article", "main"):
-        hidden = "hidden" in attributes
         words = attributes.get("class", "").lower().split() if tag == "article" else []
-        return hidden or any(w.startswith("comment") for w in words)
+        return 2 if "hidden" in attributes or any(w.startswith("comment") for w in words) else 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return 2
     if attributes.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"):
-        return True
-    names = attributes.get("class", "")
-    if tag not in PARAGRAPHS and tag != "section":  # their ids are often slugs of a heading
-        names += f" {attributes.get('id', '')}"
-    return _noise_words(names)
-
-
-def _noise_words(names: str) -> bool:
-    return any(part.lower() in NOISE for part in _NAME_PART.findall(names))
+        return 2
+    words = _noise_words(attributes.get("class", ""))
+    if tag not in PARAGRAPHS:
+        slug = attributes.get("id", "")
+        if slug.lower() in COMMENT_IDS:
+            return 2
+        if tag != "section":  # its id is often the slug of a heading
+            words |= _noise_words(slug)
+    return 2 if words & COMMENTS else 1 if words else 0
+
+
+def _noise_words(names: str) -> set[str]:
+    """Noise words that open or close a name; those that only qualify say nothing of the element."""
+    found: set[str] = set()
+    for name in names.split():
+        parts = [p.lower() for p in _NAME_PART.findall(name)]
+        if parts and parts[0] not in QUALIFIERS:
+            found |= {parts[0], parts[-1]} & NOISE
+    return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -99,30 +120,70 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *kept])
 
 
+class _Tags:
+    """Finds the end of a tag: the next ``>`` outside quoted values.
+
+    If there is none the first ``>`` ends the tag, here and for the rest of the page, so that no page is read over and over.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.plain = source, False
+        self.last = source.rfind(">")
+        self.closed = {q: source.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Position of the ``>``; -1 if the page has no more."""
+        if at > self.last:
+            return -1
+        here = at
+        while not self.plain:
+            step = _TAG_STEP.search(self.source, here)
+            if step is None:
+                self.plain = True
+                break
+            quote, here = step[1], step.end()
+            if quote is None:
+                return step.start()
+            if self.closed[quote] >= here:
+                here = self.source.find(quote, here) + 1
+        return self.source.find(">", at)
+
+
 def read_page(source: str) -> Node:
     """A tree of block elements; inline tags only matter for link text."""
-    root = Node("html", "", None, False)
+    root = Node("html", "", None)
     node, link, at, size = root, 0, 0, len(source)
+    tags, raw_ends = _Tags(source), {}
     while at < size:
-        match = _TOKEN.search(source, at)
+        match = _TAG.search(source, at)
         if not match:
             _add_text(node, source[at:], link)
             break
-        if match.start() > at:
-            _add_text(node, source[at : match.start()], link)
-        comment, declaration, closing, name, raw = match.groups()
-        at = match.end()
+        comment, declaration, closing, name = match.groups()
+        start, inner = match.start(), match.end()
+        if name:
+            end = tags.end(inner)
+            if end < 0:
+                _add_text(node, source[at:], link)
+                break
+        if start > at:
+            _add_text(node, source[at:start], link)
         if comment or declaration:
-            end = source.find("-->" if comment else ">", at)
+            end = source.find("-->" if comment else ">", inner)
             at = size if end < 0 else end + (3 if comment else 1)
             continue
+        raw, at = source[inner:end], end + 1
         tag = name.lower()
         if tag == "a":
             link = 0 if closing else 1
         elif tag in RAW:
             if not closing and not raw.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else size
+                found = None
+                if tag not in raw_ends:
+                    raw_ends[tag] = source.lower().rfind(f"</{tag}")
+                if at <= raw_ends[tag]:
+                    found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
+                at = found.end() if found else size
         elif tag in BLOCKS or tag in DROPPED:
             if closing:
                 node = _close(node, tag)
@@ -132,9 +193,40 @@ def read_page(source: str) -> Node:
                 continue
             else:
                 node, link = _open(node, tag, _attributes(raw)), 0
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Decide which marked elements are noise, from the text they hold, and pass that on to what is inside them."""
+    nodes = list(_walk(root))
+    sure = {id(root): False}  # certain noise
+    marked = {id(root): False}  # inside any marked element
+    for n in nodes[1:]:
+        sure[id(n)] = sure[id(n.parent)] or n.mark == 2
+        marked[id(n)] = marked[id(n.parent)] or n.mark > 0
+    mass = {id(n): 0 if sure[id(n)] or 2 * n.links > n.own else n.own for n in nodes}
+    # Text outside all marks.
+    clean = sum(mass[id(n)] for n in nodes if not marked[id(n)])
+    bare = dict(mass)  # text of all descendants but that of marked elements inside
+    article: dict[int, float] = {}  # the most text of one article or main inside
+    divided: set[int] = set()  # holds a container
+    for n in reversed(nodes):
+        above = id(n.parent)
+        if n.parent is None:
+            continue
+        bare[above] += 0 if n.mark else bare[id(n)]
+        article[above] = max(article.get(above, 0), article.get(id(n), 0), bare[id(n)] if n.tag in ("article", "main") else 0)
+        if n.tag in CONTAINERS or id(n) in divided:
+            divided.add(above)
+    for n in nodes:
+        wrapper = n.mark == 1 and 2 * article.get(id(n), 0) > bare[id(n)]
+        wrapper = wrapper or (n.mark == 1 and n.tag == "form" and id(n) in divided and bare[id(n)] > 9 * clean)
+        n.noise = (n.parent is not None and n.parent.noise) or (n.mark > 0 and not wrapper)
+        n.inside = (n.parent is not None and n.parent.inside) or (n.tag in ("article", "main") and not n.noise)
+        n.aside = (n.parent is not None and n.parent.aside) or (n.tag == "section" and not n.inside and bool(_noise_words(n.slug)))
+
+
 def _open(node: Node, tag: str, attributes: dict[str, str]) -> Node:
     if tag == "html":
         return node
@@ -144,9 +236,8 @@ def _open(node: Node, tag: str, attributes: dict[str, str]) -> Node:
         node = node.parent
         if tag == "tr" and node.tag == "tr":
             node = node.parent
-    child = Node(tag, f"{node.path}>{_step(tag, attributes)}", node, node.noise or _is_noise(tag, attributes))
-    child.inside = node.inside or (tag in ("article", "main") and not child.noise)
-    child.aside = node.aside or (tag == "section" and not child.inside and _noise_words(attributes.get("id", "")))
+    child = Node(tag, f"{node.path}>{_step(tag, attributes)}", node, _mark(tag, attributes), slug=attributes.get("id", ""))
+    child.header = tag == "header" or bool(_noise_words(attributes.get("class", "")) & {"header"})
     node.parts.append(child)
     return child
 
@@ -229,7 +320,7 @@ def container_text(container: Node) -> str:
         else:
             if part is not container:
                 end_line()
-                if part.noise and not (part.tag == "header" and not container.noise):
+                if part.noise and not (part.header and not container.noise):
                     continue
                 if part.noise:  # of a header inside the article only headings belong to it
                     todo += [p for p in reversed([n for n in _walk(part) if n.tag in HEADINGS]) if _unnoise(p)]

@@ -24,7 +24,6 @@ from millrace.llm.compression import Compressor, piece_sizes, pieces, raw_dictio
 
 MAX_LANGUAGES = 10_000  # rows of two values that every task gets
 LEAST_CONTENT = 8  # bytes; zstandard takes no shorter dictionary
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -76,7 +75,7 @@ def identify_languages(docs: DataFrame, model: dict[str, bytes], settings: Langu
         compressors = [Compressor(model[name]) for name in names]
 
         def one(text: str):
-            if not names or not _LETTER.search(text):
+            if not names or not any(map(str.isalpha, text)):  # letters only: no fractions, powers or circled digits
                 return "und", 0.0, True
             sizes = piece_sizes(compressors, pieces(letters(text))).sum(axis=1)
             order = sizes.argsort(kind="stable")

@@ -126,7 +126,7 @@ class Finder:
     def _numbers(text, start, used, found) -> None:
         if start >= used["ip"] and (match := _IP.match(text, start)):
             used["ip"] = match.end()
-            if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match.groups()):
+            if all(len(part) <= 3 and int(part or 0) <= 255 for part in (digits.lstrip("0") for digits in match.groups())):
                 found.append(("ip", start, match.end()))
         if start >= used["card"] and (match := _CARD.match(text, start)):
             used["card"] = match.end()

@@ -20,16 +20,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotate, label_fold, text_slices
+from millrace.llm.common import annotate, label_fold, staged, text_slices
 
 # Insults known beforehand, and phrases in which such a word is harmless.
 BASE_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "worthless", "trash", "clown", "disgusting", "imbecile", "dumbass")
@@ -66,7 +66,7 @@ def fold(text: str) -> str:
 class ToxicitySettings:
     folds: int = 5
     sample: int = 20_000
-    max_terms: int = 5_000
+    max_terms: int = 200_000  # significant words and openings; more are an error
     least_support: int = 5
     chance: float = 1e-6
     purity: float = 0.8
@@ -109,7 +109,8 @@ class ToxicityModel:
                 covered.append((start, end))
             else:
                 at[start] = max(at.get(start, (0, 0.0)), (length, weight))
-        return [(s, w) for s, (_, w) in at.items() if not any(a <= s < b for a, b in covered)], len(words)
+        hidden = _inside(covered, at)
+        return [(s, w) for s, (_, w) in at.items() if s not in hidden], len(words)
 
     def found_terms(self, text: str) -> set[str]:
         folded = " " + " ".join(fold(text).split()) + " "
@@ -126,6 +127,21 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + a * total + b * dense))))
 
 
+def _inside(spans: list[tuple[int, int]], places: Iterable[int]) -> set[int]:
+    """The places inside any span, in one walk over both in order."""
+    if not spans:
+        return set()
+    spans = sorted(spans)
+    found, i, reach = set(), 0, -1
+    for place in sorted(places):
+        while i < len(spans) and spans[i][0] <= place:
+            reach = max(reach, spans[i][1])
+            i += 1
+        if place < reach:
+            found.add(place)
+    return found
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, bound: int) -> DataFrame:
     """(doc_id, text, label) of about ``bound`` labelled training rows, the same ids wherever they are stored."""
     marks = (
@@ -156,13 +172,15 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chernoff(toxic: int, clean: int, base: float) -> float:
-    """Log of a bound on the chance of so large a toxic share if the term were neutral."""
-    n, share = toxic + clean, toxic / (toxic + clean)
-    if share <= base:
-        return 0.0
-    spread = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0)
-    return -n * spread
+def _significant(toxic: Column, clean: Column, all_toxic: int, all_clean: int, chance: float) -> Column:
+    """The Chernoff bound on the chance of so large a toxic share of a neutral term is below ``chance``, and the term is five
+    times as common in toxic texts."""
+    base = all_toxic / (all_toxic + all_clean)
+    n = toxic + clean
+    share = toxic / n
+    rest = F.when(clean > 0, (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
+    bound = -n * (share * F.log(share / F.lit(base)) + rest)
+    return (share > base) & (bound < math.log(chance)) & (toxic / F.lit(float(all_toxic)) > 5 * clean / F.lit(float(all_clean)))
 
 
 def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, purity: float) -> dict[str, float]:
@@ -198,14 +216,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, settings: ToxicitySetting
     # Copies of one text are one witness.
     lexicon_rows = sample.filter(part > 0).dropDuplicates(["text"]).select("text", "label")
     counted = lexicon_rows.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    frequent = counted.filter(F.col("toxic") >= settings.least_support)
-    candidates = [tuple(r) for r in frequent.orderBy(F.desc(F.col("toxic") / (F.col("toxic") + F.col("clean"))), F.desc("toxic"), "term").limit(4 * settings.max_terms).collect()]
-    totals = next(((a, b) for t, a, b in candidates if t == ""), None) or tuple(counted.filter("term = ''").select("toxic", "clean").first() or (0, 0))
+    counted = staged(counted.filter((F.col("toxic") >= settings.least_support) | (F.col("term") == "")))
+    totals = tuple(counted.filter("term = ''").select("toxic", "clean").first() or (0, 0))
     terms = {f" {fold(t).strip()} ": 3.0 for t in BASE_TERMS}
     if min(totals) > 0:
-        base = totals[0] / sum(totals)
-        kept = [r for r in candidates if r[0] and _chernoff(r[1], r[2], base) < math.log(settings.chance) and r[1] / totals[0] > 5 * r[2] / totals[1]]
-        terms |= choose_terms(kept[: settings.max_terms], *totals, settings.purity)
+        likely = counted.filter((F.col("term") != "") & _significant(F.col("toxic"), F.col("clean"), *totals, settings.chance))
+        rows = [tuple(r) for r in likely.limit(settings.max_terms + 1).collect()]
+        if len(rows) > settings.max_terms:
+            raise ValueError("more significant terms than max_terms allows: raise it, or least_support")
+        terms |= choose_terms(rows, *totals, settings.purity)
     rest = sample.filter(part == 0)
     model = _proven(ToxicityModel(terms, settings.exceptions), rest)
 

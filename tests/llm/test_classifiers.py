@@ -88,3 +88,26 @@ def test_openings_of_twelve_letters_are_counted():
     batch = pa.record_batch([pa.array(texts), pa.array([1] * 5)], names=["text", "label"])
     counts = {r["term"]: r["toxic"] for part in _term_counts([batch]) for r in part.to_pylist()}
     assert counts[" " + fold("abcdefghjkmno").strip()[:12]] == 5
+
+
+def test_signs_without_letters_are_no_language(spark):
+    model = {"en": b"the words of a language " * 4, "fr": b"les mots de la langue " * 4}
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["½ ² ①", "123 ٣ Ⅷ", "_ _", "²³", "ª", "漢", "ⓐ"])]
+    found = {r.text: r.lang_pred for r in identify_languages(frame(spark, rows), model).collect()}
+    assert {t for t, p in found.items() if p != "und"} == {"ª", "漢"}
+
+
+def test_many_exceptions_take_linear_time():
+    import random
+    import time
+
+    model = ToxicityModel({f" {fold('trash').strip()} ": 5.0, f" {fold('loser').strip()} ": 4.0})
+    start = time.perf_counter()
+    assert model.findings("trash can " * 100_000) == ([], 200_000)
+    assert time.perf_counter() - start < 20
+    rng = random.Random(1)
+    for _ in range(200):  # against every hit compared with every phrase
+        text = " ".join(rng.choice(["trash", "can", "sore", "loser", "bag", "x"]) for _ in range(30))
+        words, phrases = text.split(), [p.split() for p in ("trash can", "trash bag", "sore loser")]
+        covered = {i + k for p in phrases for i in range(30) if words[i : i + len(p)] == p for k in range(len(p))}
+        assert len(model.findings(text)[0]) == sum(w in ("trash", "loser") and i not in covered for i, w in enumerate(words))

@@ -1,3 +1,6 @@
+import random
+import time
+
 from millrace.llm.html_text import extract_pages, host_paths, page_digest, page_text
 from tests.llm.cases import frame
 
@@ -51,8 +54,6 @@ def test_hosts_agree_on_a_path(spark):
 
 
 def test_unequal_parts_of_an_article_stay():
-    import random
-
     rng = random.Random(5)
     for outer in ("article", "main", "div class='post'"):
         for _ in range(60):
@@ -84,3 +85,37 @@ def test_slugs_figures_and_lists_of_sources_stay():
         menus = f"<nav>{links}</nav><div class='menu'>{links}</div><section class='related'><p>{BODY}</p></section>"
         html = f"<html><body>{menus}<{outer}>{content}<ul class='nav'><li>no</li></ul></{outer.split()[0]}><section id='related'><p>{BODY}</p></section></body></html>"
         assert page_text(html, None) == "\n".join(wanted)
+
+
+def test_wrappers_with_noise_like_names_keep_their_article():
+    rng = random.Random(11)
+    wrappers = ["div class='content-sidebar-wrap'", "div class='layout no-sidebar'", "div class='post category-legal tag-search'", "form id='aspnetForm'",
+                "section class='has-ads'", "div id='menu-open'", "td", "center"]
+    for _ in range(80):
+        outer = rng.sample(wrappers, rng.randint(1, 3))
+        parts = [f"{rng.choice('abc')}{k} " * rng.choice([3, 40, 300]) for k in range(rng.randint(1, 5))]
+        core = rng.choice(["article", "main", "div class='content'"])
+        noise = [f"<div class='{c}'><p>{'no ' * rng.randint(1, 90)}</p></div>" for c in ("sidebar", "cookie-notice", "widget ad", "social-share", "post-comments")]
+        html = "".join(f"<{w}>" for w in outer) + f"<{core}>" + "".join(f"<p>{t}</p>" for t in parts) + f"</{core.split()[0]}>"
+        html += noise[0] + noise[4] + "".join(f"</{w.split()[0]}>" for w in reversed(outer))
+        page_ = f"<html><body><nav>n</nav>{noise[1]}{noise[2]}{html}{noise[3]}<footer>f</footer></body></html>"
+        if core == "div class='content'" and "div id='menu-open'" in outer:
+            continue  # only an article or main tells a wrapper from a menu
+        assert page_text(page_, None) == "\n".join(t.strip() for t in parts), page_
+
+
+def test_comment_sections_inside_the_article_go_and_titles_stay():
+    talk = "<p>" + "A reader says something about it. " * 30 + "</p>"
+    for mark in ("id='comments'", "id='respond'", "class='comments-area'", "id='disqus_thread'"):
+        for tag in ("section", "div"):
+            html = f"<article><div class='article-header'><h1>T</h1><span>by line</span></div><p>{BODY}</p><{tag} {mark}>{talk}</{tag}></article>"
+            assert page_text(html, None) == f"T\n{BODY.strip()}"
+
+
+def test_quotes_and_unclosed_tags_take_linear_time():
+    assert page_text("<body><p title=it's>one it's</p><p>two</p>", None) == "one it's\ntwo"
+    assert page_text("<p data-x='a>b' class=\"c>d\">inside</p>", None) == "inside"
+    for bad in ("<a ", '<a y=">" ', "<p title='", "<script>x</script>", "<script ", "<!--", "<textarea>", "<p x=it's>"):
+        start = time.perf_counter()
+        page_text(bad * (1_000_000 // len(bad)), None)
+        assert time.perf_counter() - start < 20, bad

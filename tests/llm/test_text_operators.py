@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from fractions import Fraction
 
 import public_tokenizers
@@ -68,6 +69,15 @@ def test_personal_data_kinds_and_redaction(spark):
     assert personal_data_digest(docs.limit(0)).count() == 0
 
 
+def test_base_spans_of_long_digit_runs():
+    for text in ("0" * 5_000 + "1.2.3.4", "9" * 5_000 + ".1.1.1", "1.2.3." + "0" * 9_999, "+" + "1" * 6_000, "7" * 20_000, "1." * 30_000):
+        sys.set_int_max_str_digits(0)  # the patterns' own check reads numbers of any length
+        want = base_spans(text)
+        sys.set_int_max_str_digits(4_300)
+        assert [s for s in Finder().spans(text) if s[0] in BASE_KINDS] == want
+    assert Finder().spans("0" * 5_000 + "1.2.3.4") == [("ip", 0, 5_007)]
+
+
 def test_pieces_equal_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(5)
