@@ -16,6 +16,7 @@ from millrace.operators import diagnostics as G
 from millrace.operators import profile as PR
 from millrace.operators import scoring as S
 from millrace.operators.feedback import read_flags
+from millrace.operators.neighbors import pool_features
 from millrace.operators.preferences import source_preferences
 from millrace.operators.similarity import neighbor_similarity, profile_features, similar_by_vector
 from millrace.plans.discover import FeedInputs, candidate_pool, discover_feed, related_articles
@@ -315,10 +316,13 @@ def _features(v: Views, cfg=CFG):
 def _tiled_features(v: Views, cfg):
     pool = candidate_pool(v.articles, now(), cfg)
     excluded = S.exclusions(v.article_feedback, v.user_articles)
-    chosen, _report = S.select_candidates(users(v), pool, excluded, cfg.max_candidates)
+    chosen, _report = S.select_candidates(users(v), pool, excluded, cfg.max_candidates, positions=False)
     profile = PR.build_profiles(v.user_articles, v.article_feedback, v.articles, now(), cfg)
+    if cfg.max_candidates is None:
+        # Small tiles on purpose here and below: several blocks must give the same result.
+        found = pool_features(chosen, pool, excluded, profile, users(v), replace(cfg, vector_tile_rows=128))
+        return found.filter(F.col("interest_similarity").isNotNull())
     vectors = chosen.join(v.articles.select("article_id", "embedding"), "article_id")
-    # Small tiles on purpose: the several-blocks path must give the same result.
     return profile_features(vectors, profile, replace(cfg, vector_tile_rows=128))
 
 

@@ -181,6 +181,7 @@ class Clustering:
     seed: int = 0
     restarts: int = 10
     max_iterations: int = 300
+    local_rows: int = 10_000  # articles of a user that one task clusters; more are clustered by all tasks together
 
 
 @dataclass(frozen=True)

@@ -181,5 +181,5 @@ def top_per_key(
 def rank_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "position") -> DataFrame:
     """Rank of every row of its key: global order, then offset of the key, so a hot key is spread over tasks."""
     ordered = ordered_index(df, *[F.col(k) for k in keys], *order, name="_pos")
-    first = ordered.groupBy(*keys).agg(F.min("_pos").alias("_first"))
+    first = materialize(ordered.groupBy(*keys).agg(F.min("_pos").alias("_first")))  # one row per key, for all readers
     return ordered.join(first, list(keys)).withColumn(rank, F.col("_pos") - F.col("_first") + 1).drop("_pos", "_first")

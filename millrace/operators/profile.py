@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from millrace.config import DEFAULT, Clustering, EngineConfig, FALLBACK_CLUSTER_
 from millrace.functions.weights import age_days, confidence, effective_interest, lookup, recency_decay
 from millrace.operators.distributed import top_per_key
 from millrace.operators.feedback import interest_population, recency_cut
+from millrace.operators.kmeans import common_width, large_user_clusters, squared_gaps
 from millrace.session import materialize
 
 
@@ -59,12 +62,6 @@ def cluster_count(n: int, settings: Clustering) -> int:
     return min(n // settings.min_articles_per_cluster, settings.max_clusters, n)
 
 
-def _gaps(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances through one matrix product."""
-    norms = (points**2).sum(1)[:, None] + (centers**2).sum(1)[None, :]
-    return np.maximum(norms - 2.0 * points @ centers.T, 0.0)
-
-
 def lloyd(points: np.ndarray, k: int, settings: Clustering) -> tuple[np.ndarray, np.ndarray]:
     """Best of several seeded k-means++ runs on a bounded point set: (labels, centroids)."""
     rng = np.random.default_rng(settings.seed)
@@ -73,13 +70,13 @@ def lloyd(points: np.ndarray, k: int, settings: Clustering) -> tuple[np.ndarray,
     for _ in range(settings.restarts if k > 1 else 1):
         centers = points[[rng.integers(n)]]
         while len(centers) < k:
-            gap = _gaps(points, centers).min(1)
+            gap = squared_gaps(points, centers).min(1)
             total = gap.sum()
             chosen = rng.choice(n, p=gap / total) if total > 0 else rng.integers(n)
             centers = np.vstack([centers, points[chosen]])
         labels = np.full(n, -1)
         for _ in range(settings.max_iterations):
-            moved = _gaps(points, centers).argmin(1)
+            moved = squared_gaps(points, centers).argmin(1)
             if (moved == labels).all():
                 break
             labels = moved
@@ -100,7 +97,10 @@ CLUSTER_MEMBERS = (
 
 
 def assign_clusters(weighted: DataFrame, settings: Clustering = DEFAULT.clustering) -> DataFrame:
-    """Cluster label and centroid per interest article.  A user's group is the whole history unless a profile cut is set."""
+    """Cluster label and centroid per interest article.
+
+    Users of up to ``local_rows`` articles are a group each; those of more are clustered by Spark aggregates over all tasks.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("position", kind="stable")
@@ -120,7 +120,15 @@ def assign_clusters(weighted: DataFrame, settings: Clustering = DEFAULT.clusteri
         )
 
     usable = weighted.filter(F.col("embedding").isNotNull())
-    return usable.groupBy("user_id").applyInPandas(run, CLUSTER_MEMBERS)
+    large = usable.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") > settings.local_rows).select("user_id").collect()
+    if not large:
+        return usable.groupBy("user_id").applyInPandas(run, CLUSTER_MEMBERS)
+    # At most one user per ``local_rows`` articles: their ids are few.
+    ids = usable.sparkSession.createDataFrame(large, "user_id long")
+    hot = materialize(common_width(usable.join(F.broadcast(ids), "user_id")))
+    counts = {r.user_id: cluster_count(r.n, settings) for r in hot.groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    rest = usable.join(F.broadcast(ids), "user_id", "left_anti").groupBy("user_id").applyInPandas(run, CLUSTER_MEMBERS)
+    return reduce(DataFrame.unionByName, large_user_clusters(hot, counts, settings, CLUSTER_MEMBERS), rest)
 
 
 def interest_clusters(members: DataFrame, settings: Clustering = DEFAULT.clustering) -> DataFrame:

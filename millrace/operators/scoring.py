@@ -44,13 +44,14 @@ def candidate_order() -> list[Column]:
 
 
 def select_candidates(
-    users: DataFrame, pool: DataFrame, excluded: DataFrame, limit: int | None
+    users: DataFrame, pool: DataFrame, excluded: DataFrame, limit: int | None, positions: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """First ``limit`` pool articles of each user in candidate order, and the truncation report.
 
     The pool is ranked once.  A user with e excluded pool articles finds all candidates among the
     first limit + e ranks, so users meet articles by an equi-join on the rank and the number of
-    rows is what the output needs, never users times articles.  ``None`` keeps the whole pool of every user.
+    rows is what the output needs, never users times articles.  ``None`` keeps the whole pool of every user;
+    without ``positions`` its rows are not numbered, which saves a sort of all of them.
     """
     ranked = ordered_index(pool.select("article_id", "published_at"), *candidate_order(), name="place")
     total = ranked.count()
@@ -68,7 +69,9 @@ def select_candidates(
         "user_id", F.explode(F.sequence(F.lit(0).cast("long"), reach.cast("long") - 1)).alias("place")
     )
     visible = slots.join(front, "place").join(hidden, PAIR, "left_anti")
-    if limit is None:
+    if limit is None and not positions:
+        chosen = visible.withColumn("candidate_position", F.lit(None).cast("int"))
+    elif limit is None:
         place = F.col("candidate_position").cast("int")
         chosen = rank_per_key(visible, ["user_id"], [F.col("place")], "candidate_position").withColumn("candidate_position", place)
     else:
@@ -110,11 +113,12 @@ def candidate_features(
     user_articles: DataFrame,
     registry: DataFrame,
     preferences: DataFrame,
-    similarities: DataFrame,
+    similarities: DataFrame | None = None,
     article_rows: int | None = None,
 ) -> DataFrame:
     """Join every input of the score to the chosen (user, article) pairs.
 
+    ``similarities``: their similarity columns, unless ``chosen`` carries these already.
     ``article_rows``: counted size of ``articles``, if the caller knows it to be small.
     """
     narrow = articles.select(*ARTICLE_COLUMNS).join(entity_names(registry), "source_domain", "left")
@@ -122,9 +126,9 @@ def candidate_features(
         narrow = broadcast_if_small(narrow, article_rows)
     liking = preferences.select("user_id", "source_domain", F.col("effective_weight").alias("source_preference"))
     seen = read_flags(user_articles).withColumn("is_read", F.lit(True))
+    rows = chosen if similarities is None else chosen.join(similarities, PAIR, "left")
     return (
-        chosen.join(narrow, "article_id")
-        .join(similarities, PAIR, "left")
+        rows.join(narrow, "article_id")
         .join(liking, ["user_id", "source_domain"], "left")
         .join(seen, PAIR, "left")
         .withColumns(

@@ -12,6 +12,7 @@ from millrace.operators import scoring as S
 from millrace.operators.compose import compose_feed, slot_fill
 from millrace.operators.distributed import broadcast_if_small
 from millrace.operators.filters import ArticleFilter, alive, within_age
+from millrace.operators.neighbors import pool_features
 from millrace.operators.profile import article_profile, build_profiles
 from millrace.operators.similarity import profile_features
 from millrace.session import materialize
@@ -55,6 +56,8 @@ def _ranked(
     now: Column,
     cfg: EngineConfig,
 ) -> tuple[DataFrame, DataFrame]:
+    if cfg.max_candidates is None:
+        return _ranked_pool(runs, pool, excluded, profile, inputs, now, cfg)
     chosen, report = S.select_candidates(runs, pool, excluded, cfg.max_candidates)
     chosen = materialize(chosen)
     # All users meet the same front of the pool: cut the article table to it once.  It has few rows,
@@ -63,17 +66,33 @@ def _ranked(
     front = materialize(inputs.articles.select(*S.ARTICLE_COLUMNS, "embedding").join(ids, "article_id", "left_semi"))
     size = front.count()
     vectors = chosen.join(broadcast_if_small(front.select("article_id", "embedding"), size), "article_id")
-    similarities = profile_features(
-        vectors, profile, cfg, single_block=cfg.max_candidates is not None and cfg.max_candidates <= cfg.vector_tile_rows
-    )
+    similarities = profile_features(vectors, profile, cfg, single_block=cfg.max_candidates <= cfg.vector_tile_rows)
     features = S.candidate_features(
         chosen, front, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities, size
     )
     # Ranked rows feed several windows and joins below: run the Python stage once.
-    scored = S.score(features, now, cfg)
-    if cfg.max_candidates is None:
-        return materialize(S.rank_unbounded(materialize(scored))), report
-    return materialize(S.rank(scored)), report
+    return materialize(S.rank(S.score(features, now, cfg))), report
+
+
+def _ranked_pool(
+    runs: DataFrame,
+    pool: DataFrame,
+    excluded: DataFrame,
+    profile: DataFrame,
+    inputs: FeedInputs,
+    now: Column,
+    cfg: EngineConfig,
+) -> tuple[DataFrame, DataFrame]:
+    """Every run ranks the whole pool but what it excludes: neighbours are looked up in the pool's lists."""
+    front = materialize(pool.select(*S.ARTICLE_COLUMNS, "embedding"))
+    chosen, report = S.select_candidates(runs, front, excluded, None, positions=False)
+    hidden = excluded.join(runs, "user_id", "left_semi")
+    featured = pool_features(chosen, front, hidden, profile, runs, cfg)
+    features = S.candidate_features(
+        featured, front, inputs.user_articles, inputs.registry, inputs.source_preferences, article_rows=front.count()
+    )
+    # Scored rows are sorted globally below, which reads them twice.
+    return S.rank_unbounded(materialize(S.score(features, now, cfg))), report
 
 
 def discover_feed(
