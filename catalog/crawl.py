@@ -108,7 +108,7 @@ def _(v: Views):
 
 
 @register(
-    "story_items",
+    "story_items_capped",
     f"""SELECT canonical_url AS url, title, CASE WHEN article_id % 5 <> 0 THEN
         strftime(make_timestamp(epoch_us(published_at)), {TS}) END AS published_at
     FROM landed WHERE article_id % 100 < 50 AND trim(title) <> '' AND article_id % 7 <> 0""",
@@ -119,7 +119,7 @@ def _(v: Views):
 
 
 @register(
-    "story_items_uncapped",
+    "story_items",
     f"""SELECT canonical_url AS url, title, CASE WHEN article_id % 5 <> 0 THEN
         strftime(make_timestamp(epoch_us(published_at)), {TS}) END AS published_at
     FROM landed WHERE article_id % 100 < 80 AND trim(title) <> '' AND article_id % 7 <> 0""",
@@ -209,12 +209,12 @@ add_sql_view(
     WHERE k = 1 AND normalized_url NOT IN (SELECT normal_url FROM normal_urls WHERE page_id % 5 = 0)
       AND normalized_url NOT IN (SELECT normal_url FROM normal_urls WHERE page_id % 7 = 0 AND page_id % 3 <> 2)""",
 )
-CRAWL = replace(DEFAULT, freshness_days=20, max_crawl_candidates=50)
-UNCAPPED = replace(CRAWL, max_crawl_candidates=None)
+CRAWL = replace(DEFAULT, freshness_days=20)
+CAPPED = replace(CRAWL, max_crawl_candidates=50)
 
 
 def crawl(v: Views, cfg=CRAWL):
-    name = "_crawl" if cfg is CRAWL else "_crawl_uncapped"
+    name = "_crawl" if cfg is CRAWL else "_crawl_capped"
     if not hasattr(v, name):
         pages = v.table("pages").select("page_id", "url")
         p = F.col("page_id")
@@ -227,22 +227,22 @@ def crawl(v: Views, cfg=CRAWL):
 
 
 @register(
-    "crawl_enqueued",
+    "crawl_enqueued_capped",
     f"""SELECT url, normalized_url, strftime(published_at, {TS}) AS published_at FROM (
       SELECT * FROM unseen ORDER BY published_at DESC NULLS LAST, source_order, document, position, url LIMIT 50)""",
     ("unseen",),
 )
 def _(v: Views):
-    return crawl(v).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
+    return crawl(v, CAPPED).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
 
 
 @register(
-    "crawl_enqueued_uncapped",
+    "crawl_enqueued",
     f"SELECT url, normalized_url, strftime(published_at, {TS}) AS published_at FROM unseen",
     ("unseen",),
 )
 def _(v: Views):
-    return crawl(v, UNCAPPED).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
+    return crawl(v).enqueued.select("url", "normalized_url", stamp(F.col("published_at")).alias("published_at"))
 
 
 @register(
@@ -258,8 +258,8 @@ def _(v: Views):
 
 @register(
     "crawl_counters",
-    """SELECT (SELECT count(*) FROM crawled) AS collected, (SELECT count(*) FROM crawled) - least(50, (SELECT count(*)
-      FROM unseen)) AS excluded, least(50, (SELECT count(*) FROM unseen)) AS enqueued""",
+    """SELECT (SELECT count(*) FROM crawled) AS collected, (SELECT count(*) FROM crawled) - (SELECT count(*)
+      FROM unseen) AS excluded, (SELECT count(*) FROM unseen) AS enqueued""",
     ("crawled", "unseen"),
 )
 def _(v: Views):

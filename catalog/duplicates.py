@@ -17,11 +17,11 @@ from millrace.plans.dedup import deduplicate
 VECTOR_THRESHOLD = 0.45  # the test vectors are near-orthogonal
 CFG = replace(
     DEFAULT,
-    dedup=replace(DEFAULT.dedup, embedding_similarity=VECTOR_THRESHOLD, lookback_days=60, max_judge_calls=50),
+    dedup=replace(DEFAULT.dedup, embedding_similarity=VECTOR_THRESHOLD, lookback_days=60),
     title_block_rows=512,
     vector_tile_rows=128,
 )
-UNCAPPED = replace(CFG, dedup=replace(CFG.dedup, max_judge_calls=None))
+CAPPED = replace(CFG, dedup=replace(CFG.dedup, max_judge_calls=50))
 
 add_sql_view(
     "normal_urls",
@@ -175,11 +175,11 @@ def _run(v: Views):
     return v._dedup
 
 
-def _uncapped_run(v: Views):
-    """Every fresh candidate is judged; the queries of :func:`_run` show the budget of 50 calls."""
-    if not hasattr(v, "_dedup_uncapped"):
-        v._dedup_uncapped = deduplicate(signatures(v), now(), judge, UNCAPPED)
-    return v._dedup_uncapped
+def _capped_run(v: Views):
+    """A budget of 50 calls; the queries of :func:`_run` judge every fresh candidate."""
+    if not hasattr(v, "_dedup_capped"):
+        v._dedup_capped = deduplicate(signatures(v), now(), judge, CAPPED)
+    return v._dedup_capped
 
 
 add_sql_view(
@@ -235,8 +235,8 @@ def _decisions(within_budget: str) -> str:
     FROM m JOIN best b USING (component) LEFT JOIN verdict v USING (article_id) LEFT JOIN stage s USING (article_id)"""
 
 
-add_sql_view("decisions", ("articles", "dead_free_links"), _decisions("n <= 50"))
-add_sql_view("decisions_uncapped", ("articles", "dead_free_links"), _decisions("true"))
+add_sql_view("decisions", ("articles", "dead_free_links"), _decisions("true"))
+add_sql_view("decisions_capped", ("articles", "dead_free_links"), _decisions("n <= 50"))
 
 
 @register(
@@ -276,33 +276,33 @@ def _(v: Views):
 
 
 @register(
-    "unique_candidates_uncapped",
-    "SELECT article_id, is_unique, how FROM decisions_uncapped WHERE how IS NOT NULL",
-    ("decisions_uncapped",),
+    "unique_candidates_capped",
+    "SELECT article_id, is_unique, how FROM decisions_capped WHERE how IS NOT NULL",
+    ("decisions_capped",),
 )
 def _(v: Views):
-    return _uncapped_run(v).decisions.filter(F.col("how").isNotNull()).select("article_id", "is_unique", "how")
+    return _capped_run(v).decisions.filter(F.col("how").isNotNull()).select("article_id", "is_unique", "how")
 
 
 @register(
-    "dedup_decisions_uncapped",
-    "SELECT article_id, component, duplicate_of, duplicate_penalty, stage FROM decisions_uncapped",
-    ("decisions_uncapped",),
+    "dedup_decisions_capped",
+    "SELECT article_id, component, duplicate_of, duplicate_penalty, stage FROM decisions_capped",
+    ("decisions_capped",),
 )
 def _(v: Views):
-    return _uncapped_run(v).decisions.select("article_id", "component", "duplicate_of", "duplicate_penalty", "stage")
+    return _capped_run(v).decisions.select("article_id", "component", "duplicate_of", "duplicate_penalty", "stage")
 
 
 @register(
-    "dedup_counters_uncapped",
+    "dedup_counters_capped",
     """SELECT count(*) AS processed, count_if(article_id = representative_id) AS clusters,
       count_if(duplicate_of IS NOT NULL) AS duplicates, count_if(how = 'judged') AS judged,
       count_if(how = 'cached') AS cache_hits, coalesce(bool_or(how = 'over_budget'), false) AS limit_reached
-    FROM decisions_uncapped""",
-    ("decisions_uncapped",),
+    FROM decisions_capped""",
+    ("decisions_capped",),
 )
 def _(v: Views):
-    return _uncapped_run(v).counters
+    return _capped_run(v).counters
 
 
 @register("event_ids")

@@ -26,12 +26,12 @@ from millrace.session import ensure_checkpoint_dir, materialize
 from millrace.sources.sinks import latest_runs, read_page, write_run
 
 # One cluster per user makes the centroid the mean vector, which SQL can state.
-CFG = replace(
+CAPPED = replace(
     CATALOG_CONFIG,
     clustering=replace(DEFAULT.clustering, max_clusters=1),
     composition=replace(DEFAULT.composition, strong_interest_min_similarity=0.2, exploration_min_novelty=0.7),
 )
-UNCAPPED = replace(CFG, max_candidates=None, max_profile_articles=None, max_bad_articles=None)
+CFG = replace(CAPPED, max_candidates=None, max_profile_articles=None, max_bad_articles=None)
 FEED_SIZE = 40
 PLACES = 6
 
@@ -48,13 +48,13 @@ def users(v: Views):
 
 def run(v: Views, cfg=CFG):
     """The discover job, once per Views object and settings."""
-    name = "_run" if cfg is CFG else "_run_uncapped"
+    name = "_run" if cfg is CFG else "_run_capped"
     if not hasattr(v, name):
         setattr(v, name, discover_feed(users(v), inputs(v), now(), cfg, size=FEED_SIZE))
     return getattr(v, name)
 
 
-# Views that depend on a cut, and the cuts; the uncapped queries read the same SQL without them.
+# Views that depend on a cut, and the cuts.  Queries read the SQL without them; those named ``_capped`` show the setting.
 _CUT_VIEWS = ("recent_population", "weighted", "candidates", "vectors", "interest_sim", "bad_sim", "centroids", "novelties",
               "scored", "slotted", "composed")
 _CUTS = re.compile(r"\s*WHERE (?:position <= 200|position <= 500|k <= 100|k <= 500)(?!\d)")
@@ -73,12 +73,17 @@ def _uncapped_view(name: str) -> str:
     return f"{name}_uncapped"
 
 
+def register_open(name: str, sql: str, views: tuple[str, ...]):
+    """Register ``build(views)`` with its SQL freed of all cuts."""
+    return register(name, _uncapped_sql(sql), tuple(_uncapped_view(n) for n in views))
+
+
 def register_both(name: str, sql: str, views: tuple[str, ...]):
-    """Register ``build(views, cfg)`` with the cuts its SQL states and, as ``name_uncapped``, without any."""
+    """Register ``build(views, cfg)`` without any cut and, as ``name_capped``, with the cuts its SQL states."""
 
     def wrap(build):
-        register(name, sql, views)(lambda v: build(v, CFG))
-        register(f"{name}_uncapped", _uncapped_sql(sql), tuple(_uncapped_view(n) for n in views))(lambda v: build(v, UNCAPPED))
+        register_open(name, sql, views)(lambda v: build(v, CFG))
+        register(f"{name}_capped", sql, views)(lambda v: build(v, CAPPED))
         return build
 
     return wrap
@@ -262,9 +267,9 @@ def _(v: Views, cfg):
     ("pool", "excluded", "user_articles"),
 )
 def _(v: Views):
-    pool = candidate_pool(v.articles, now(), CFG)
+    pool = candidate_pool(v.articles, now(), CAPPED)
     excluded = S.exclusions(v.article_feedback, v.user_articles)
-    return S.select_candidates(users(v), pool, excluded, CFG.max_candidates)[1]
+    return S.select_candidates(users(v), pool, excluded, CAPPED.max_candidates)[1]
 
 
 @register(
@@ -307,7 +312,7 @@ def _(v: Views, cfg):
 
 
 def _features(v: Views, cfg=CFG):
-    name = "_tiled" if cfg is CFG else "_tiled_uncapped"
+    name = "_tiled" if cfg is CFG else "_tiled_capped"
     if not hasattr(v, name):
         setattr(v, name, materialize(_tiled_features(v, cfg)))
     return getattr(v, name)
@@ -383,7 +388,7 @@ def _(v: Views, cfg):
 _PHRASES = [REASON_PHRASES[n] for n in S.COMPONENTS]
 
 
-@register(
+@register_open(
     "reason_top2",
     f"""SELECT user_id, article_id, first.a || '、' || second.b || '{REASON_CLOSING}' AS summary FROM (
       SELECT user_id, article_id, t[1] AS first, t[2] AS second FROM (
@@ -443,7 +448,7 @@ def _(v: Views, cfg):
     return run(v, cfg).feed.select("user_id", "article_id", "slot", "backfilled", "feed_rank")
 
 
-@register(
+@register_open(
     "latest_page",
     """SELECT user_id, article_id, feed_rank FROM (SELECT user_id, article_id,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) AS INT) AS feed_rank FROM composed)
@@ -455,7 +460,7 @@ def _(v: Views):
     return run(v).feed.filter(F.col("feed_rank").between(21, 40)).select("user_id", "article_id", "feed_rank")
 
 
-@register(
+@register_open(
     "stored_run",
     """SELECT user_id, 'discover' AS mode, sha256('{}') AS fingerprint, article_id, rank FROM (SELECT user_id, article_id,
         CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) AS INT) AS rank FROM composed) WHERE rank <= 10""",
@@ -472,7 +477,7 @@ def _(v: Views):
     return newest.join(page, ["user_id", "run_id"]).select("user_id", "mode", "fingerprint", "article_id", "rank")
 
 
-@register(
+@register_open(
     "fill_record",
     f"""SELECT q.slot, q.quota * n AS quota, selected, backfilled, round(coalesce(selected / nullif(q.quota * n, 0), 0), 6) AS fill_rate
     FROM (VALUES {", ".join(f"('{s}', {q})" for s, q in _QUOTA.items())}) q(slot, quota)
@@ -484,7 +489,7 @@ def _(v: Views):
     return rounded(ranking_diagnostics(run(v), CFG)["slot_fill"], "fill_rate")
 
 
-@register(
+@register_open(
     "slot_fill",
     f"""SELECT u.user_id, q.slot, q.quota, count(c.article_id) AS selected, count_if(coalesce(c.backfilled, false))
       AS backfilled, CASE WHEN q.quota = 0 THEN 0e0 ELSE round(count(c.article_id) / q.quota, 6) END AS fill_rate
@@ -497,7 +502,7 @@ def _(v: Views):
     return rounded(run(v).slots, "fill_rate")
 
 
-@register(
+@register_open(
     "novelty_distribution",
     f"""SELECT count(*) AS candidate_count, round(min(novelty), 6) AS min_novelty,
       round(quantile_cont(novelty, 0.25), 6) AS p25, round(quantile_cont(novelty, 0.5), 6) AS p50,
@@ -512,7 +517,7 @@ def _(v: Views):
     return rounded(G.novelty_distribution(run(v).ranked, CFG.composition), *names)
 
 
-@register(
+@register_open(
     "threshold_sweep",
     """SELECT t / 10e0 AS threshold, count_if(novelty >= t / 10e0) AS exploration_count,
       count_if(novelty < t / 10e0) AS diversity_count
@@ -523,7 +528,7 @@ def _(v: Views):
     return G.threshold_sweep(run(v).ranked, CFG.composition)
 
 
-@register(
+@register_open(
     "rank_correlation",
     """WITH r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx,
         rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry
@@ -536,7 +541,7 @@ def _(v: Views):
     return rounded(G.spearman(rows, "novelty", "s"), "correlation")
 
 
-@register(
+@register_open(
     "slot_divergence",
     """SELECT count(*) AS excluded_count, count_if(novelty < 0.7) AS diversity_count,
       round(count_if(novelty < 0.7) / count(*), 6) AS diversity_ratio
@@ -691,13 +696,13 @@ def _(v: Views):
 @register("interest_clusters")
 def _(v: Views):
     """Cluster ids differ between k-means implementations: checked by invariants in the tests."""
-    weighted = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CATALOG_CONFIG)
+    weighted = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CFG)
     members = PR.assign_clusters(weighted, CATALOG_CONFIG.clustering)
     clusters = PR.interest_clusters(members, CATALOG_CONFIG.clustering)
     return clusters.select("user_id", "place", "label", F.round("weight", 6).alias("weight"), "article_count")
 
 
-@register(
+@register_open(
     "mean_cluster",
     """SELECT user_id, count(*) AS article_count, 1e0 AS weight FROM weighted WHERE embedding IS NOT NULL GROUP BY 1""",
     ("weighted",),

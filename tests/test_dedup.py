@@ -198,11 +198,11 @@ def test_pivots_rule_out_pairs_and_lose_no_link(spark):
 
 def test_catalog_judges_past_the_budget(spark):
     from catalog import all_queries, all_sql
-    from catalog.duplicates import UNCAPPED
+    from catalog.duplicates import CFG
 
-    names = ["unique_candidates_uncapped", "dedup_decisions_uncapped", "dedup_counters_uncapped"]
+    names = ["unique_candidates", "dedup_decisions", "dedup_counters"]
     assert set(names) <= set(all_queries()) and not any("n <= 50" in all_sql()[n] for n in names)
     rows = [(i, i, 1, "t", "license", f"h{i}", None, None) for i in range(120)]
     schema = "article_id long, component long, position int, title string, body string, body_hash string, judged_body_hash string, has_unique_value boolean"
-    got = D.judge_candidates(spark.createDataFrame(rows, schema), lambda title, body: True, UNCAPPED.dedup).collect()
+    got = D.judge_candidates(spark.createDataFrame(rows, schema), lambda title, body: True, CFG.dedup).collect()
     assert len(got) == 120 and all(r.how == "judged" and r.is_unique for r in got)

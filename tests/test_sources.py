@@ -249,5 +249,5 @@ def test_failing_judge_means_duplicate(spark):
 def test_crawl_and_stories_past_the_caps(spark):
     from catalog import all_queries
 
-    rows = {n: all_queries()[n](spark, "/root/testdata/sf0.01").count() for n in ("crawl_enqueued", "story_items", "crawl_enqueued_uncapped", "story_items_uncapped")}
-    assert rows["crawl_enqueued_uncapped"] > rows["crawl_enqueued"] == 50 and rows["story_items_uncapped"] > rows["story_items"]
+    rows = {n: all_queries()[n](spark, "/root/testdata/sf0.01").count() for n in ("crawl_enqueued_capped", "story_items_capped", "crawl_enqueued", "story_items")}
+    assert rows["crawl_enqueued"] > rows["crawl_enqueued_capped"] == 50 and rows["story_items"] > rows["story_items_capped"]
