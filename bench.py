@@ -27,8 +27,10 @@ HEADLINE = (
     "effective_interest",
     "interest_clusters",
     "neighbor_similarity",
+    "novelty",
     "feed_slots",
-    "related_articles",
+    "feed_slots_capped",
+    "related_articles_capped",
     "vector_topk",
     "title_matches",
     "vector_matches",
@@ -40,7 +42,7 @@ HEADLINE = (
     "crawl_enqueued",
     "feed_counters",
     "page_ingest",
-    "rank_correlation",
+    "rank_correlation_capped",
     "throttle",
 )
 

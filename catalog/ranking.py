@@ -528,7 +528,7 @@ def _(v: Views):
     return G.threshold_sweep(run(v).ranked, CFG.composition)
 
 
-@register_open(
+@register_both(
     "rank_correlation",
     """WITH r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2e0 AS rx,
         rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2e0 AS ry
@@ -536,8 +536,8 @@ def _(v: Views):
     SELECT count(*) AS candidate_count, round(corr(rx, ry), 6) AS correlation FROM r""",
     ("scored",),
 )
-def _(v: Views):
-    rows = run(v).ranked.select(F.round("novelty", 9).alias("novelty"), F.round("interest_similarity", 9).alias("s"))
+def _(v: Views, cfg):
+    rows = run(v, cfg).ranked.select(F.round("novelty", 9).alias("novelty"), F.round("interest_similarity", 9).alias("s"))
     return rounded(G.spearman(rows, "novelty", "s"), "correlation")
 
 

@@ -115,13 +115,17 @@ def candidate_features(
     preferences: DataFrame,
     similarities: DataFrame | None = None,
     article_rows: int | None = None,
+    partial: float = DEFAULT.partial_match_score,
 ) -> DataFrame:
     """Join every input of the score to the chosen (user, article) pairs.
 
     ``similarities``: their similarity columns, unless ``chosen`` carries these already.
+    The match of source and tags belongs to the article: it is computed before articles meet users, and its arrays stay behind.
     ``article_rows``: counted size of ``articles``, if the caller knows it to be small.
     """
+    match = source_topic_match(F.col("entity_names"), F.concat("topics", "technologies"), partial)
     narrow = articles.select(*ARTICLE_COLUMNS).join(entity_names(registry), "source_domain", "left")
+    narrow = narrow.withColumn("source_article_match", match).drop("entity_names", "topics", "technologies")
     if article_rows is not None:
         narrow = broadcast_if_small(narrow, article_rows)
     liking = preferences.select("user_id", "source_domain", F.col("effective_weight").alias("source_preference"))
@@ -148,9 +152,6 @@ COMPONENTS = tuple(REASON_PHRASES)
 
 def score(features: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Full breakdown and total.  Column expressions only: one projection, one codegen stage."""
-    match = source_topic_match(
-        F.col("entity_names"), F.concat("topics", "technologies"), cfg.partial_match_score
-    )
     own = clamp(F.lit(1.0) - F.col("centroid_similarity"))
     near = clamp(F.lit(1.0) - F.col("neighbor_similarity"))
     measured = F.when(F.col("neighbor_similarity").isNull(), own).otherwise(F.least(own, near))
@@ -159,7 +160,6 @@ def score(features: DataFrame, now: Column, cfg: EngineConfig = DEFAULT) -> Data
         {
             "source_authority": clamp(F.col("source_authority")),
             "technical_quality": clamp(F.col("technical_quality")),
-            "source_article_match": match,
             "freshness": freshness(now, F.coalesce("published_at", "fetched_at"), cfg.max_age_days),
             "novelty": novelty,
             "authority_gate_factor": authority_gate(F.col("interest_similarity"), cfg),

@@ -68,7 +68,7 @@ def _ranked(
     vectors = chosen.join(broadcast_if_small(front.select("article_id", "embedding"), size), "article_id")
     similarities = profile_features(vectors, profile, cfg, single_block=cfg.max_candidates <= cfg.vector_tile_rows)
     features = S.candidate_features(
-        chosen, front, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities, size
+        chosen, front, inputs.user_articles, inputs.registry, inputs.source_preferences, similarities, size, cfg.partial_match_score
     )
     # Ranked rows feed several windows and joins below: run the Python stage once.
     return materialize(S.rank(S.score(features, now, cfg))), report
@@ -89,7 +89,7 @@ def _ranked_pool(
     hidden = excluded.join(runs, "user_id", "left_semi")
     featured = pool_features(chosen, front, hidden, profile, runs, cfg)
     features = S.candidate_features(
-        featured, front, inputs.user_articles, inputs.registry, inputs.source_preferences, article_rows=front.count()
+        featured, front, inputs.user_articles, inputs.registry, inputs.source_preferences, article_rows=front.count(), partial=cfg.partial_match_score
     )
     # Scored rows are sorted globally below, which reads them twice.
     return S.rank_unbounded(materialize(S.score(features, now, cfg))), report
