@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("interest", "ranking", "duplicates", "crawl")
+MODULES = ("interest", "ranking", "duplicates", "crawl", "layouts")
 
 
 def _load():

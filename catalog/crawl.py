@@ -421,6 +421,10 @@ def _(v: Views):
     FROM pages WHERE url LIKE 'https://%'""",
 )
 def _(v: Views):
+    return feed_links(home_pages(v)).withColumn("domain", F.col("domain").cast("long"))
+
+
+def home_pages(v: Views):
     p = F.col("page_id")
     tags = F.concat(
         F.lit('<link rel="alternate" type="Application/RSS+xml; charset=utf-8" href="/feed/'), p, F.lit('.xml">'),
@@ -428,8 +432,7 @@ def _(v: Views):
         F.lit('<link rel="alternate" type="application/atom+xml" href="https://elsewhere.example/f">'),
         F.lit('<link rel="stylesheet" type="application/rss+xml" href="/no">'),
     )
-    pages = v.table("pages").select(p.cast("string").alias("domain"), "url", F.concat(tags, "html").alias("html"))
-    return feed_links(pages).withColumn("domain", F.col("domain").cast("long"))
+    return v.table("pages").select(p.cast("string").alias("domain"), "url", F.concat(tags, "html").alias("html"))
 
 
 @register(
@@ -442,13 +445,18 @@ def _(v: Views):
     ("normal_urls",),
 )
 def _(v: Views):
+    return screen_registrations(read_url_lines(url_lists(v)), known_urls(v)).select("list_id", "line_number", "url", "status")
+
+
+def url_lists(v: Views):
     content = F.concat(
         F.lit("# list :// none\n* [a]("), "url", F.lit(")\r\nsee <"), "url", F.lit(">。\nmore ftp://x.example/"), "page_id"
     )
-    pages = v.table("pages")
-    lists = pages.select(F.col("page_id").alias("list_id"), content.alias("content"))
-    known = pages.filter(F.col("page_id") % 3 == 0).select(I.normalize_url("url").alias("normalized_url"))
-    return screen_registrations(read_url_lines(lists), known).select("list_id", "line_number", "url", "status")
+    return v.table("pages").select(F.col("page_id").alias("list_id"), content.alias("content"))
+
+
+def known_urls(v: Views):
+    return v.table("pages").filter(F.col("page_id") % 3 == 0).select(I.normalize_url("url").alias("normalized_url"))
 
 
 _VOTES = ", ".join(
