@@ -10,6 +10,8 @@ import catalog.duplicates  # noqa: F401  (its SQL views are used below)
 from catalog.registry import register
 from catalog.views import NOW, Views, add_sql_view, now, stamp
 from millrace.config import AUTHORITY_BY_TYPE, DEFAULT, SOURCE_TIERS
+from millrace.functions.language import resolve_language as resolve_language_by
+from millrace.functions.language import train_language_model
 from millrace.functions.text import STOP_WORDS, resolve_language
 from millrace.operators import classify as C
 from millrace.operators import feeds as FE
@@ -761,3 +763,12 @@ def _(v: Views):
     host = F.concat(F.lit("http://10.0."), p % 200, F.lit(".7/x"))
     shifted = F.when(p % 3 == 0, host).when(p % 3 == 1, F.regexp_replace("url", "^https?:", "file:")).otherwise(F.col("url"))
     return v.table("pages").select("page_id", unsafe_url(shifted).alias("reason"))
+
+
+@register("language_trained")
+def _(v: Views):
+    """A model learned from three quarters of the labelled texts names the language of all: tested on the rest of the labels."""
+    docs = v.table("documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = train_language_model(docs.filter(fold != 2))
+    return docs.select("doc_id", (fold == 2).alias("held_out"), resolve_language_by(F.lit(None).cast("string"), F.col("text"), model).alias("language"))

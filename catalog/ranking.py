@@ -714,3 +714,63 @@ def _(v: Views):
     return sizes.join(clusters.select("user_id", "place", F.round("weight", 6).alias("weight")), ["user_id", "place"]).select(
         "user_id", "article_count", "weight"
     )
+
+
+GROUPS = 4
+
+
+def _grouped(v: Views):
+    """Weighted articles with one unit vector per remainder of the id, of users with twelve articles that show them all.
+
+    Four groups of equal points are what every k-means finds, so SQL can name the clusters.
+    """
+    group = F.col("article_id") % GROUPS
+    vector = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.when(i == group, 1.0).otherwise(0.0))
+    rows = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CFG).withColumn("embedding", vector)
+    full = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct(group).alias("groups"))
+    return rows.join(full.filter((F.col("n") >= 3 * GROUPS) & (F.col("groups") == GROUPS)).select("user_id"), "user_id", "left_semi")
+
+
+_GROUP_SQL = f"""WITH g AS (SELECT *, article_id % {GROUPS} AS g FROM weighted),
+    m AS (SELECT * FROM g WHERE user_id IN (SELECT user_id FROM g GROUP BY 1 HAVING count(*) >= {3 * GROUPS} AND count(DISTINCT g) = {GROUPS})),
+    t AS (SELECT user_id, g, topic, row_number() OVER (PARTITION BY user_id, g ORDER BY n DESC, topic) AS k
+      FROM (SELECT user_id, g, topic, count(*) AS n FROM (SELECT user_id, g, unnest(topics) AS topic FROM m) GROUP BY 1, 2, 3)),
+    l AS (SELECT user_id, g, string_agg(topic, ' / ' ORDER BY k) AS label FROM t WHERE k <= 3 GROUP BY 1, 2),
+    s AS (SELECT user_id, g, sum(weight) AS w, count(*) AS n FROM m GROUP BY 1, 2)
+    SELECT user_id, label, round(w / sum(w) OVER (PARTITION BY user_id), 6) AS weight, n AS article_count,
+      CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(w, 9) DESC, label) AS INT) AS place
+    FROM s LEFT JOIN l USING (user_id, g)"""
+
+
+def _group_clusters(v: Views, **settings):
+    clustering = replace(DEFAULT.clustering, max_clusters=GROUPS, **settings)
+    members = PR.assign_clusters(_grouped(v), clustering)
+    named = PR.interest_clusters(members, clustering)
+    label = F.when(F.size("topics") > 0, F.col("label"))
+    return named.select("user_id", label.alias("label"), F.round("weight", 6).alias("weight"), "article_count", "place")
+
+
+@register_open("separated_clusters", _GROUP_SQL, ("weighted",))
+def _(v: Views):
+    return _group_clusters(v)
+
+
+@register_open("separated_clusters_all_tasks", _GROUP_SQL, ("weighted",))
+def _(v: Views):
+    """Every user with more than twenty articles is clustered by all tasks together."""
+    return _group_clusters(v, local_rows=20)
+
+
+@register_open(
+    "separated_cluster_sizes",
+    f"""WITH g AS (SELECT *, article_id % {GROUPS} AS g FROM weighted),
+    m AS (SELECT * FROM g WHERE user_id IN (SELECT user_id FROM g GROUP BY 1 HAVING count(*) >= {3 * GROUPS} AND count(DISTINCT g) = {GROUPS})),
+    s AS (SELECT user_id, g, count(*) AS n FROM m GROUP BY 1, 2)
+    SELECT user_id, list(n ORDER BY n) AS sizes FROM s GROUP BY 1""",
+    ("weighted",),
+)
+def _(v: Views):
+    rows = _grouped(v)
+    clusters = PR.interest_clusters(PR.assign_clusters(rows, replace(DEFAULT.clustering, max_clusters=GROUPS)))
+    sizes = PR.cluster_sizes(rows, clusters)
+    return sizes.groupBy("user_id").agg(F.array_sort(F.collect_list("article_count")).alias("sizes"))

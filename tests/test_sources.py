@@ -251,3 +251,24 @@ def test_crawl_and_stories_past_the_caps(spark):
 
     rows = {n: all_queries()[n](spark, "/root/testdata/sf0.01").count() for n in ("crawl_enqueued_capped", "story_items_capped", "crawl_enqueued", "story_items")}
     assert rows["crawl_enqueued"] > rows["crawl_enqueued_capped"] == 50 and rows["story_items"] > rows["story_items_capped"]
+
+
+def test_embeddings_equal_a_plain_count_of_hashed_grams(spark):
+    import numpy as np
+    import pandas as pd
+
+    from millrace.plans.enrich import DIMENSIONS, embed_changed
+
+    rows = [(1, "A Title", "one two one", "h1", None, None), (2, None, "b", "h2", None, None), (3, "t", "same", "h3", [1.0], "h3"), (4, "t", "new", "h4", [1.0], "old"), (5, "", "", "h5", None, None)]
+    articles = spark.createDataFrame(rows, "article_id long, title string, body string, body_hash string, embedding array<double>, embedded_body_hash string")
+    got = {r.article_id: r for r in embed_changed(articles).collect()}
+    assert set(got) == {1, 2, 4, 5} and all(got[r[0]].embedded_body_hash == r[3] for r in rows if r[0] in got)
+    for article, title, body, *_ in rows:
+        if article in got:
+            words = "\n\n".join(x for x in (title, body) if x is not None).lower().split()
+            want = np.zeros(DIMENSIONS)
+            for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
+                code = int(pd.util.hash_array(np.array([gram, ""], dtype=object), categorize=False)[0])
+                want[code % DIMENSIONS] += 1.0 if code >> 63 else -1.0
+            norm = np.linalg.norm(want)
+            assert np.allclose(got[article].embedding, want / norm if norm else want, atol=1e-6), article
