@@ -13,6 +13,7 @@ from catalog.crawl import home_pages, known_urls, url_lists
 from catalog.registry import register
 from catalog.views import NOW, Views, now
 from millrace.operators.filters import alive, days_before
+from millrace.operators.vector_index import build_index, search_index
 from millrace.session import ensure_checkpoint_dir
 from millrace.sources.layout import articles_with_tags, purge_days, read_since, write_by_day, write_tag_index
 from millrace.sources.table_functions import register_table_functions
@@ -87,3 +88,17 @@ def _(v: Views):
 def _(v: Views):
     register_table_functions(v.spark)
     return v.spark.sql("SELECT CAST(p.domain AS BIGINT) AS domain, t.* FROM {pages} p, LATERAL feed_links(p.url, p.html) t", pages=home_pages(v))
+
+
+@register(
+    "vector_index_topk",
+    """WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+    SELECT a.article_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), q.v), 6) AS similarity
+    FROM articles a CROSS JOIN q WHERE a.embedding IS NOT NULL AND NOT a.is_dead
+    ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), q.v) DESC, a.article_id LIMIT 10""",
+    ("articles",),
+)
+def _(v: Views):
+    index = build_index(v.articles.filter(alive()).select("article_id", "embedding"), _folder(v, "vectors"))
+    query = v.table("embeddings").orderBy("vec_id").select("embedding").first()["embedding"]
+    return search_index(v.spark, index, query, 10)[0].withColumn("similarity", F.round("similarity", 6))

@@ -129,3 +129,28 @@ def test_equal_points_of_a_large_user(spark):
     points = spark.createDataFrame([(1, i, i + 1, 0.0, ["x"], [1.0, 2.0]) for i in range(50)], "user_id long, article_id long, position int, weight double, topics array<string>, embedding array<double>")
     clusters = interest_clusters(assign_clusters(points, replace(DEFAULT.clustering, local_rows=10))).collect()
     assert sum(r.article_count for r in clusters) == 50 and all(r.centroid == [1.0, 2.0] for r in clusters)
+
+
+def test_index_search_equals_a_scan_and_reads_less(spark, tmp_path):
+    from millrace.operators.similarity import similar_by_vector
+    from millrace.operators.vector_index import build_index, search_index
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(12, 8)) * 4
+    rows = [(i, (middles[i % 12] + rng.normal(0, 0.3, 8)).tolist()) for i in range(600)]
+    rows += [(1000, [0.0] * 8), (1001, [1.0, 2.0]), (1002, None), (1003, list(rows[5][1])), (1004, list(rows[5][1]))]
+    table = spark.createDataFrame(rows, VECTORS)
+    index = build_index(table, str(tmp_path / "i"), cells=12, sample=300)
+    assert sum(index.sizes) == 602 and index.odd == 2
+    living = table.withColumn("is_dead", F.lit(False))
+    probes = [rows[5][1], (middles[3] * 2).tolist(), rng.normal(size=8).tolist(), (-middles[0]).tolist(), [0.0] * 8, [1.0]]
+    for n, query in enumerate(probes):
+        for limit, exclude in ((5, ()), (3, (5, 1003))):
+            got, read = search_index(spark, index, query, limit, exclude)
+            want = similar_by_vector(living, query, limit, exclude).collect()
+            assert [(r.article_id, pytest.approx(r.similarity, abs=1e-9)) for r in got.collect()] == [(r.article_id, r.similarity) for r in want], n
+            if n < 2:
+                assert read < 200
+    assert search_index(spark, index, probes[0], 700)[0].count() == 604
+    empty = build_index(table.limit(0), str(tmp_path / "e"))
+    assert search_index(spark, empty, probes[0], 3)[0].count() == 0
