@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import catalog.duplicates  # noqa: F401  (its SQL views are used below)
 from catalog.registry import register
-from catalog.views import NOW, Views, add_sql_view, now, stamp
+from catalog.views import NOW, SOURCE_TYPES, Views, add_sql_view, now, stamp
 from millrace.config import AUTHORITY_BY_TYPE, DEFAULT, SOURCE_TIERS
 from millrace.functions.language import resolve_language as resolve_language_by
 from millrace.functions.language import train_language_model
@@ -772,3 +772,28 @@ def _(v: Views):
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     model = train_language_model(docs.filter(fold != 2))
     return docs.select("doc_id", (fold == 2).alias("held_out"), resolve_language_by(F.lit(None).cast("string"), F.col("text"), model).alias("language"))
+
+
+_SPOILED = """SELECT domain, path_pattern, CASE length(domain) % 4 WHEN 0 THEN 'mystery' WHEN 1 THEN NULL ELSE source_type END AS source_type,
+      CASE WHEN length(domain) % 4 = 2 THEN authority_score + 0.5e0 ELSE authority_score END AS authority_score FROM source_registry"""
+_VALID = f"""source_type IS NOT NULL AND source_type IN ({", ".join(f"'{t}'" for t in SOURCE_TYPES)}) AND authority_score BETWEEN 0 AND 1"""
+
+
+def _rules(v: Views):
+    """Rules of which some have an unknown type, no type or a score above one: (usable, rejected)."""
+    kind = F.length("domain") % 4
+    spoiled = v.source_registry.withColumns({
+        "source_type": F.when(kind == 0, "mystery").when(kind == 1, None).otherwise(F.col("source_type")),
+        "authority_score": F.when(kind == 2, F.col("authority_score") + 0.5).otherwise(F.col("authority_score")),
+    })
+    return C.valid_rules(spoiled)
+
+
+@register("usable_rules", f"SELECT domain, path_pattern, source_type, authority_score FROM ({_SPOILED}) WHERE {_VALID}", ("source_registry",))
+def _(v: Views):
+    return _rules(v)[0].select("domain", "path_pattern", "source_type", "authority_score")
+
+
+@register("rejected_rules", f"SELECT domain, path_pattern, source_type, authority_score FROM ({_SPOILED}) WHERE NOT ({_VALID})", ("source_registry",))
+def _(v: Views):
+    return _rules(v)[1].select("domain", "path_pattern", "source_type", "authority_score")

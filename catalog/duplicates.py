@@ -309,3 +309,23 @@ def _(v: Views):
 def _(v: Views):
     """Greedy claims in cluster order: checked against a sequential replay in the tests."""
     return _run(v).decisions.select("article_id", "component", "event_id")
+
+
+WINDOW = replace(CFG.dedup, max_articles_per_run=30)
+_WINDOW_SQL = f"SELECT article_id FROM articles WHERE NOT is_dead AND coalesce(published_at, fetched_at) >= TIMESTAMP '{NOW}' - INTERVAL 60 DAYS"
+
+
+@register("dedup_window", _WINDOW_SQL, ("articles",))
+def _(v: Views):
+    return D.dedup_window(v.articles, now(), CFG.dedup).select("article_id")
+
+
+@register("dedup_window_capped", f"{_WINDOW_SQL} ORDER BY article_id LIMIT 30", ("articles",))
+def _(v: Views):
+    """The cap as a setting: the first thirty ids."""
+    return D.dedup_window(v.articles, now(), WINDOW).select("article_id")
+
+
+@register("dedup_window_report", f"SELECT count(*) AS eligible, greatest(count(*) - 30, 0) AS truncated FROM ({_WINDOW_SQL})", ("articles",))
+def _(v: Views):
+    return D.window_report(v.articles, now(), WINDOW)

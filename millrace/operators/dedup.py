@@ -497,3 +497,11 @@ def dedup_window(articles: DataFrame, now: Column, settings: Dedup = DEFAULT.ded
     if settings.max_articles_per_run is not None:
         rows = rows.orderBy("article_id").limit(settings.max_articles_per_run)
     return rows
+
+
+def window_report(articles: DataFrame, now: Column, settings: Dedup = DEFAULT.dedup) -> DataFrame:
+    """One row: articles in the look-back window, and how many of them the cap leaves out."""
+    rows = articles.filter(alive() & within_age(now, settings.lookback_days))
+    cap = settings.max_articles_per_run
+    cut = F.lit(0).cast("long") if cap is None else F.greatest(F.count("*") - F.lit(cap), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("eligible"), cut.alias("truncated"))
