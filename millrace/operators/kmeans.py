@@ -96,7 +96,7 @@ def _sums(vectors: DataFrame, centers: dict[int, np.ndarray]) -> dict[int, tuple
         rows = [(user, i, sizes[user][i], totals[user][i].tolist()) for user in sorted(seen) for i in np.flatnonzero(sizes[user])]
         yield pd.DataFrame(rows, columns=["user_id", "cluster", "n", "total"])
 
-    def merge(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def merge(key, frame):
         return pd.DataFrame([(*key, frame["n"].sum(), np.array(frame["total"].tolist()).sum(0).tolist())], columns=["user_id", "cluster", "n", "total"])
 
     schema = "user_id long, cluster int, n double, total array<double>"

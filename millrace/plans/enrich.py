@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.language import LanguageModel
+from millrace.functions.language import resolve_language as resolve_by_model
 from millrace.functions.text import clean_summary, clean_tags, clean_text, resolve_language, translated_title
 from millrace.operators.filters import needs_analysis, needs_embedding
 
@@ -108,16 +110,23 @@ def rule_based(text: str) -> dict:
 
 
 def analyze_changed(
-    articles: DataFrame, analyzer: Analyzer = rule_based, attempts: int = 3, max_title: int | None = None, max_body: int | None = None
+    articles: DataFrame,
+    analyzer: Analyzer = rule_based,
+    attempts: int = 3,
+    max_title: int | None = None,
+    max_body: int | None = None,
+    languages: LanguageModel | None = None,
 ) -> DataFrame:
     """Cleaned analysis per article whose body changed; failures are rows with ``error``.
 
-    The analyzer sees whole texts unless its window is stated by ``max_title`` and ``max_body``.
+    The analyzer sees whole texts unless its window is stated by ``max_title`` and ``max_body``.  ``languages`` is a trained model;
+    without one stop words tell the language.
     """
     title = F.col("title") if max_title is None else F.substring("title", 1, max_title)
     body = F.col("body") if max_body is None else F.substring("body", 1, max_body)
     # What is needed after the analysis travels with the row, the body does not come back.
-    language = resolve_language(F.col("language"), F.col("body"))
+    declared, whole = F.col("language"), F.col("body")
+    language = resolve_language(declared, whole) if languages is None else resolve_by_model(declared, whole, languages)
     todo = articles.filter(needs_analysis("summary", "analyzed_body_hash")).select(
         "article_id", "title", "body_hash", language.alias("language"),
         F.concat(F.lit("title: "), title, F.lit("\n\n"), body).alias("text"),

@@ -52,3 +52,17 @@ def test_agreement_with_unseen_labels(spark):
     model = train_language_model(docs.filter(fold != 2))
     rows = docs.filter((fold == 2) & F.col("lang").isNotNull()).select("lang", model.column(F.col("text")).alias("found")).filter("found is not null").collect()
     assert len(rows) > 150 and sum(r.lang == r.found for r in rows) > 0.95 * len(rows)
+
+
+def test_analysis_takes_the_model(spark):
+    from millrace.plans.enrich import analyze_changed
+
+    model = train_language_model(spark.createDataFrame(TEXTS, "text string, lang string"))
+    rows = [(1, "t", TEXTS[2][0], "h", "fr", None, None), (2, "t", "short", "h", "EN-us", None, None)]
+    schema = "article_id long, title string, body string, body_hash string, language string, summary string, analyzed_body_hash string"
+
+    def analyzer(text):
+        return {"summary": "s", "translated_title": "other", "topics": []}
+
+    found = {r.article_id: r.language for r in analyze_changed(spark.createDataFrame(rows, schema), analyzer, languages=model).collect()}
+    assert found == {1: "de", 2: "en"}  # the body says German, whatever was declared
