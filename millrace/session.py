@@ -31,6 +31,7 @@ def build_session(app_name: str = "millrace", master: str | None = None, **conf:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Checkpoints that nothing refers to any more are deleted: a long stream does not fill the disk.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
