@@ -57,23 +57,58 @@ def body_hash_edges(articles: DataFrame) -> DataFrame:
 # --- titles ----------------------------------------------------------------------------------
 
 
-def _gram_size(longer: Column, threshold: float) -> Column:
-    """Gram length for a pair whose longer title has ``longer`` characters.
+# Titles that may differ by more edits, or are longer, store rare segments found by their text instead of fixed ones.
+SEGMENT_EDITS = 12
+SEGMENT_LENGTH = 128
 
-    Long grams are rare grams, but every title must keep more grams than the allowed edits can
-    destroy (q * edits + 1 <= length - q + 1); the limits below keep that true.
+
+def allowed_edits(longer: int, threshold: float) -> int:
+    return math.floor((1.0 - threshold) * longer + EPSILON)
+
+
+def segment_class(length: int, threshold: float) -> tuple[int, int]:
+    """(edits, width): the most edits to any longer partner, and the width of each of the ``edits + 1`` segments."""
+    edits = allowed_edits(math.floor(length / threshold + EPSILON), threshold)
+    return edits, length // (edits + 1)
+
+
+def has_segments(length: int, threshold: float) -> bool:
+    return 0 < segment_class(length, threshold)[0] <= SEGMENT_EDITS and length <= SEGMENT_LENGTH
+
+
+def segment_plan(threshold: float) -> tuple[list[tuple], list[tuple]]:
+    """Rows (len, edits, width, segment, pos) of the segments that titles of a length store, and of those they look up.
+
+    A title stores ``edits + 1`` segments from its front.  At most ``edits`` changes leave one of them, segment i, whole
+    with at most i changes before it and at most ``edits - i`` behind.  In the longer title it is moved by as much as
+    those changes allow; the moves of all partner lengths with the same segments are looked up once.
     """
-    if threshold >= 0.9:
-        return F.when(longer >= 40, 6).when(longer >= 12, 4).otherwise(3)
-    return F.lit(2 if threshold >= 0.8 else 1)
+    stored, looked_up = [], []
+    length, shortest = 1, 1
+    while shortest <= SEGMENT_LENGTH and segment_class(shortest, threshold)[0] <= SEGMENT_EDITS:
+        if has_segments(length, threshold):
+            edits, width = segment_class(length, threshold)
+            stored += [(length, edits, width, i, i * width) for i in range(edits + 1)]
+        allowed = allowed_edits(length, threshold)
+        classes: dict[tuple[int, int], list[int]] = {}
+        for shorter in range(shortest, length + 1):
+            if has_segments(shorter, threshold):
+                classes.setdefault(segment_class(shorter, threshold), []).append(length - shorter)
+        for (edits, width), gaps in classes.items():
+            for i in range(edits + 1):
+                back = min(i, edits - i - min(gaps), (allowed - min(gaps)) // 2)
+                ahead = min(i, edits - i + max(gaps), (allowed + max(gaps)) // 2)
+                for pos in range(max(0, i * width - back), min(length - width, i * width + ahead) + 1):
+                    looked_up.append((length, edits, width, i, pos))
+        length += 1
+        shortest = length - allowed_edits(length, threshold)
+    return stored, looked_up
 
 
 def title_edges(articles: DataFrame, threshold: float = DEFAULT.dedup.title_similarity, block_rows: int = DEFAULT.title_block_rows) -> DataFrame:
     """Edges between articles whose normalised titles are at least ``threshold`` similar.  Exact.
 
-    Equal titles collapse first.  Two titles within t edits share a gram among the q*t + 1 rarest
-    grams of each, so only those are joined.  A gram that is hot all the same is cut into blocks
-    that meet pairwise in separate tasks.
+    Equal titles collapse first.  The rest meets on segments.
     """
     keyed = articles.select("article_id", normalize_title("title").alias("key")).filter(F.length("key") > 0)
     keyed = materialize(keyed)
@@ -86,68 +121,158 @@ def title_edges(articles: DataFrame, threshold: float = DEFAULT.dedup.title_simi
 
 
 def similar_title_edges(titles: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Spanning edges (a, b) between distinct titles (tid, text) within the edit threshold."""
-    slack = 1.0 - threshold
-    longest_partner = F.floor(F.length("text") / F.lit(threshold) + F.lit(EPSILON))
-    sized = titles.select(
-        "tid",
-        "text",
-        F.length("text").alias("len"),
-        F.floor(F.lit(slack) * longest_partner + F.lit(EPSILON)).cast("int").alias("edits"),
-        # The title may meet partners of two gram classes.
-        F.explode(
-            F.array_distinct(
-                F.array(_gram_size(F.length("text"), threshold), _gram_size(longest_partner, threshold))
-            )
-        ).alias("q"),
-    ).filter((F.col("edits") > 0) & (F.length("text") >= F.col("q")))
-    positions = F.sequence(F.lit(1), F.col("len") - F.col("q") + 1)
-    cut = F.transform(positions, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.substring(F.col("text"), p, F.col("q"))).alias("gram")))
-    # Grams travel as hashes and without the text; equal hashes of different grams only add candidates.
-    grams = sized.select("tid", "len", "edits", "q", F.explode(cut).alias("g")).select("tid", "len", "edits", "q", "g.pos", "g.gram")
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("freq"))
-    # rank(), not row_number(): every occurrence of the last chosen gram stays in the prefix.
-    rarest = Window.partitionBy("tid", "q").orderBy("freq", "gram")  # the grams of one title
-    prefix = (
-        grams.join(frequency, "gram")
-        .withColumn("_r", F.rank().over(rarest))
-        .filter((F.col("_r") <= F.col("edits") * F.col("q") + 1) & (F.col("freq") > 1))
-        .drop("_r", "freq")
+    """Spanning edges (a, b) between distinct titles (tid, text) within the edit threshold (above one half)."""
+    if not 0.5 < threshold <= 1.0:
+        raise ValueError("title similarity must be above 0.5: below, a few edits may leave no part of a title whole")
+    titles = materialize(titles.select("tid", "text", F.length("text").alias("len")))
+    candidates, hubs = segment_candidates(titles, threshold, block_rows)
+    texts = titles.select("tid", "text")
+    matches = (
+        candidates.join(texts.withColumnsRenamed({"tid": "a", "text": "text_a"}), "a")
+        .join(texts.withColumnsRenamed({"tid": "b", "text": "text_b"}), "b")
+        .filter(_similar("text_a", "text_b", threshold))
+        .select("a", "b")
     )
-    prefix = materialize(prefix)
-    load = prefix.groupBy("gram").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    rows = (
-        prefix.join(load, "gram")
-        .withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .drop("other", "blocks", "edits")
+    return matches.union(hubs).mapInPandas(spanning_forest, EDGES).distinct()
+
+
+def _similar(x: str, y: str, threshold: float) -> Column:
+    most = f"cast(floor({1.0 - threshold!r}D * greatest(length({x}), length({y})) + {EPSILON!r}D) as int)"
+    return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
+
+
+def fixed_segments(titles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Stored and looked-up rows (tid, len, pos, key) of short titles, at the places of :func:`segment_plan`."""
+    spark = titles.sparkSession
+    fields = "len int, edits int, width int, segment int, pos int"
+    # The plans depend on the threshold alone: a few thousand rows of five numbers.
+    plans = (spark.createDataFrame(rows, fields) for rows in segment_plan(threshold))
+    piece = F.substring(F.col("text"), F.col("pos") + 1, F.col("width"))
+    key = F.xxhash64("edits", "width", "segment", piece)
+    return tuple(titles.join(F.broadcast(plan), "len").select("tid", "len", "pos", key.alias("key")) for plan in plans)
+
+
+def rare_width(threshold: float) -> int:
+    """Width of the segments of long titles: a third more of them fit than edits can destroy, so there is a choice."""
+    return 8 if threshold >= 0.92 else max(1, math.floor(0.75 * threshold / (1.0 - threshold)))
+
+
+def rare_segments(titles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Stored and looked-up rows (tid, len, pos, key) of long titles.
+
+    Any ``edits + 1`` separate segments of a title would do, as one of them stays whole; a title stores those that are
+    rarest among all long titles.  Most have so many segments of their own that they store nothing shared.  The
+    longer title of a pair looks up all its substrings of that width.
+    """
+    width = rare_width(threshold)
+    longest_partner = F.floor(F.col("len") / F.lit(threshold) + F.lit(EPSILON))
+    edits = F.floor(F.lit(1.0 - threshold) * longest_partner + F.lit(EPSILON)).cast("int")
+    long_titles = titles.withColumn("edits", edits).filter(
+        (F.col("edits") > 0) & ((F.col("edits") > SEGMENT_EDITS) | (F.col("len") > SEGMENT_LENGTH))
     )
-    x, y = rows.alias("x"), rows.alias("y")
-    allowed = F.floor(F.lit(slack) * F.greatest(F.col("x.len"), F.col("y.len")) + F.lit(EPSILON)).cast("int")
-    met_here = (F.least("x.block", "y.block") == F.col("x.low")) & (F.greatest("x.block", "y.block") == F.col("x.high"))
-    close = (
-        (F.col("x.tid") < F.col("y.tid"))
-        & met_here
-        & (F.col("x.q") == _gram_size(F.greatest(F.col("x.len"), F.col("y.len")), threshold))
-        & (F.abs(F.col("x.len") - F.col("y.len")) <= allowed)
-        & (F.abs(F.col("x.pos") - F.col("y.pos")) <= allowed)
+    cut = materialize(long_titles.mapInPandas(_substring_hashes(width), "tid long, len int, edits int, keys array<long>"))
+    looked_up = cut.select("tid", "len", "edits", F.posexplode("keys").alias("pos", "key"))
+    frequent = looked_up.groupBy("key").agg(F.count("*").alias("freq")).filter("freq > 1")
+    apart = looked_up.filter(F.col("pos") % width == 0)
+    rarest = Window.partitionBy("tid").orderBy("freq", "key", "pos")  # the segments of one title
+    stored = (
+        apart.join(frequent, "key", "left")
+        .withColumn("freq", F.coalesce("freq", F.lit(1)))
+        .withColumn("_r", F.row_number().over(rarest))
+        .filter((F.col("_r") <= F.col("edits") + 1) & (F.col("freq") > 1))
     )
-    same_tile = (
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    return tuple(rows.select("tid", "len", "pos", "key") for rows in (stored, looked_up))
+
+
+def _substring_hashes(width: int):
+    """Hashes of all substrings of a width, in order; equal hashes of different substrings only add candidates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = []
+            for text in batch["text"]:
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+                mixed = np.zeros(len(codes) - width + 1, dtype=np.uint64)
+                for k in range(width):
+                    mixed = (mixed ^ codes[k : k + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                keys.append(mixed.view(np.int64))
+            yield batch[["tid", "len", "edits"]].assign(keys=keys)
+
+    return run
+
+
+def segment_candidates(titles: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of titles (tid, text, len) that share a segment, and edges (a, b) to the hubs of hot segments.
+
+    The shorter title stores its segments, the longer one looks them up; ids and hashes travel, no text.  A segment that
+    many titles store or look up has a hub, one of its titles.  Titles within half the allowed edits of the hub are
+    linked to it and so to each other: they are never compared among themselves, which keeps a template with many small
+    changes linear.  The other titles of a hot segment are cut into blocks that meet pairwise in separate tasks.
+    """
+    stored, looked_up = (short.union(long) for short, long in zip(fixed_segments(titles, threshold), rare_segments(titles, threshold)))
+    stored = materialize(stored)
+    counted = stored.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("hub"))
+    alone = (F.col("n") == 1) & (F.col("hub") == F.col("tid"))
+    looked_up = materialize(looked_up.join(counted, "key").filter(~alone))
+    stored = materialize(stored.join(counted, "key").join(looked_up.select("key").distinct(), "key", "left_semi"))
+    hot = materialize(
+        looked_up.groupBy("key").agg(F.count("*").alias("m"), F.max("n").alias("n"), F.first("hub").alias("hub"))
+        .filter(F.greatest("m", "n") > block_rows).select("key")
     )
-    candidates = x.join(y, same_tile & close).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b")).distinct()
-    within = F.expr(
-        f"levenshtein(text_a, text_b, cast(floor({slack!r}D * greatest(length(text_a), length(text_b)) + {EPSILON!r}D) as int)) >= 0"
+    cold = stored.join(hot, "key", "left_anti").alias("s").join(looked_up.join(hot, "key", "left_anti").alias("r"), "key")
+    pairs, hubs = _hot_segments(titles, stored.join(hot, "key"), looked_up.join(hot, "key"), threshold, block_rows)
+    return _ordered(cold, threshold).union(pairs).distinct(), hubs
+
+
+def _ordered(met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of joined stored rows s and looked-up rows r whose lengths and places allow a match, from the shorter title."""
+    allowed = F.floor(F.lit(1.0 - threshold) * F.col("r.len") + F.lit(EPSILON))
+    once = (F.col("s.len") < F.col("r.len")) | ((F.col("s.len") == F.col("r.len")) & (F.col("s.tid") < F.col("r.tid")))
+    near = (F.col("r.len") - F.col("s.len") <= allowed) & (F.abs(F.col("r.pos") - F.col("s.pos")) <= allowed)
+    return met.filter(once & near).select(
+        F.least("s.tid", "r.tid").alias("a"), F.greatest("s.tid", "r.tid").alias("b")
     )
+
+
+def _hot_segments(
+    titles: DataFrame, stored: DataFrame, looked_up: DataFrame, threshold: float, block_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of hot segments outside the hubs' reach, and the edges to the hubs."""
     texts = titles.select("tid", "text")
-    matches = (
-        candidates.join(texts.withColumnsRenamed({"tid": "a", "text": "text_a"}), "a")
-        .join(texts.withColumnsRenamed({"tid": "b", "text": "text_b"}), "b")
-        .filter(within)
-        .select("a", "b")
+    half = f"cast(floor({1.0 - threshold!r}D * length(text) + {EPSILON!r}D) as int) div 2"
+    members = stored.select("tid", "hub").union(looked_up.select("tid", "hub")).distinct()
+    core = materialize(
+        members.join(texts, "tid").join(texts.withColumnsRenamed({"tid": "hub", "text": "hub_text"}), "hub")
+        .filter(F.expr(f"levenshtein(text, hub_text, cast({half} as int)) >= 0"))
+        .select("tid", "hub", F.lit(True).alias("core"))
+    )
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with a block; core rows and others have blocks of their own."""
+        marked = rows.join(core, ["tid", "hub"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+        sizes = marked.groupBy("key").agg(
+            *(F.ceil(F.count(F.when(test, 1)) / F.lit(block_rows)).cast("int").alias(name) for name, test in (("cores", F.col("core")), ("others", ~F.col("core"))))
+        )
+        block = F.pmod(F.xxhash64("tid"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("others"))).cast("int")
+        # Others are numbered from 0 upwards, core blocks from -1 downwards.
+        block = F.when(F.col("core"), -1 - block).otherwise(block)
+        return marked.join(sizes, "key").select("key", "tid", "len", "pos", "core", block.alias("block"), "cores", "others")
+
+    s, r = materialize(dealt(stored)), materialize(dealt(looked_up))
+
+    def spread(rows: DataFrame, other: DataFrame, own: str, met: str) -> DataFrame:
+        """A row goes to every block of the other side; from a core block only to blocks of others."""
+        shape = other.groupBy("key").agg(F.first("cores").alias("_c"), F.first("others").alias("_o"))
+        first = F.when(F.col("core"), F.lit(0)).otherwise(-F.col("_c"))
+        targets = F.when(first < F.col("_o"), F.sequence(first, F.col("_o") - 1))
+        return rows.join(shape, "key").select("key", "tid", "len", "pos", F.col("block").alias(own), F.explode(targets).alias(met))
+
+    tiles = spread(s, r, "stored_block", "lookup_block").alias("s").join(
+        spread(r, s, "lookup_block", "stored_block").alias("r"), ["key", "stored_block", "lookup_block"]
     )
-    return matches.mapInPandas(spanning_forest, EDGES).distinct()
+    hubs = core.filter(F.col("tid") != F.col("hub")).select(F.col("tid").alias("a"), F.col("hub").alias("b"))
+    return _ordered(tiles, threshold), hubs
 
 
 def spanning_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

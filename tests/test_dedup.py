@@ -78,6 +78,46 @@ def test_title_edges_are_exact(spark, block_rows):
     assert touched == {n for pair in want for n in pair}
 
 
+def test_every_pair_of_similar_titles_shares_a_stored_segment():
+    rng = random.Random(11)
+    for threshold in (0.6, 0.8, 0.9):
+        stored, looked_up = D.segment_plan(threshold)
+        keep, find = {}, {}
+        for rows, by in ((stored, keep), (looked_up, find)):
+            for length, edits, width, i, pos in rows:
+                by.setdefault(length, []).append((edits, width, i, pos))
+        for _ in range(400):
+            x = "".join(rng.choices("abcd", k=rng.randrange(2, 60)))
+            y = edited(rng, x, rng.randrange(1, 9))
+            x, y = sorted((x, y), key=len)
+            if x == y or 1 - levenshtein(x, y) / len(y) < threshold - 1e-9 or not D.has_segments(len(x), threshold):
+                continue
+            kept = {(e, w, i, x[p : p + w]) for e, w, i, p in keep[len(x)]}
+            assert kept & {(e, w, i, y[p : p + w]) for e, w, i, p in find[len(y)]}
+
+
+@pytest.mark.parametrize(("threshold", "block_rows"), [(0.9, 8), (0.8, 4096)])
+def test_long_title_edges_are_exact(spark, threshold, block_rows):
+    rng = random.Random(23)
+    words = ["".join(rng.choices("aeinorst", k=rng.randrange(2, 7))) for _ in range(40)]
+    stems = ["".join(rng.choices(words, k=rng.choice([24, 30, 34, 60]))) for _ in range(8)]
+    titles = [edited(rng, rng.choice(stems), rng.choice([1, 4, 10, 14, 18, 30])) for _ in range(26)]
+    titles += [edited(rng, stems[0], rng.choice([2, 9, 16])) for _ in range(14)]
+    df = spark.createDataFrame(list(enumerate(titles)), "article_id long, title string")
+    want = [
+        (i, j) for (i, a), (j, b) in itertools.combinations(enumerate(titles), 2)
+        if 1 - levenshtein(a, b) / max(len(a), len(b)) >= threshold - 1e-9
+    ]
+    edges = D.title_edges(df, threshold, block_rows)
+    assert edge_components(edges, range(len(titles))) == components(range(len(titles)), want)
+    assert {n for r in edges.collect() for n in (r["a"], r["b"])} == {n for pair in want for n in pair}
+
+
+def test_title_similarity_of_a_half_is_refused(spark):
+    with pytest.raises(ValueError):
+        D.title_edges(spark.createDataFrame([(1, "a")], "article_id long, title string"), 0.5)
+
+
 @pytest.mark.parametrize("tile", [16, 2048])
 def test_embedding_edges_are_exact(spark, tile):
     rng = np.random.default_rng(3)
