@@ -349,7 +349,7 @@ def _tile_edges(threshold: float):
 
 
 def _placed_vectors(vectors: DataFrame, threshold: float, tile_rows: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, float]:
-    """Vectors with cell, block and distances to the pivots; edges around the centres; the link radius.
+    """Vectors with cell, block, path and distances to the pivots; edges around the centres; the link radius.
 
     At most 256 data vectors are centres, the first of them also pivots.  A vector within half the radius of its
     centre (``core``) is linked to it, and so are any two of them: they need no comparison among themselves.
@@ -381,9 +381,43 @@ def _placed_vectors(vectors: DataFrame, threshold: float, tile_rows: int, pivots
     near = vectors.select("vid", "embedding").mapInPandas(assign, schema)
     near = materialize(near)
     hub = near.filter(F.col("core") & (F.col("vid") != F.col("centre_id"))).select(F.col("vid").alias("a"), F.col("centre_id").alias("b"))
-    sizes = near.groupBy("cell", "core").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
-    return near.join(sizes, ["cell", "core"]).withColumn("block", block).drop("blocks", "centre_id"), hub, radius
+    split = split_cells(near.select("vid", "cell", "core", "gaps"), tile_rows)
+    return near.drop("centre_id", "gaps").join(split.select("vid", "gaps", "block", "path"), "vid"), hub, radius
+
+
+FANOUT = 16
+HASHED_FROM, MOST_LEVELS = 8, 14  # of four bits each
+
+
+def split_cells(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """``rows`` (vid, cell, core, gaps) with ``block``, a part of the cell of at most ``tile_rows`` vectors, and its ``path``.
+
+    A part that is too large is cut at quantiles of the distance to the pivot in which it is widest, into at most 16
+    parts; all parts of all cells are cut in one pass.  Parts keep narrow distance bounds however large the cell was.
+    Vectors that no pivot tells apart are dealt by a hash.  Part p has the children 16 p + 1 to 16 p + 16; the path holds
+    the part of every level.
+    """
+    pivots = len(rows.select("gaps").first()["gaps"])  # the same for all rows
+    current = rows.withColumns({"block": F.lit(0).cast("long"), "path": F.array(F.lit(0).cast("long"))})
+    steps = F.array(*(F.lit(i / FANOUT) for i in range(1, FANOUT)))
+    for level in range(MOST_LEVELS):
+        cuts = [F.percentile_approx(F.col("gaps")[k], steps, 1000).alias(f"c{k}") for k in range(pivots)]
+        widest = F.array_max(
+            F.array(*(F.struct((F.get(f"c{k}", FANOUT - 2) - F.get(f"c{k}", 0)).alias("spread"), F.lit(k).alias("pivot"), F.col(f"c{k}").alias("cuts")) for k in range(pivots)))
+        )
+        sizes = current.groupBy("cell", "core", "block").agg(F.count("*").alias("n"), *cuts).filter(F.col("n") > tile_rows)
+        parts = F.least(F.lit(FANOUT), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / (0.75 * tile_rows)))).cast("int"))
+        large = materialize(sizes.select("cell", "core", "block", parts.alias("parts"), widest.alias("widest")).select("cell", "core", "block", "parts", "widest.*"))
+        if large.isEmpty():
+            break
+        used = F.filter("cuts", lambda c, i: (i + 1) % (FANOUT / F.col("parts")).cast("int") == 0)
+        by_pivot = F.size(F.filter(used, lambda c: c < F.get("gaps", F.col("pivot"))))
+        by_hash = F.pmod(F.xxhash64("vid", F.lit(level)), F.col("parts")).cast("int")
+        part = F.when((F.col("spread") > 0) & F.lit(level < HASHED_FROM), by_pivot).otherwise(by_hash)
+        block = F.when(F.col("parts").isNull(), F.col("block")).otherwise(FANOUT * F.col("block") + 1 + part)
+        joined = current.join(large, ["cell", "core", "block"], "left").select("vid", "cell", "core", "gaps", "path", block.cast("long").alias("block"))
+        current = materialize(joined.withColumn("path", F.concat("path", F.array("block"))))
+    return current
 
 
 def vector_tiles(placed: DataFrame, radius: float) -> DataFrame:
@@ -396,24 +430,40 @@ def vector_tiles(placed: DataFrame, radius: float) -> DataFrame:
     reach = radius + EPSILON
     pivots = len(placed.select("gaps").first()["gaps"])  # the same for all rows
     bounds = [f(F.col("gaps")[k]).alias(f"{n}{k}") for k in range(pivots) for n, f in (("low", F.min), ("high", F.max))]
-    blocks = materialize(placed.groupBy("cell", "core", "block").agg(*bounds))
-    cells = [r.asDict() for r in blocks.groupBy("cell").agg(
-        *(F.min(f"low{k}").alias(f"low{k}") for k in range(pivots)), *(F.max(f"high{k}").alias(f"high{k}") for k in range(pivots))
-    ).collect()]  # at most 256 rows
+    again = [f(f"{n}{k}").alias(f"{n}{k}") for k in range(pivots) for n, f in (("low", F.min), ("high", F.max))]
+    blocks = materialize(placed.groupBy("cell", "core", "block", "path").agg(*bounds))
+    cells = [r.asDict() for r in blocks.groupBy("cell").agg(*again).collect()]  # at most 256 rows
 
     def apart(x: dict, y: dict) -> bool:
         return any(x[f"low{k}"] > y[f"high{k}"] + reach or y[f"low{k}"] > x[f"high{k}"] + reach for k in range(pivots))
 
     touching = [(x["cell"], y["cell"]) for x in cells for y in cells if x["cell"] <= y["cell"] and not apart(x, y)]
-    adjacent = blocks.sparkSession.createDataFrame(touching, "cell_x int, cell_y int")
-    x, y = (blocks.select(*(F.col(c).alias(f"{c}_{side}") for c in blocks.columns)) for side in "xy")
-    key_x, key_y = F.struct("core_x", "block_x"), F.struct("core_y", "block_y")
+    pairs = blocks.sparkSession.createDataFrame(touching, "cell_x int, cell_y int")
     overlap = F.lit(True)
     for k in range(pivots):
         overlap &= (F.col(f"low{k}_x") <= F.col(f"high{k}_y") + reach) & (F.col(f"low{k}_y") <= F.col(f"high{k}_x") + reach)
-    once = (F.col("cell_x") < F.col("cell_y")) | (key_x <= key_y)
-    settled = (F.col("cell_x") == F.col("cell_y")) & F.col("core_x") & F.col("core_y")
-    pairs = x.join(F.broadcast(adjacent), "cell_x").join(y, "cell_y").filter(once & overlap & ~settled)
+    # Level by level, only the parts of pairs that overlap are paired.
+    depth = blocks.select(F.max(F.size("path"))).first()[0] or 0
+    on: tuple[str, ...] = ("cell",)
+    for level in range(depth):
+        parent = F.get("path", F.lit(max(0, level - 1))).alias("parent")
+        parts = blocks.groupBy("cell", "core", parent, F.get("path", F.lit(level)).alias("block")).agg(*again)
+        sides = [parts.select(*(F.col(c).alias(f"{c}_{side}") for c in parts.columns)) for side in "xy"]
+        if level:
+            pairs = pairs.select(*(F.col(c).alias(f"{name}_{side}") for side in "xy" for c, name in ((f"cell_{side}", "cell"), (f"core_{side}", "core"), (f"block_{side}", "parent"))))
+            on = ("cell", "core", "parent")
+        else:
+            sides = [x.drop(f"parent_{side}") for x, side in zip(sides, "xy")]
+        for rows, side in zip(sides, "xy"):
+            pairs = pairs.join(rows, [f"{c}_{side}" for c in on])
+        if level:
+            siblings = (F.col("cell_x") == F.col("cell_y")) & (F.col("core_x") == F.col("core_y")) & (F.col("parent_x") == F.col("parent_y"))
+            wanted = ~siblings | (F.col("block_x") <= F.col("block_y"))
+        else:
+            settled = F.col("core_x") & F.col("core_y")
+            wanted = (F.col("cell_x") < F.col("cell_y")) | ((F.col("core_x") <= F.col("core_y")) & ~settled)
+        pairs = materialize(pairs.filter(wanted & overlap))
+    key_x, key_y = F.struct("core_x", "block_x"), F.struct("core_y", "block_y")
     keys = ["cell_x", "core_x", "block_x", "cell_y", "core_y", "block_y"]
     inside = (F.col("cell_x") == F.col("cell_y")) & (key_x == key_y)
 

@@ -246,3 +246,26 @@ def test_catalog_judges_past_the_budget(spark):
     schema = "article_id long, component long, position int, title string, body string, body_hash string, judged_body_hash string, has_unique_value boolean"
     got = D.judge_candidates(spark.createDataFrame(rows, schema), lambda title, body: True, CFG.dedup).collect()
     assert len(got) == 120 and all(r.how == "judged" and r.is_unique for r in got)
+
+
+def test_parts_of_a_cell_are_bounded_and_pairs_of_parts_are_kept_once(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(260, 3)).tolist() + [[1.0, 2.0, 3.0]] * 90  # a third that no pivot tells apart
+    rows = [(i, i % 2, i % 5 == 0, [float(np.linalg.norm(np.array(p) - c)) for c in (0.0, 1.0)], [0.0]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "vid long, cell int, core boolean, gaps array<double>, embedding array<float>")
+    parts = D.split_cells(df.drop("embedding"), 10)
+    sizes = parts.groupBy("cell", "core", "block").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= 10
+    tiles = D.vector_tiles(df.join(parts.select("vid", "block", "path"), "vid"), 0.3).collect()
+    keys = ("cell_x", "core_x", "block_x", "cell_y", "core_y", "block_y")
+    met = {}
+    for r in tiles:
+        met.setdefault(tuple(r[k] for k in keys), ([], []))[0 if r["left"] else 1].append(r["vid"])
+    seen = []
+    for key, (left, right) in met.items():
+        inside = key[:3] == key[3:]
+        seen += [frozenset(p) for p in (itertools.combinations(left, 2) if inside else itertools.product(left, right))]
+    assert len(seen) == len(set(seen))
+    for (i, ci, ki, gi, _), (j, cj, kj, gj, _) in itertools.combinations(rows, 2):
+        if max(abs(a - b) for a, b in zip(gi, gj)) <= 0.3 and not (ci == cj and ki and kj):
+            assert frozenset((i, j)) in seen
