@@ -5,6 +5,7 @@ import random
 import string
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,28 @@ def test_catalog_judges_past_the_budget(spark):
     assert len(got) == 120 and all(r.how == "judged" and r.is_unique for r in got)
 
 
+def test_vectors_that_nothing_separates_are_sent_to_a_bounded_number_of_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(2000)]
+    vectors = spark.createDataFrame(rows, "vid long, embedding array<float>")
+    # 500 parts of four rows would send every vector 500 times.
+    tiles, _hub = D._cell_tiles(vectors, 0.45, 4)
+    assert tiles.count() <= 100 * len(rows)
+
+
+def test_dense_tiles_keep_a_spanning_forest():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(size=(400, 4)), np.ones(4) + 0.01 * rng.normal(size=(400, 4))])
+    frame = pd.DataFrame({"vid": np.arange(800), "embedding": list(points.astype(np.float32)), "left": True, "inside": True})
+    unit = points.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = np.argwhere(np.triu(unit @ unit.T >= 0.97 - 1e-9, 1)).tolist()
+    found = D._tile_edges(0.97)(frame)
+    got = list(zip(found["a"].tolist(), found["b"].tolist()))
+    assert {tuple(sorted(p)) for p in got} <= set(map(tuple, want)) and len(got) < 800
+    assert components(range(800), got) == components(range(800), want)
+
+
 def test_parts_of_a_cell_are_bounded_and_pairs_of_parts_are_kept_once(spark):
     rng = np.random.default_rng(9)
     points = rng.normal(size=(260, 3)).tolist() + [[1.0, 2.0, 3.0]] * 90  # a third that no pivot tells apart
