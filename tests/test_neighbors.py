@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT
 from millrace.operators import neighbors as N
+from millrace.operators.distributed import PARTS
 from millrace.operators.profile import assign_clusters, interest_clusters
-from millrace.operators.similarity import profile_features
+from millrace.operators.similarity import neighbor_tiles, profile_features
 
 VECTORS = "article_id long, embedding array<double>"
 PROFILE = "user_id long, kind string, position int, vector array<double>, weight double"
@@ -88,6 +89,18 @@ def test_a_hot_user_is_split_and_equals_the_one_task_result(spark):
         assert got[pair] == pytest.approx(values, abs=1e-9), pair
 
 
+def test_largest_columns_keep_the_order_of_a_full_sort():
+    sims = np.round(np.random.default_rng(8).normal(size=(30, 200)), 1)  # many equal values
+    sims[:, 7] = -np.inf
+    assert (N._largest(sims, 8) == np.argsort(-sims, axis=1, kind="stable")[:, :8]).all()
+
+
+def test_rows_sent_for_neighbours_do_not_grow_with_the_square(spark):
+    rows = spark.range(1000).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("article_id"), F.array(F.rand(3), F.rand(4)).alias("embedding"))
+    # Tiles of two rows would send every row 500 times.
+    assert neighbor_tiles(rows, 2).count() <= PARTS * 1000
+
+
 def test_lists_are_cut_and_ordered(spark):
     vectors = {i: [np.cos(i / 10), np.sin(i / 10)] for i in range(20)}
     lists = N.neighbor_lists(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], VECTORS), 3, 4).collect()
