@@ -11,7 +11,7 @@ from millrace.config import DEFAULT, SLOTS
 from millrace.functions.vectors import cosine
 from millrace.functions import weights as W
 from millrace.operators import scoring as S
-from millrace.operators.compose import compose_feed, slot_fill, slot_quotas
+from millrace.operators.compose import compose_feed, feed_shortlist, slot_fill, slot_quotas
 from millrace.operators.profile import cluster_count
 from millrace.operators.similarity import profile_features
 from millrace.plans.discover import FeedInputs, discover_feed
@@ -265,6 +265,22 @@ def test_default_scores_every_candidate_and_the_whole_history(spark):
     assert bad_vectors(history.withColumn("action", F.lit("bad")), vectors, DEFAULT).count() == 600
 
 
+def test_feed_of_the_shortlist_equals_the_feed_of_all_candidates(spark):
+    rng, size = random.Random(4), 10
+    rows = [(user, i, round(rng.random(), 2), f"d{rng.randrange(300)}", rng.random() < share, rng.random() * 0.8, rng.random())
+            for user, share in ((1, 0.3), (2, 0.0)) for i in range(2000)]
+    names = ["user_id", "article_id", "total", "source_domain", "is_primary_source", "interest_similarity", "novelty"]
+    scored = spark.createDataFrame(rows, names)
+    few = feed_shortlist(scored, size)
+
+    def feed(candidates):
+        shown = compose_feed(S.rank(candidates), size).select("user_id", "article_id", "slot", "backfilled", "feed_rank")
+        return sorted(tuple(r) for r in shown.collect())
+
+    assert few.count() <= 2 * 9 * size  # 4,000 candidates
+    assert feed(scored.join(few, ["user_id", "article_id"], "left_semi")) == feed(scored)
+
+
 def test_uncapped_job_equals_a_cap_nobody_meets(spark):
     inputs = small_inputs(spark)
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
