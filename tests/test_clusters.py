@@ -42,3 +42,11 @@ def test_clusters_of_users(spark):
     assert {(r["user_id"], r["place"]): r["article_count"] for r in sizes.collect()} == {
         k: r["article_count"] for k, r in got.items()
     }
+
+
+def test_small_users_share_a_pass():
+    from millrace.operators.kmeans import CENTRE_BYTES, users_at_once
+
+    assert users_at_once(4, 4) > 1500  # 64 before
+    assert users_at_once(10, 1024) * 101 * 1024 * 8 <= CENTRE_BYTES
+    assert users_at_once(10**6, 10**6) == 1
