@@ -114,6 +114,19 @@ def test_long_title_edges_are_exact(spark, threshold, block_rows):
     assert {n for r in edges.collect() for n in (r["a"], r["b"])} == {n for pair in want for n in pair}
 
 
+def test_titles_that_share_only_frequent_segments_do_not_become_pairs(spark):
+    rng = random.Random(31)
+    parts = ["".join(rng.choices("aeinorst", k=rng.randrange(2, 5))) for _ in range(30)]
+    texts = ["".join(rng.choices(parts, k=80))[:220] for _ in range(150)]
+    near = [edited(rng, text, 9) for text in texts[:5]]
+    rows = [(i, text, len(text)) for i, text in enumerate(texts + near)]
+    titles = spark.createDataFrame(rows, "tid long, text string, len int")
+    pairs, hubs = D.segment_candidates(titles, 0.9, 4096)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert {(i, 150 + i) for i in range(5)} <= found and hubs.isEmpty()
+    assert len(found) < 300  # 720 when every shared segment made a pair
+
+
 def test_title_similarity_of_a_half_is_refused(spark):
     with pytest.raises(ValueError):
         D.title_edges(spark.createDataFrame([(1, "a")], "article_id long, title string"), 0.5)
