@@ -265,6 +265,28 @@ def test_default_scores_every_candidate_and_the_whole_history(spark):
     assert bad_vectors(history.withColumn("action", F.lit("bad")), vectors, DEFAULT).count() == 600
 
 
+@pytest.mark.parametrize("limit", [None, 7, 25])
+def test_candidates_are_written_without_a_sort_of_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "BLOCK_PLACES", 8, raising=False)
+    times = F.when(F.col("id") % 9 != 0, F.lit(NOW) - F.make_dt_interval(F.col("id").cast("int") % 5))
+    pool = spark.range(30).select(F.col("id").alias("article_id"), times.alias("published_at"))
+    users = spark.createDataFrame([(u,) for u in range(5)], "user_id long")
+    rng = random.Random(8)
+    pairs = {(1, a) for a in range(30)} | {(2, rng.randrange(40)) for _ in range(9)} | {(3, 29), (3, 0), (3, 5), (9, 4)}
+    chosen, report = S.select_candidates(users, pool, spark.createDataFrame(sorted(pairs), "user_id long, article_id long"), limit)
+    order = [r.article_id for r in pool.orderBy(*S.candidate_order()).collect()]
+    want, left = {}, {}
+    for user in range(5):
+        seen = [a for a in order if (user, a) not in pairs]
+        left[user] = (len(seen), max(0, len(seen) - (limit or 30)))
+        want.update({(user, a): k for k, a in enumerate(seen[:limit], 1)})
+    assert {(r.user_id, r.article_id): r.candidate_position for r in chosen.collect()} == want
+    assert {r.user_id: (r.eligible, r.truncated) for r in report.collect()} == left
+    # Nothing follows the join with the blocks of the pool but the output of pairs.
+    last = chosen._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "Generate posexplode" in last and not any(step in last for step in ("Exchange", "Window", "Sort"))
+
+
 def test_feed_of_the_shortlist_equals_the_feed_of_all_candidates(spark):
     rng, size = random.Random(4), 10
     rows = [(user, i, round(rng.random(), 2), f"d{rng.randrange(300)}", rng.random() < share, rng.random() * 0.8, rng.random())
