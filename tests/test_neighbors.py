@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT
+from millrace.functions.vectors import cosine_matrix
 from millrace.operators import neighbors as N
 from millrace.operators.distributed import PARTS
 from millrace.operators.profile import assign_clusters, interest_clusters
@@ -167,3 +168,26 @@ def test_index_search_equals_a_scan_and_reads_less(spark, tmp_path):
     assert search_index(spark, index, probes[0], 700)[0].count() == 604
     empty = build_index(table.limit(0), str(tmp_path / "e"))
     assert search_index(spark, empty, probes[0], 3)[0].count() == 0
+
+
+@pytest.mark.parametrize(("limit", "tile"), [(None, 8), (None, 2048), (7, 2048), (7, 4)])
+def test_bad_similarities_need_no_other_similarity(spark, monkeypatch, limit, tile):
+    for step in ("run_neighbors", "neighbor_lists"):
+        monkeypatch.setattr(N, step, lambda *_: pytest.fail("neighbours are not asked for"))
+    rng = np.random.default_rng(12)
+    vectors = {i: rng.normal(size=4).tolist() if i % 3 else None for i in range(30)}
+    pool = spark.createDataFrame([(i, 100 - i, x) for i, x in vectors.items()], "article_id long, published_at long, embedding array<float>")
+    users = spark.createDataFrame([(u,) for u in range(4)], "user_id long")
+    disliked = {0: [1, 4], 1: [2], 9: [5]}
+    bad = spark.createDataFrame([(u, k, vectors[a]) for u, own in disliked.items() for k, a in enumerate(own)], "user_id long, position int, embedding array<float>")
+    hidden = [(u, a) for u, own in disliked.items() for a in own] + [(2, 7), (2, 0)]
+    excluded = spark.createDataFrame(hidden, "user_id long, article_id long")
+    cfg = replace(DEFAULT, max_candidates=limit, vector_tile_rows=tile)
+    got = {(r.user_id, r.article_id): r.bad_similarity for r in N.bad_similarities(users, pool, excluded, bad, cfg).collect()}
+    want = {}
+    for u in range(4):
+        for a in [a for a in range(30) if (u, a) not in hidden][:limit]:
+            if vectors[a] is not None:
+                want[u, a] = cosine_matrix([vectors[a]], [vectors[b] for b in disliked[u]]).max() if u in disliked else None
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if w is None else got[k] == pytest.approx(w, abs=1e-6) for k, w in want.items())
