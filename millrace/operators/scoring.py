@@ -130,6 +130,13 @@ def source_topic_match(names: Column, tags: Column, partial: float) -> Column:
     return F.when(equal, 1.0).when(contained, float(partial)).otherwise(0.0)
 
 
+def article_features(articles: DataFrame, registry: DataFrame, partial: float = DEFAULT.partial_match_score) -> DataFrame:
+    """What the score needs of an article alone."""
+    match = source_topic_match(F.col("entity_names"), F.concat("topics", "technologies"), partial)
+    narrow = articles.select(*ARTICLE_COLUMNS).join(entity_names(registry), "source_domain", "left")
+    return narrow.withColumn("source_article_match", match).drop("entity_names", "topics", "technologies")
+
+
 def candidate_features(
     chosen: DataFrame,
     articles: DataFrame,
@@ -146,9 +153,7 @@ def candidate_features(
     The match of source and tags belongs to the article: it is computed before articles meet users, and its arrays stay behind.
     ``article_rows``: counted size of ``articles``, if the caller knows it to be small.
     """
-    match = source_topic_match(F.col("entity_names"), F.concat("topics", "technologies"), partial)
-    narrow = articles.select(*ARTICLE_COLUMNS).join(entity_names(registry), "source_domain", "left")
-    narrow = narrow.withColumn("source_article_match", match).drop("entity_names", "topics", "technologies")
+    narrow = article_features(articles, registry, partial)
     if article_rows is not None:
         narrow = broadcast_if_small(narrow, article_rows)
     liking = preferences.select("user_id", "source_domain", F.col("effective_weight").alias("source_preference"))
