@@ -729,9 +729,9 @@ def _grouped(v: Views):
     """
     group = F.col("article_id") % GROUPS
     vector = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: F.when(i == group, 1.0).otherwise(0.0))
-    rows = PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CFG).withColumn("embedding", vector)
+    rows = materialize(PR.weighted_interest(v.user_articles, v.article_feedback, v.articles, now(), CFG).drop("embedding")).withColumn("embedding", vector)
     full = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct(group).alias("groups"))
-    return rows.join(full.filter((F.col("n") >= 3 * GROUPS) & (F.col("groups") == GROUPS)).select("user_id"), "user_id", "left_semi")
+    return materialize(rows.join(full.filter((F.col("n") >= 3 * GROUPS) & (F.col("groups") == GROUPS)).select("user_id"), "user_id", "left_semi"))
 
 
 _GROUP_SQL = f"""WITH g AS (SELECT *, article_id % {GROUPS} AS g FROM weighted),
@@ -747,7 +747,7 @@ _GROUP_SQL = f"""WITH g AS (SELECT *, article_id % {GROUPS} AS g FROM weighted),
 
 def _group_clusters(v: Views, **settings):
     clustering = replace(DEFAULT.clustering, max_clusters=GROUPS, **settings)
-    members = PR.assign_clusters(_grouped(v), clustering)
+    members = materialize(PR.assign_clusters(_grouped(v), clustering))
     named = PR.interest_clusters(members, clustering)
     label = F.when(F.size("topics") > 0, F.col("label"))
     return named.select("user_id", label.alias("label"), F.round("weight", 6).alias("weight"), "article_count", "place")
@@ -774,6 +774,6 @@ def _(v: Views):
 )
 def _(v: Views):
     rows = _grouped(v)
-    clusters = PR.interest_clusters(PR.assign_clusters(rows, replace(DEFAULT.clustering, max_clusters=GROUPS)))
+    clusters = PR.interest_clusters(materialize(PR.assign_clusters(rows, replace(DEFAULT.clustering, max_clusters=GROUPS))))
     sizes = PR.cluster_sizes(rows, clusters)
     return sizes.groupBy("user_id").agg(F.array_sort(F.collect_list("article_count")).alias("sizes"))
