@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from millrace.operators.filters import needs_analysis, needs_embedding
 
 # The batch and vector size.
 EMBEDDING_BATCH = 16
+ROWS_OUT = 256  # vectors held before they are handed on
 DIMENSIONS = 1024
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -67,20 +69,19 @@ def embed_changed(articles: DataFrame, embedder: Embedder = hashed_ngrams, piece
         "article_id", "body_hash", F.concat_ws("\n\n", "title", "body").alias("text")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch stays in Arrow; texts and vectors of a few rows at a time are Python's.
         for batch in batches:
-            texts = batch["text"].tolist()
-            parts = [pooled(embedder, texts[i : i + EMBEDDING_BATCH], piece) for i in range(0, len(texts), EMBEDDING_BATCH)]
-            vectors = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS))
-            yield pd.DataFrame(
-                {
-                    "article_id": batch["article_id"],
-                    "embedding": list(vectors.astype("float32")),
-                    "embedded_body_hash": batch["body_hash"],
-                }
-            )
-
-    return todo.mapInPandas(run, "article_id long, embedding array<float>, embedded_body_hash string")
+            for start in range(0, batch.num_rows, ROWS_OUT):
+                rows, parts = batch.slice(start, ROWS_OUT), []
+                for i in range(0, rows.num_rows, EMBEDDING_BATCH):
+                    parts.append(pooled(embedder, rows.column("text").slice(i, EMBEDDING_BATCH).to_pylist(), piece).astype("float32"))
+                flat = np.concatenate(parts)
+                offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+                vectors = pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column("article_id"), vectors, rows.column("body_hash")], ["article_id", "embedding", "embedded_body_hash"])
+
+    return todo.mapInArrow(run, "article_id long, embedding array<float>, embedded_body_hash string")
 
 
 ANALYSIS = (
