@@ -42,6 +42,17 @@ def inputs(v: Views) -> FeedInputs:
     return FeedInputs(v.articles, v.user_articles, v.article_feedback, v.source_registry, v._source_preferences)
 
 
+def part_of(v: Views, rows, key: str) -> Views:
+    """The views over the activity of the users, or with the articles, in ``rows``: opinions, owned articles and preferences belong to a
+    user and an article, so they are those of all activity.  Whole views are taken where they have been written."""
+    if "user_articles" in v.__dict__:
+        return v
+    part = Views(v.spark, v.sf_dir)
+    part.n_docs, part.n_pages = v.n_docs, v.n_pages
+    part.activity = v.activity.join(rows, key, "left_semi")
+    return part
+
+
 def users(v: Views):
     return v.user_articles.select("user_id").distinct()
 
@@ -669,15 +680,19 @@ add_sql_view(
     ("article_runs", "pool", "excluded", "articles", "pair_cosine", "matches", "source_pref", "user_articles"),
 )
 def _(v: Views, cfg):
-    owned = v.user_articles.filter(F.col("origin").isin("manual", "good"))
-    embedded = v.articles.filter(F.col("embedding").isNotNull()).select("article_id")
-    runs = (
+    # Read by every branch below: joined once.
+    articles = materialize(v.articles.select(*S.ARTICLE_COLUMNS, "is_dead", "embedding"))
+    embedded = articles.filter(F.col("embedding").isNotNull()).select("article_id")
+    owned = part_of(v, embedded, "article_id").user_articles.filter(F.col("origin").isin("manual", "good"))
+    runs = materialize(
         owned.join(embedded, "article_id")
         .groupBy("user_id")
         .agg(F.max("article_id").alias("article_id"))
         .withColumn("run_id", F.col("user_id"))
     )
-    related = related_articles(runs, inputs(v), now(), cfg)
+    mine = part_of(v, runs.select("user_id"), "user_id")
+    tables = replace(inputs(mine), articles=articles)
+    related = related_articles(runs, tables, now(), cfg)
     return related.select("run_id", "article_id", "total", "rank")
 
 

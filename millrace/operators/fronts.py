@@ -2,7 +2,8 @@
 
 The first places of the pool, as many as the longest run reaches, are few: they are broadcast with their vectors and scores.  A user is
 one row with what is hidden, opened and liked, and with the profile; similarities of its candidates are arrays by vector of the front.
-Pairs are written out of that row, where all of a user's pairs share a task: ranks need a sort, but no exchange.
+Pairs are written out of that row, where all of a user's pairs share a task: ranks need a sort, but no exchange.  If only the best few
+of a run are asked for, totals are compared inside the row, and no other pair is written.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT, EngineConfig
 from millrace.functions.vectors import unit_rows
+from millrace.functions.weights import source_preference_factor
+from millrace.operators.related import _first, run_totals
 from millrace.operators.similarity import _weighted_top
 
 KINDS = ("interest", "bad", "centroid")
 SIMILAR = "struct<interest: array<double>, bad: array<double>, centroid: array<double>, near: array<double>>"
+BEST = "array<struct<place: bigint, position: int, interest: double, centroid: double, near: double>>"
 USERS_AT_ONCE = 512  # whose arrays are built together
 
 
@@ -48,17 +52,22 @@ def _nearest(shown: np.ndarray, widths: np.ndarray, front: dict[int, tuple[np.nd
     return near
 
 
-def front_similarities(vectors: list[np.ndarray], places: list[int], cfg: EngineConfig = DEFAULT):
-    """Arrow UDF (reach, hidden places, profile) -> similarities of a user to every vector of the front below ``reach``.
-
-    ``vectors`` and their ``places`` in the pool's order are those of the front; entries of hidden places are not to be read.
-    """
+def _by_width(vectors: list[np.ndarray], places: list[int]) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Widths and places of the vectors of the front, and the columns and unit vectors of each width."""
     widths, at = np.array([len(v) for v in vectors], dtype=np.int64), np.array(places, dtype=np.int64)
     by_width = {
         int(w): (np.flatnonzero(widths == w), unit_rows(np.array([vectors[i] for i in np.flatnonzero(widths == w)], dtype=np.float64)))
         for w in np.unique(widths) if w > 0
     }
-    shared, top_k = (widths, at, by_width), cfg.top_k
+    return widths, at, by_width
+
+
+def front_similarities(vectors: list[np.ndarray], places: list[int], cfg: EngineConfig = DEFAULT):
+    """Arrow UDF (reach, hidden places, profile) -> similarities of a user to every vector of the front below ``reach``.
+
+    ``vectors`` and their ``places`` in the pool's order are those of the front; entries of hidden places are not to be read.
+    """
+    shared, top_k = _by_width(vectors, places), cfg.top_k
 
     @F.arrow_udf(SIMILAR)
     def similar(reach: pa.Array, hidden: pa.Array, kinds: pa.Array, positions: pa.Array, weights: pa.Array, profile: pa.Array) -> pa.Array:
@@ -117,6 +126,105 @@ def user_rows(users: DataFrame, hidden: DataFrame, profile: DataFrame, opened: D
     )
 
 
+def best_of_front(front: list[dict], limit: int, best: int, cfg: EngineConfig = DEFAULT):
+    """Arrow UDF (hidden places, opened places, liked domains and their factors, profile) -> the candidates that can be among the
+    first ``best`` of a run.
+
+    ``front``: rows by place, from place 0, with name (the id as text), source_domain, embedding, fixed and authority.
+    """
+    embedded = [i for i, r in enumerate(front) if r["embedding"] is not None]
+    widths, at, by_width = _by_width([np.array(front[i]["embedding"], dtype=np.float64) for i in embedded], embedded)
+    names = np.empty(len(front), dtype=np.int64)
+    names[sorted(range(len(front)), key=lambda i: front[i]["name"])] = np.arange(len(front))
+    fixed, authority = (np.array([r[c] for r in front], dtype=np.float64) for c in ("fixed", "authority"))
+    domains: dict[str, list[int]] = {}
+    for i, r in enumerate(front):
+        domains.setdefault(r["source_domain"], []).append(i)
+    shared, top_k, usual = (widths, at, by_width, names, fixed, authority, domains), cfg.top_k, {}
+
+    def of_run(hidden, opened, liked, factors, kinds, positions, weights, profile) -> list[np.ndarray]:
+        widths, at, by_width, names, fixed, authority, domains = shared
+        total = len(names)
+        seen = np.ones(total, dtype=bool)
+        seen[hidden[hidden < total]] = False
+        shown = np.flatnonzero(seen)[:limit]
+        reach = int(shown[-1]) + 1 if len(shown) else 0
+        n = int(np.searchsorted(at, reach))
+        order = np.argsort(positions, kind="stable")
+        rows = {name: order[kinds[order] == name] for name in ("interest", "centroid")}
+        cosines = _cosines(profile, by_width, len(at))[:, :n]
+        interest, centroid, near = np.full(total, np.nan), np.full(total, np.nan), np.full(total, np.nan)
+        interest[at[:n]] = _weighted_top(cosines[rows["interest"]].T, weights[rows["interest"]], top_k) if len(rows["interest"]) else 0.0
+        if len(rows["centroid"]):
+            centroid[at[:n]] = cosines[rows["centroid"]].max(axis=0)
+        left = np.flatnonzero((widths[:n] > 0) & seen[at[:n]])
+        if len(left) == np.count_nonzero(widths[:n] > 0):  # nothing compared is hidden: as for all such runs
+            if n not in usual:
+                usual.clear()
+                usual[n] = _nearest(left, widths, by_width, len(at))[:n]
+            near[at[:n]] = usual[n]
+        else:
+            near[at[:n]] = _nearest(left, widths, by_width, len(at))[:n]
+        factor = np.ones(total)
+        for domain, value in zip(liked, factors, strict=True):
+            factor[domains.get(domain, [])] = value
+        totals = run_totals(np.nan_to_num(interest), centroid, near, fixed, authority, factor, cfg)
+        totals[opened[opened < total]] -= cfg.read_penalty
+        found = np.sort(_first(totals[shown], names[shown], best))
+        kept = shown[found]
+        return [kept, found + 1, interest[kept], centroid[kept], near[kept]]
+
+    kinds_of = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+    fields = [pa.field(name, kind) for name, kind in zip(("place", "position", "interest", "centroid", "near"), kinds_of, strict=True)]
+
+    @F.arrow_udf(BEST)
+    def first(
+        hidden: pa.Array, opened: pa.Array, liked: pa.Array, factors: pa.Array, kinds: pa.Array, positions: pa.Array, weights: pa.Array, profile: pa.Array
+    ) -> pa.Array:
+        found = []
+        for i in range(len(hidden)):
+            numbers = [np.asarray(a[i].values, dtype=t) for a, t in ((hidden, np.int64), (opened, np.int64), (positions, np.int64), (weights, np.float64))]
+            vectors = profile[i].values
+            own = [np.asarray(vectors[j].values, dtype=np.float64) for j in range(len(vectors))]
+            texts = np.array(kinds[i].as_py(), dtype=object)
+            found.append(of_run(numbers[0], numbers[1], liked[i].as_py(), factors[i].as_py(), texts, numbers[2], numbers[3], own))
+        offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in found])]).astype(np.int32)
+        columns = []
+        for j, kind in enumerate(kinds_of):
+            flat = np.concatenate([r[j] for r in found]) if found else np.zeros(0)
+            columns.append(pa.array(flat, kind, mask=np.isnan(flat)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=fields))
+
+    return first
+
+
+def front_best(rows: DataFrame, front: DataFrame, limit: int, best: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The pairs of :func:`front_pairs` that can be among the first ``best`` of a run without Bad opinions in its profile.
+
+    ``front`` has the columns of :func:`millrace.operators.related.run_constants`, too.
+    """
+    ordered = front.select("place", F.col("article_id").cast("string").alias("name"), "source_domain", "embedding", "fixed", "authority").orderBy("place")
+    first = best_of_front([r.asDict() for r in ordered.collect()], limit, best, cfg)
+    factors = F.transform(F.map_values("liked"), lambda w: source_preference_factor(w, cfg))
+    profile = [F.col("profile")[n] for n in ("kind", "position", "weight", "vector")]
+    found = rows.select("user_id", "opened", "liked", first("hidden", "opened", F.map_keys("liked"), factors, *profile).alias("found"))
+    # Outer: the filter that Spark infers for a plain explode would run the function a second time.
+    pairs = found.select("user_id", "opened", "liked", F.explode_outer("found").alias("f")).select("user_id", "opened", "liked", "f.*")
+    return pairs.join(F.broadcast(front.drop("fixed", "authority")), "place").select(
+        "user_id",
+        *[c for c in front.columns if c not in ("place", "embedding", "fixed", "authority")],
+        F.col("position").alias("candidate_position"),
+        F.coalesce("interest", F.lit(0.0)).alias("interest_similarity"),
+        F.lit(None).cast("double").alias("bad_similarity"),
+        F.col("centroid").alias("centroid_similarity"),
+        F.col("near").alias("neighbor_similarity"),
+        F.coalesce(F.try_element_at("liked", F.col("source_domain")), F.lit(0.0)).alias("source_preference"),
+        F.array_contains("opened", F.col("place")).alias("is_read"),
+        F.lit(False).alias("is_bad"),
+        F.col("embedding").isNotNull().alias("has_vector"),
+    )
+
+
 def front_pairs(rows: DataFrame, front: DataFrame, total: int, limit: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """All pairs of the users in ``rows`` (see :func:`user_rows`) with everything the score reads.
 

@@ -80,8 +80,9 @@ def learn_preferences(
         .agg(F.count_if(F.col("action") == "bad").alias("bad_count"))
         .select(*group, negative_weight(F.col("bad_count"), settings).alias("negative_weight"))
     )
-    joined = totals.join(negative, group, "left").withColumn(
-        "negative_weight", F.coalesce("negative_weight", F.lit(0.0))
+    # One row per key for three readers: the log is replayed once.
+    joined = materialize(
+        totals.join(negative, group, "left").withColumn("negative_weight", F.coalesce("negative_weight", F.lit(0.0)))
     )
     silent = joined.filter((F.col("gains") == 0) & (F.col("negative_weight") == 0)).select(*group)
     written = _once_penalised(log, silent, settings)
