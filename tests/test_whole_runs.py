@@ -4,7 +4,6 @@ import random
 from dataclasses import replace
 from datetime import timedelta
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +61,22 @@ def test_feed_candidates_are_what_the_feed_of_all_candidates_picks(spark, both,
     assert sorted(map(tuple, whole.picks.select(*slots).collect())) == feed
     assert sorted(map(tuple, whole.feed.select(*slots).collect())) == feed
     assert {r.user_id: (r.eligible, r.truncated) for r in whole.report.collect()} == {r.user_id: (r.eligible, r.truncated) for r in pairs.report.collect()}
+
+
+def test_whole_runs_rank_and_score_like_joined_pairs(both):
+    whole, _, want = both
+    assert {(r.user_id, r.article_id): r["rank"] for r in whole.ranks.collect()} == {key: r["rank"] for key, r in want.items()}
+    for frame in (whole.ranked, whole.scored):
+        got = {(r.user_id, r.article_id): r.asDict() for r in frame.collect()}
+        assert got.keys() == want.keys()
+        for key, row in got.items():
+            assert {n: row.get(n) for n in row} == {n: v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for n, v in want[key].items() if n in row}, key
+        missing = set(next(iter(want.values()))) - set(next(iter(got.values())))
+        assert missing <= {"rank"}
+
+
+def test_ranks_are_written_without_a_shuffle_or_a_checkpoint_of_pairs(both, monkeypatch):
+    whole, _, _ = both
+    monkeypatch.setattr(S, "rank_unbounded", lambda *_: pytest.fail("pairs are ordered by Spark"))
+    plan = whole.ranks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(step in plan for step in ("Exchange", "Sort", "Window"))
