@@ -11,7 +11,9 @@ from millrace.config import DEFAULT
 from millrace.operators import compose, scoring as S
 from millrace.operators.compose import compose_feed
 from millrace.plans import discover
+from millrace.operators.whole_runs import WholeRuns
 from millrace.plans.discover import FeedInputs, discover_feed
+from millrace.plans.interest import fill_record
 from tests.test_ranking import NOW, small_inputs
 
 SIZE = 20
@@ -80,3 +82,18 @@ def test_ranks_are_written_without_a_shuffle_or_a_checkpoint_of_pairs(both, monk
     monkeypatch.setattr(S, "rank_unbounded", lambda *_: pytest.fail("pairs are ordered by Spark"))
     plan = whole.ranks._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not any(step in plan for step in ("Exchange", "Sort", "Window"))
+
+
+def test_pages_and_fill_record_read_the_picks_alone(both, monkeypatch):
+    whole, pairs, _ = both
+    fill = {r.slot: tuple(r) for r in fill_record(pairs).collect()}
+
+    class Unread:
+        def __get__(self, *_):
+            raise AssertionError("scores of all candidates are read")
+
+    for name in ("scored", "ranked"):
+        monkeypatch.setattr(WholeRuns, name, Unread())
+    assert {r.slot: tuple(r) for r in fill_record(whole).collect()} == fill
+    shown = [r.feed_rank for r in whole.picks.filter(F.col("feed_rank").between(11, 20)).collect()]
+    assert sorted(shown) == sorted(list(range(11, 21)) * 4)
