@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.config import DEFAULT
-from millrace.operators import compose, scoring as S
+from millrace.operators import diagnostics as G, scoring as S
 from millrace.operators.compose import compose_feed
-from millrace.plans import discover
+from millrace.plans import discover, interest as plans
 from millrace.operators.whole_runs import WholeRuns
 from millrace.plans.discover import FeedInputs, discover_feed
 from millrace.plans.interest import fill_record
@@ -97,3 +97,20 @@ def test_pages_and_fill_record_read_the_picks_alone(both, monkeypatch):
     assert {r.slot: tuple(r) for r in fill_record(whole).collect()} == fill
     shown = [r.feed_rank for r in whole.picks.filter(F.col("feed_rank").between(11, 20)).collect()]
     assert sorted(shown) == sorted(list(range(11, 21)) * 4)
+
+
+def test_diagnostics_of_whole_runs_are_counted_in_their_tasks(both, monkeypatch):
+    whole, pairs, _ = both
+    jobs = (plans.novelty_distribution, plans.threshold_sweep, plans.slot_divergence, lambda run, _cfg: G.spearman(run.spread, "novelty", "interest_similarity", "n"))
+    want = [[r.asDict() for r in job(pairs, CFG).collect()] for job in jobs]
+    assert want[0][0]["candidate_count"] > 400 and want[2][0]["diversity_count"] > 0
+
+    class Unread:
+        def __get__(self, *_):
+            raise AssertionError("a row per candidate is written")
+
+    for name in ("scored", "ranked"):
+        monkeypatch.setattr(WholeRuns, name, Unread())
+    for job, rows in zip(jobs, want, strict=True):
+        got = [r.asDict() for r in job(replace(whole, scored=None), CFG).collect()]
+        assert got == [{n: v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for n, v in row.items()} for row in rows]
