@@ -21,7 +21,7 @@ from millrace.operators.preferences import source_preferences
 from millrace.operators.similarity import neighbor_similarity, profile_features, similar_by_vector
 from millrace.plans.discover import FeedInputs, candidate_pool, discover_feed, related_articles
 from millrace.operators.filters import ArticleFilter
-from millrace.plans.interest import fill_record, slot_divergence
+from millrace.plans.interest import fill_record, slot_divergence, threshold_sweep
 from millrace.session import ensure_checkpoint_dir, materialize
 from millrace.sources.sinks import latest_runs, read_page, write_run
 
@@ -539,7 +539,7 @@ def _(v: Views):
     ("scored",),
 )
 def _(v: Views):
-    return G.threshold_sweep(run(v).scored, CFG.composition)
+    return threshold_sweep(run(v), CFG)
 
 
 @register_both(
