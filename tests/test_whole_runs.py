@@ -114,3 +114,14 @@ def test_diagnostics_of_whole_runs_are_counted_in_their_tasks(both, monkeypatch)
     for job, rows in zip(jobs, want, strict=True):
         got = [r.asDict() for r in job(replace(whole, scored=None), CFG).collect()]
         assert got == [{n: v if not isinstance(v, float) else pytest.approx(v, abs=1e-9) for n, v in row.items()} for row in rows]
+
+
+def test_similarities_of_whole_runs_are_written_once(both):
+    whole, pairs, want = both
+    similar = whole.whole.similar
+    got = {(r.user_id, r.article_id): r.asDict() for r in similar.collect()}
+    assert got.keys() == {key for key, r in want.items() if r["has_vector"]}
+    for key, row in got.items():
+        assert row == {n: want[key][n] if want[key][n] is None or n in S.PAIR else pytest.approx(want[key][n], abs=1e-9) for n in row}, key
+    plan = similar._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any(step in plan for step in ("Exchange", "Join"))
